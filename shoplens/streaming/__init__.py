@@ -1,0 +1,5 @@
+"""Streaming.
+
+The reference queries only static tables (no streams, watermarks or
+state), so nothing is built here; every report runs as a batch job.
+"""
