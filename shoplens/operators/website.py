@@ -115,11 +115,13 @@ def landing_status(
     ``cutoff``. ``urls=None`` uses the pages that landed a session (W4b)
     instead of a pasted list (SURVEY Q18). One row per page (Q7)."""
     if urls is None:
-        pages = landing_pages(pageviews)
-        views = pageviews.join(pages, "pageview_url", "left_semi")
+        # Filter on the group key after aggregating: both semi-join sides are
+        # then one row per URL, so a hot URL never meets a shuffle join.
+        latest = pageviews.groupBy("pageview_url").agg(F.max("created_at").alias("latest_pageview"))
+        latest = latest.join(landing_pages(pageviews), "pageview_url", "left_semi")
     else:
-        views = pageviews.where(F.col("pageview_url").isin(list(urls)))
-    latest = views.groupBy("pageview_url").agg(F.max("created_at").alias("latest_pageview"))
+        latest = pageviews.where(F.col("pageview_url").isin(list(urls))).groupBy("pageview_url").agg(
+            F.max("created_at").alias("latest_pageview"))
     status = F.when(F.col("latest_pageview") > F.lit(cutoff).cast("timestamp_ntz"), "ACTIVE").otherwise("INACTIVE")
     return latest.select("pageview_url", "latest_pageview", status.alias("status")).orderBy("status")
 

@@ -1,0 +1,68 @@
+"""Print a one-line physical-plan profile of every registered report.
+
+usage: python tests/plan_audit.py [sf_dir] [name ...] [--full]
+
+Counts the operators that matter at scale (exchanges, join strategies,
+sort-based aggregates, windows, single-partition exchanges, nested loop /
+cartesian joins) in the final adaptive plan after one run.
+"""
+
+from __future__ import annotations
+
+import contextlib
+import io
+import os
+import re
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import __spark_entry__ as entry  # noqa: E402
+from shoplens.session import local_session  # noqa: E402
+
+PATTERNS = {
+    "xchg": r"^\(\d+\) (?:Exchange|ShuffleQueryStage)",
+    "bhj": r"^\(\d+\) BroadcastHashJoin",
+    "smj": r"^\(\d+\) SortMergeJoin",
+    "shj": r"^\(\d+\) ShuffledHashJoin",
+    "sortagg": r"^\(\d+\) SortAggregate",
+    "window": r"^\(\d+\) Window ",
+    "wgl": r"^\(\d+\) WindowGroupLimit",
+    "single": r"SinglePartition",
+    "bnlj": r"BroadcastNestedLoopJoin|CartesianProduct",
+    "scan": r"^\(\d+\) Scan parquet",
+}
+
+
+def plan_text(df, mode: str = "formatted") -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode)
+    return buf.getvalue()
+
+
+def profile(text: str) -> dict[str, int]:
+    lines = text.splitlines()
+    return {k: sum(1 for ln in lines if re.search(p, ln)) for k, p in PATTERNS.items()}
+
+
+def main() -> None:
+    args = [a for a in sys.argv[1:] if not a.startswith("--")]
+    full = "--full" in sys.argv
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    only = set(args[1:])
+    spark = local_session(8)
+    for name, fn in entry.queries().items():
+        if only and name not in only:
+            continue
+        df = fn(spark, sf_dir)
+        df.write.format("noop").mode("overwrite").save()
+        text = plan_text(df)
+        p = profile(text)
+        print(f"{name:42s} " + " ".join(f"{k}={v}" for k, v in p.items()), flush=True)
+        if full:
+            print(text)
+
+
+if __name__ == "__main__":
+    main()
