@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -169,16 +170,25 @@ def _fingerprint(sf_dir: str) -> str:
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a fresh local one only when unset."""
-    folder = spark.sparkContext.getCheckpointDir()
+    try:
+        folder = spark.sparkContext.getCheckpointDir()
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shoplens-ckpt-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        folder = tempfile.mkdtemp(prefix="shoplens-ckpt-")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir() or folder
     return folder
 
 
+def _app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
+
+
 _PUBLISHED: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
@@ -190,16 +200,17 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
     """
     from shoplens.operators.prep import publish
 
-    key = (spark.sparkContext.applicationId, _fingerprint(sf_dir))
-    root = _PUBLISHED.get(key)
-    if root is None:
-        root = f"{shared_folder(spark)}/shop_tables/{key[1]}"
+    key = (_app_id(spark), _fingerprint(sf_dir))
+    with _LOCK:
+        root = _PUBLISHED.get(key)
+        if root is None:
+            root = f"{shared_folder(spark)}/shop_tables/{key[1]}"
 
-        def stage(name: str, df: DataFrame) -> DataFrame:
-            path = f"{root}/_stage/{name}"
-            df.write.mode("overwrite").parquet(path)
-            return spark.read.parquet(path)
+            def stage(name: str, df: DataFrame) -> DataFrame:
+                path = f"{root}/_stage/{name}"
+                df.write.mode("overwrite").parquet(path)
+                return spark.read.parquet(path)
 
-        publish(map_fixture(spark, sf_dir, stage=stage), root)
-        _PUBLISHED[key] = root
+            publish(map_fixture(spark, sf_dir, stage=stage), root)
+            _PUBLISHED[key] = root
     return read_published(spark, root)

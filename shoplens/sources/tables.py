@@ -60,6 +60,30 @@ class ShopTables:
         return ShopTables(**{name: df.select(*SCHEMAS[name]) for name, df in self.items()})
 
 
+def read_catalog(spark: SparkSession, database: str | None = None, prefix: str = "") -> ShopTables:
+    """Shop tables from catalog tables or temp views named ``[database.]<prefix><name>``.
+
+    A deployment that loaded the shop database into its metastore (or
+    registered views) reads it here; column pruning and filters reach the
+    underlying scans as usual.
+    """
+    qual = f"{database}." if database else ""
+    return ShopTables(**{
+        name: spark.table(f"{qual}{prefix}{name}").select(*cols) for name, cols in SCHEMAS.items()
+    })
+
+
+def register_views(tables: ShopTables, prefix: str = "") -> list[str]:
+    """Register every table as a temp view ``<prefix><name>`` so SQL written
+    against the shop schema (e.g. the original report scripts' SELECTs) runs
+    on ``spark.sql``; returns the view names."""
+    names = []
+    for name, df in tables.items():
+        df.createOrReplaceTempView(f"{prefix}{name}")
+        names.append(f"{prefix}{name}")
+    return names
+
+
 def read_published(spark: SparkSession, root: str) -> ShopTables:
     """Read a copy written by :func:`shoplens.operators.prep.publish`."""
     return ShopTables(**{
