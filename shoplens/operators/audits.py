@@ -83,7 +83,7 @@ def repeat_refund_items(refunds: DataFrame) -> DataFrame:
 
 def repeat_refund_orders(orders: DataFrame, refunds: DataFrame) -> DataFrame:
     """F5e: the orders that had more than one item refunded (semi join)."""
-    ids = _repeat_refunds(refunds).select("order_id")
+    ids = _repeat_refunds(refunds).select("order_id").distinct()
     return orders.join(ids, "order_id", "left_semi").select(
         "order_id", "created_at", "website_session_id", "user_id", "primary_product_id",
         "items_purchased", money("price_usd").alias("price_usd"), money("cogs_usd").alias("cogs_usd"),

@@ -89,19 +89,23 @@ def revenue_per_visitor_session_attributed(
 
 # --- C3: pageviews of buying vs non-buying sessions -----------------------
 
-def pageviews_per_session(pageviews: DataFrame) -> DataFrame:
-    """Pageviews per session."""
+def pageviews_per_session(pageviews: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """Pageviews per session (read from the session summary when given)."""
+    if summary is not None:
+        return summary.select("website_session_id", F.col("session_pageviews").alias("pvs_by_session"))
     return pageviews.groupBy("website_session_id").agg(
         F.count("website_pageview_id").alias("pvs_by_session"))
 
 
-def session_buy_tags(sessions: DataFrame, orders: DataFrame, pageviews: DataFrame) -> DataFrame:
+def session_buy_tags(
+    sessions: DataFrame, orders: DataFrame, pageviews: DataFrame, summary: DataFrame | None = None,
+) -> DataFrame:
     """Each session with its pageview count and a buy tag (1 or NULL).
     A session with k orders appears k times, as in the reference."""
     j = (
         sessions.select("website_session_id")
         .join(_orders_per_session(orders), "website_session_id", "left")
-        .join(pageviews_per_session(pageviews), "website_session_id", "left")
+        .join(pageviews_per_session(pageviews, summary), "website_session_id", "left")
     )
     # Joins stay one row to one row (a session with many orders cannot skew
     # them); the k copies are generated after the joins.
@@ -118,14 +122,16 @@ def _orders_per_session(orders: DataFrame) -> DataFrame:
         "website_session_id").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
-def avg_pageviews_by_bucket(sessions: DataFrame, orders: DataFrame, pageviews: DataFrame) -> DataFrame:
+def avg_pageviews_by_bucket(
+    sessions: DataFrame, orders: DataFrame, pageviews: DataFrame, summary: DataFrame | None = None,
+) -> DataFrame:
     """Average pageviews per session for buying ('customer') and other
     ('visitor') sessions. A session with k orders weighs k, as in the
     reference's joined rows; the weight replaces the replication."""
     j = (
         sessions.select("website_session_id")
         .join(_orders_per_session(orders), "website_session_id", "left")
-        .join(pageviews_per_session(pageviews), "website_session_id", "left")
+        .join(pageviews_per_session(pageviews, summary), "website_session_id", "left")
     )
     w = F.coalesce(F.col("n_orders"), F.lit(1))
     bucket = F.when(F.col("n_orders").isNotNull(), "customer").otherwise("visitor")

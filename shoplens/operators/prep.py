@@ -70,14 +70,23 @@ def recode(
     return df.select(*[out.alias(c) if c == target_col else F.col(c) for c in df.columns])
 
 
-def publish(tables: ShopTables, root: str) -> str:
+def publish(tables: ShopTables, root: str, derived: bool = True) -> str:
     """Write every table as Parquet under ``root/<name>``; return ``root``.
 
-    Each write is its own committed job (Spark's file commit protocol), so
-    a lost executor only re-runs its tasks.
+    With ``derived`` the per-session summary is computed once from the
+    published pageviews and written as ``root/session_summary``; the
+    landing-page and pageview-count reports then scan it instead of each
+    re-aggregating the pageviews. Each write is its own committed job
+    (Spark's file commit protocol), so a lost executor only re-runs its
+    tasks.
     """
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}")
+    if derived:
+        from shoplens.operators.website import session_summary
+
+        pageviews = tables.website_pageviews.sparkSession.read.parquet(f"{root}/website_pageviews")
+        session_summary(pageviews).write.mode("overwrite").parquet(f"{root}/session_summary")
     return root
 
 

@@ -106,10 +106,10 @@ def primary_product_mix(orders: DataFrame) -> DataFrame:
 
 
 def _addons(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Non-primary items of multi-item orders (semi join: the orders side is
+    one row per order; AQE can split a hot order on the items side)."""
     return items.where(F.col("is_primary_item") != 1).join(
-        orders.where(F.col("items_purchased") > 1).select("order_id", "primary_product_id"),
-        "order_id",
-    )
+        orders.where(F.col("items_purchased") > 1).select("order_id"), "order_id", "left_semi")
 
 
 def addon_items(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:

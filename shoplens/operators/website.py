@@ -42,6 +42,10 @@ def session_summary(pageviews: DataFrame) -> DataFrame:
     )
 
 
+def _summary(pageviews: DataFrame, summary: DataFrame | None) -> DataFrame:
+    return summary if summary is not None else session_summary(pageviews)
+
+
 def sessions_by_period(sessions: DataFrame, grain: str = "year") -> DataFrame:
     """Sessions per period."""
     keys = grain_keys(grain)
@@ -68,33 +72,33 @@ def page_lifetime(pageviews: DataFrame) -> DataFrame:
     ).orderBy("first_visited")
 
 
-def entry_pages(pageviews: DataFrame) -> DataFrame:
+def entry_pages(pageviews: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Sessions per landing page, largest first."""
-    return session_summary(pageviews).groupBy(F.col("landing_url").alias("pageview_url")).agg(
+    return _summary(pageviews, summary).groupBy(F.col("landing_url").alias("pageview_url")).agg(
         F.count("website_session_id").alias("sessions")).orderBy(F.col("sessions").desc())
 
 
-def session_landing(pageviews: DataFrame) -> DataFrame:
+def session_landing(pageviews: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Landing pageview of every session."""
-    return session_summary(pageviews).select(
+    return _summary(pageviews, summary).select(
         "website_session_id", "first_pageview_id", "first_pageview_visited",
         F.col("landing_url").alias("pageview_url"))
 
 
-def landing_pages(pageviews: DataFrame) -> DataFrame:
+def landing_pages(pageviews: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Distinct landing pages."""
-    return session_summary(pageviews).select(F.col("landing_url").alias("pageview_url")).distinct()
+    return _summary(pageviews, summary).select(F.col("landing_url").alias("pageview_url")).distinct()
 
 
-def session_pageview_counts(pageviews: DataFrame) -> DataFrame:
+def session_pageview_counts(pageviews: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Pageviews per session with its first pageview id."""
-    return session_summary(pageviews).select(
+    return _summary(pageviews, summary).select(
         "website_session_id", "first_pageview_id", "session_pageviews")
 
 
-def landing_bounce_rate(pageviews: DataFrame) -> DataFrame:
+def landing_bounce_rate(pageviews: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """W4d: single-pageview sessions, sessions and bounce rate (%) per landing page."""
-    s = session_summary(pageviews)
+    s = _summary(pageviews, summary)
     agg = s.groupBy(F.col("landing_url").alias("pageview_url")).agg(
         count_when(F.col("session_pageviews") == 1).alias("bounces"),
         F.count("website_session_id").alias("sessions"))
@@ -110,6 +114,7 @@ def last_order(orders: DataFrame) -> DataFrame:
 
 def landing_status(
     pageviews: DataFrame, cutoff: str = ACTIVE_CUTOFF, urls: Sequence[str] | None = None,
+    summary: DataFrame | None = None,
 ) -> DataFrame:
     """Latest pageview of each landing page and ACTIVE when it is after
     ``cutoff``. ``urls=None`` uses the pages that landed a session (W4b)
@@ -118,7 +123,7 @@ def landing_status(
         # Filter on the group key after aggregating: both semi-join sides are
         # then one row per URL, so a hot URL never meets a shuffle join.
         latest = pageviews.groupBy("pageview_url").agg(F.max("created_at").alias("latest_pageview"))
-        latest = latest.join(landing_pages(pageviews), "pageview_url", "left_semi")
+        latest = latest.join(landing_pages(pageviews, summary), "pageview_url", "left_semi")
     else:
         latest = pageviews.where(F.col("pageview_url").isin(list(urls))).groupBy("pageview_url").agg(
             F.max("created_at").alias("latest_pageview"))

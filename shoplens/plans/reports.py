@@ -60,10 +60,11 @@ REPORTS: dict[str, Report] = {
         t.website_sessions, t.web_orders, VISITOR_GRAIN),
     "revenue_per_visitor_session_attributed": lambda t: customers.revenue_per_visitor_session_attributed(
         t.website_sessions, t.web_orders, VISITOR_GRAIN),
-    "pageviews_per_session": lambda t: customers.pageviews_per_session(t.website_pageviews),
-    "session_buy_tags": lambda t: customers.session_buy_tags(t.website_sessions, t.web_orders, t.website_pageviews),
+    "pageviews_per_session": lambda t: customers.pageviews_per_session(t.website_pageviews, t.session_summary),
+    "session_buy_tags": lambda t: customers.session_buy_tags(
+        t.website_sessions, t.web_orders, t.website_pageviews, t.session_summary),
     "avg_pageviews_by_bucket": lambda t: customers.avg_pageviews_by_bucket(
-        t.website_sessions, t.web_orders, t.website_pageviews),
+        t.website_sessions, t.web_orders, t.website_pageviews, t.session_summary),
     **_both("order_customer_totals", customers.order_customer_totals),
     **_both("orders_per_customer", customers.orders_per_customer),
     **_both("lifetime_order_histogram", customers.lifetime_order_histogram),
@@ -101,13 +102,13 @@ REPORTS: dict[str, Report] = {
     "sessions_by_period": lambda t: website.sessions_by_period(t.website_sessions, WEB_GRAIN),
     "page_first_view": lambda t: website.page_first_view(t.website_pageviews),
     "page_lifetime": lambda t: website.page_lifetime(t.website_pageviews),
-    "entry_pages": lambda t: website.entry_pages(t.website_pageviews),
-    "session_landing": lambda t: website.session_landing(t.website_pageviews),
-    "landing_pages": lambda t: website.landing_pages(t.website_pageviews),
-    "session_pageview_counts": lambda t: website.session_pageview_counts(t.website_pageviews),
-    "landing_bounce_rate": lambda t: website.landing_bounce_rate(t.website_pageviews),
+    "entry_pages": lambda t: website.entry_pages(t.website_pageviews, t.session_summary),
+    "session_landing": lambda t: website.session_landing(t.website_pageviews, t.session_summary),
+    "landing_pages": lambda t: website.landing_pages(t.website_pageviews, t.session_summary),
+    "session_pageview_counts": lambda t: website.session_pageview_counts(t.website_pageviews, t.session_summary),
+    "landing_bounce_rate": lambda t: website.landing_bounce_rate(t.website_pageviews, t.session_summary),
     "last_order": lambda t: website.last_order(t.web_orders),
-    "landing_status": lambda t: website.landing_status(t.website_pageviews, FIXTURE_CUTOFF),
+    "landing_status": lambda t: website.landing_status(t.website_pageviews, FIXTURE_CUTOFF, None, t.session_summary),
     "traffic_tuples": lambda t: website.traffic_tuples(t.website_sessions),
     "paid_share": lambda t: website.paid_share(t.website_sessions),
     "campaigns": lambda t: website.campaigns(t.website_sessions),

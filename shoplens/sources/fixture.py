@@ -33,7 +33,7 @@ ITEM_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
-MAPPING_VERSION = "1"
+MAPPING_VERSION = "2"
 _INPUTS = ("orders", "lineitem", "part", "events")
 
 MONEY = "decimal(12,2)"

@@ -8,7 +8,7 @@ copy (:func:`read_published`) or the fixture mapping
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +41,12 @@ SCHEMAS: dict[str, list[str]] = {
     ],
 }
 
+# Derived table published next to the base tables: one row per session with
+# its first pageview, landing URL, first time and pageview count.
+SESSION_SUMMARY = [
+    "website_session_id", "first_pageview_id", "landing_url", "first_pageview_visited", "session_pageviews",
+]
+
 
 @dataclass(frozen=True)
 class ShopTables:
@@ -51,9 +57,23 @@ class ShopTables:
     website_sessions: DataFrame
     website_pageviews: DataFrame
     web_orders: DataFrame
+    # Optional derived table (see SESSION_SUMMARY); computed when absent.
+    session_summary: DataFrame | None = None
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        """The base tables (not the derived summary), in model order."""
+        return [(name, getattr(self, name)) for name in SCHEMAS]
+
+    def summary(self) -> DataFrame:
+        """Per-session summary: the published one, else computed from pageviews."""
+        if self.session_summary is not None:
+            return self.session_summary
+        from shoplens.operators.website import session_summary
+
+        return session_summary(self.website_pageviews)
+
+    def with_summary(self, df: DataFrame) -> "ShopTables":
+        return replace(self, session_summary=df)
 
     def conformed(self) -> "ShopTables":
         """Same tables projected to the data-model columns, in model order."""
@@ -85,8 +105,16 @@ def register_views(tables: ShopTables, prefix: str = "") -> list[str]:
 
 
 def read_published(spark: SparkSession, root: str) -> ShopTables:
-    """Read a copy written by :func:`shoplens.operators.prep.publish`."""
-    return ShopTables(**{
+    """Read a copy written by :func:`shoplens.operators.prep.publish`
+    (with its session summary when one was published)."""
+    from pyspark.errors import AnalysisException
+
+    tables = ShopTables(**{
         name: spark.read.parquet(f"{root}/{name}").select(*cols)
         for name, cols in SCHEMAS.items()
     })
+    try:
+        summary = spark.read.parquet(f"{root}/session_summary").select(*SESSION_SUMMARY)
+    except AnalysisException:
+        return tables
+    return tables.with_summary(summary)

@@ -51,6 +51,17 @@ def test_sequence_uses_partial_top_k(spark):
 
 
 def test_session_summary_aggregates_partially(spark):
-    text = plan_text(entry.queries()["landing_bounce_rate"](spark, SF_SMOKE))
+    from shoplens.operators.website import session_summary
+    from shoplens.sources.fixture import fixture_tables
+
+    t = fixture_tables(spark, SF_SMOKE)
+    text = plan_text(session_summary(t.website_pageviews))
     assert "partial_min_by" in text and "partial_count" in text
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" not in text
+
+
+def test_landing_reports_scan_the_published_summary(spark):
+    for name in ["landing_bounce_rate", "session_landing", "entry_pages", "pageviews_per_session"]:
+        text = plan_text(entry.queries()[name](spark, SF_SMOKE))
+        assert "session_summary" in text, name
+        assert "website_pageviews" not in text, name
