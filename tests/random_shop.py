@@ -1,0 +1,86 @@
+"""Random small shop tables that exercise the edge cases the fixtures lack:
+NULL keys, orphan refunds, items refunded twice, orders with several
+refunds at coincident times, customers with 4+ orders whose ids run
+against time, sessions with several orders, sessions without pageviews.
+Pageview timestamps are unique (see SURVEY Q7)."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+from decimal import Decimal
+
+from shop_rows import tables
+
+URLS = [f"/{t}-{k}" for t in ("view", "click", "signup", "error", "purchase") for k in range(4)]
+
+
+def _money(r: random.Random, lo=1, hi=500) -> Decimal:
+    return Decimal(r.randint(lo * 100, hi * 100)) / 100
+
+
+def _cogs(r: random.Random, price: Decimal) -> Decimal:
+    return (price * Decimal(r.randint(30, 95)) / 100).quantize(Decimal("0.0001"))
+
+
+def random_tables(spark, seed: int):
+    r = random.Random(seed)
+    base = dt.datetime(2012, 1, 1)
+    n_products = 6
+    products = [(p, base + dt.timedelta(days=r.randint(0, 300)), f"product {p}") for p in range(1, n_products + 1)]
+
+    orders, items, refunds = [], [], []
+    order_ids = r.sample(range(1, 5000), 160)
+    item_id = refund_id = 1
+    for oid in order_ids:
+        user = None if r.random() < 0.05 else r.randint(1, 30)
+        when = base + dt.timedelta(days=r.randint(0, 4 * 365), hours=r.randint(0, 23))
+        k = r.choice([0, 1, 1, 2, 2, 3])
+        all_primary = r.random() < 0.1
+        o_items = []
+        for j in range(k):
+            product = r.choice([None] + list(range(1, n_products + 1)) * 4)
+            price = _money(r, 5, 200)
+            o_items.append((item_id, when, oid, product, 1 if (j == 0 or all_primary) else 0, price, _cogs(r, price)))
+            item_id += 1
+        items += o_items
+        primary = o_items[0][3] if o_items else None
+        price = _money(r, 5, 600)
+        orders.append((oid, when, None, user, primary, k, price, _cogs(r, price)))
+        for it in o_items:
+            if r.random() < 0.3:
+                for _ in range(2 if r.random() < 0.2 else 1):
+                    day = r.choice([3, 5, 5, 9])
+                    refunds.append((refund_id, when.replace(hour=0) + dt.timedelta(days=day), it[0], oid,
+                                    (it[5] * Decimal("1.07")).quantize(Decimal("0.0001"))))
+                    refund_id += 1
+    for _ in range(4):  # refunds of orders that do not exist
+        refunds.append((refund_id, base + dt.timedelta(days=r.randint(0, 900)), 10**6 + refund_id,
+                        10**6 + refund_id, _money(r)))
+        refund_id += 1
+
+    sessions, pageviews, web_orders = [], [], []
+    start = dt.datetime(2024, 1, 1)
+    seconds = r.sample(range(0, 30 * 86400), 2000)
+    pv_id, web_id = 1, 1
+    for sid in range(1, 91):
+        user = None if r.random() < 0.05 else r.randint(1, 40)
+        paid = r.random() < 0.6
+        src = r.choice(["src_a", "src_b"]) if paid else None
+        camp = r.choice(["camp_0", "camp_1", "camp_2"]) if paid else None
+        content = r.choice(["ad_0", "ad_1"]) if paid else None
+        n_pv = r.choice([0, 1, 1, 2, 3, 5, 8])
+        times = sorted(start + dt.timedelta(seconds=seconds.pop()) for _ in range(max(n_pv, 1)))
+        sessions.append((sid, times[0], user, src, camp, content, r.choice(["mobile", "desktop"])))
+        ids = r.sample(range(pv_id, pv_id + 3 * max(n_pv, 1)), n_pv)
+        pv_id += 3 * max(n_pv, 1)
+        for i, t in zip(ids, times):
+            pageviews.append((i, t, sid, r.choice(URLS)))
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            price = _money(r, 5, 80)
+            web_orders.append((10_000 + web_id, times[0] + dt.timedelta(minutes=r.randint(1, 30)),
+                               r.choice([sid, sid, sid, None]), user, None, None, price, None))
+            web_id += 1
+
+    return tables(spark, orders=orders, order_items=items, order_item_refunds=refunds, products=products,
+                  website_sessions=sessions, website_pageviews=pageviews, web_orders=web_orders)
