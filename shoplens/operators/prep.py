@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.sources.tables import ShopTables
+from shoplens.sources.tables import BUCKET_KEYS, ShopTables
 
 # The reference's product renames (id -> new name) and
 # product page renames (old URL -> new URL), in the order it applies them.
@@ -70,23 +70,52 @@ def recode(
     return df.select(*[out.alias(c) if c == target_col else F.col(c) for c in df.columns])
 
 
-def publish(tables: ShopTables, root: str, derived: bool = True) -> str:
+def publish(
+    tables: ShopTables, root: str, derived: bool = True,
+    catalog_prefix: str | None = None, buckets: int | None = None,
+) -> str:
     """Write every table as Parquet under ``root/<name>``; return ``root``.
 
+    With ``catalog_prefix`` the tables are also registered in the catalog as
+    ``<prefix><name>`` and bucketed on their join key (``BUCKET_KEYS``) into
+    ``buckets`` buckets (default: ``spark.sql.shuffle.partitions``), one
+    sorted file per bucket: joins and aggregations on those keys then run
+    without a shuffle of the bucketed side. Read them with
+    :func:`shoplens.sources.tables.read_catalog`.
+
     With ``derived`` the per-session summary is computed once from the
-    published pageviews and written as ``root/session_summary``; the
+    published pageviews and written as ``session_summary``; the
     landing-page and pageview-count reports then scan it instead of each
-    re-aggregating the pageviews. Each write is its own committed job
-    (Spark's file commit protocol), so a lost executor only re-runs its
-    tasks.
+    re-aggregating the pageviews.
+
+    Each write is its own committed job (Spark's file commit protocol), so
+    a lost executor only re-runs its tasks.
     """
+    spark = tables.orders.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(name: str, df: DataFrame) -> None:
+        if catalog_prefix is None:
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            return
+        key = BUCKET_KEYS.get(name)
+        if key is not None:
+            df = df.repartition(n, key)
+        w = df.write.mode("overwrite").format("parquet").option("path", f"{root}/{name}")
+        if key is not None:
+            w = w.bucketBy(n, key).sortBy(key)
+        w.saveAsTable(f"{catalog_prefix}{name}")
+
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        write(name, df)
     if derived:
         from shoplens.operators.website import session_summary
 
-        pageviews = tables.website_pageviews.sparkSession.read.parquet(f"{root}/website_pageviews")
-        session_summary(pageviews).write.mode("overwrite").parquet(f"{root}/session_summary")
+        if catalog_prefix is None:
+            pageviews = spark.read.parquet(f"{root}/website_pageviews")
+        else:
+            pageviews = spark.table(f"{catalog_prefix}website_pageviews")
+        write("session_summary", session_summary(pageviews))
     return root
 
 

@@ -41,6 +41,19 @@ SCHEMAS: dict[str, list[str]] = {
     ],
 }
 
+# Join key each table is bucketed on when published to a catalog: items and
+# refunds meet on the item key; orders on the order key; sessions, their
+# pageviews, their orders and the session summary on the session key.
+BUCKET_KEYS: dict[str, str] = {
+    "orders": "order_id",
+    "order_items": "order_item_id",
+    "order_item_refunds": "order_item_id",
+    "website_sessions": "website_session_id",
+    "website_pageviews": "website_session_id",
+    "web_orders": "website_session_id",
+    "session_summary": "website_session_id",
+}
+
 # Derived table published next to the base tables: one row per session with
 # its first pageview, landing URL, first time and pageview count.
 SESSION_SUMMARY = [
@@ -88,9 +101,13 @@ def read_catalog(spark: SparkSession, database: str | None = None, prefix: str =
     underlying scans as usual.
     """
     qual = f"{database}." if database else ""
-    return ShopTables(**{
+    tables = ShopTables(**{
         name: spark.table(f"{qual}{prefix}{name}").select(*cols) for name, cols in SCHEMAS.items()
     })
+    summary = f"{qual}{prefix}session_summary"
+    if spark.catalog.tableExists(summary):
+        return tables.with_summary(spark.table(summary).select(*SESSION_SUMMARY))
+    return tables
 
 
 def register_views(tables: ShopTables, prefix: str = "") -> list[str]:

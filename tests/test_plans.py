@@ -65,3 +65,14 @@ def test_landing_reports_scan_the_published_summary(spark):
         text = plan_text(entry.queries()[name](spark, SF_SMOKE))
         assert "session_summary" in text, name
         assert "website_pageviews" not in text, name
+
+
+def test_bucketed_tables_skip_join_key_shuffles(spark):
+    """Published tables are bucketed on their join keys: the items/refunds join
+    and the per-session aggregations run without shuffling on those keys."""
+    for name, key in [("product_lifetime", "order_item_id"), ("product_quarterly", "order_item_id"),
+                      ("funnel", "website_session_id"), ("session_buy_tags", "website_session_id"),
+                      ("first_product_pageview", "website_session_id")]:
+        text = plan_text(entry.queries()[name](spark, SF_SMOKE))
+        assert "Bucketed: true" in text, name
+        assert f"hashpartitioning({key}" not in text, name
