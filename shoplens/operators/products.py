@@ -157,13 +157,23 @@ def unit_margin(items: DataFrame, products: DataFrame) -> DataFrame:
 
 def _product_sessions(pageviews: DataFrame, pages: Mapping[str, int | None]) -> DataFrame:
     """Per session, over its pageviews of the listed pages: first pageview id,
-    its URL and time, and the number of such pageviews (one aggregation)."""
-    return pageviews.where(F.col("pageview_url").isin(list(pages))).groupBy("website_session_id").agg(
+    its URL and time, and the number of such pageviews (one aggregation).
+
+    The page list is a parameter, so the URL travels through the aggregation
+    as its position in that list (an INT): the first-page pick is then a
+    hash aggregate, and the URL is looked up again afterwards.
+    """
+    urls = F.array(*[F.lit(u) for u in pages])
+    code = F.array_position(urls, F.col("pageview_url")).cast("int")
+    agg = pageviews.where(F.col("pageview_url").isin(list(pages))).groupBy("website_session_id").agg(
         F.min("website_pageview_id").alias("first_product_pageview_id"),
-        F.min_by("pageview_url", "website_pageview_id").alias("pageview_url"),
+        F.min_by(code, "website_pageview_id").alias("page_code"),
         F.min_by("created_at", "website_pageview_id").alias("first_seen"),
         F.count("website_pageview_id").alias("pageviews"),
     )
+    return agg.select(
+        "website_session_id", "first_product_pageview_id",
+        F.element_at(urls, F.col("page_code")).alias("pageview_url"), "first_seen", "pageviews")
 
 
 def _page_product(pages: Mapping[str, int | None]):

@@ -155,6 +155,34 @@ def map_fixture(
     )
 
 
+def _input_bytes(sf_dir: str) -> int | None:
+    total = 0
+    for name in _INPUTS:
+        path = f"{sf_dir}/{name}.parquet"
+        if not os.path.exists(path):
+            return None
+        if os.path.isdir(path):
+            total += sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(path) for f in fs)
+        else:
+            total += os.path.getsize(path)
+    return total
+
+
+def bucket_count(spark: SparkSession, sf_dir: str, bytes_per_bucket: int = 128 << 20) -> int:
+    """Buckets for the published copy: enough for one bucket per
+    ``bytes_per_bucket`` of input and at least the cluster's parallelism,
+    at most ``spark.sql.shuffle.partitions``."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = _input_bytes(sf_dir)
+    if size is None:
+        return cap
+    try:
+        floor = spark.sparkContext.defaultParallelism
+    except Exception:
+        floor = 1
+    return max(1, min(cap, max(floor, -(-size // bytes_per_bucket))))
+
+
 def _fingerprint(sf_dir: str) -> str:
     h = hashlib.sha1(MAPPING_VERSION.encode())
     h.update(sf_dir.rstrip("/").encode())
@@ -216,7 +244,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
             mapped = map_fixture(spark, sf_dir, stage=stage)
             prefix = f"shoplens_{key[1]}_"
             try:
-                publish(mapped, f"{root}/bucketed", catalog_prefix=prefix)
+                publish(mapped, f"{root}/bucketed", catalog_prefix=prefix,
+                        buckets=bucket_count(spark, sf_dir))
                 loaded = ("catalog", prefix)
             except Exception:  # no writable catalog: plain Parquet copy
                 publish(mapped, f"{root}/plain")
