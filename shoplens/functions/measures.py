@@ -9,8 +9,6 @@ order in which partitions are summed.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +76,3 @@ def grain_keys(grain: str) -> list[str]:
 def with_grain(df: DataFrame, ts: str | Column, grain: str) -> DataFrame:
     """``df`` plus the period key columns of ``grain``."""
     return df.select("*", *grain_columns(ts, grain))
-
-
-def in_set(c: str | Column, values: Iterable) -> Column:
-    return col(c).isin(list(values))

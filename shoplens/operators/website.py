@@ -23,7 +23,7 @@ from shoplens.functions.measures import count_when, grain_keys, money, pct, rati
 LANDING_PAGES = ["/home", "/lander-1", "/lander-2", "/lander-3", "/lander-4", "/lander-5"]
 ACTIVE_CUTOFF = "2015-03-01 00:00:00"
 FUNNEL_STAGES: list[tuple[str, list[str]]] = [
-    ("lander", ["/home", "/lander-1", "/lander-2", "/lander-3", "/lander-4", "/lander-5"]),
+    ("lander", LANDING_PAGES),
     ("product", ["/products", "/high-score-hoodie", "/power-up-pants", "/cheat-code-cap", "/side-quest-shirt"]),
     ("cart", ["/cart"]),
     ("shipping", ["/shipping"]),

@@ -88,10 +88,6 @@ class ShopTables:
     def with_summary(self, df: DataFrame) -> "ShopTables":
         return replace(self, session_summary=df)
 
-    def conformed(self) -> "ShopTables":
-        """Same tables projected to the data-model columns, in model order."""
-        return ShopTables(**{name: df.select(*SCHEMAS[name]) for name, df in self.items()})
-
 
 def read_catalog(spark: SparkSession, database: str | None = None, prefix: str = "") -> ShopTables:
     """Shop tables from catalog tables or temp views named ``[database.]<prefix><name>``.

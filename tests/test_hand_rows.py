@@ -250,3 +250,9 @@ def test_money_stays_exact(spark):
     (row,) = financials.period_inflow(o).collect()
     assert row.revenue == 1.0 and row.aov == 0.1
     assert d(row.revenue) == d("1.0")
+
+
+def test_inspect_limits_rows(spark):
+    o = table(spark, "orders", [order(i, "2013-01-01", i, 1) for i in range(1, 31)])
+    assert prep.inspect(o, 5).count() == 5
+    assert prep.inspect(o).count() == 20
