@@ -105,13 +105,6 @@ def primary_product_mix(orders: DataFrame) -> DataFrame:
     return orders.groupBy("primary_product_id").agg(F.count("order_id").alias("order_count"))
 
 
-def _addons(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Non-primary items of multi-item orders (semi join: the orders side is
-    one row per order; AQE can split a hot order on the items side)."""
-    return items.where(F.col("is_primary_item") != 1).join(
-        orders.where(F.col("items_purchased") > 1).select("order_id"), "order_id", "left_semi")
-
-
 def addon_items(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Add-on (non-primary) items of multi-item orders, by the order's
     primary product; primary products without add-ons show 0 (Q14)."""
@@ -126,9 +119,17 @@ def addon_items(orders: DataFrame, items: DataFrame, products: DataFrame) -> Dat
 
 
 def addon_items_by_item_product(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
-    """P7 companion (Q13): the same add-on items grouped by their own product."""
-    agg = _addons(orders, items).groupBy("product_id").agg(
-        F.count("order_item_id").alias("added_on_to_orders"))
+    """P7 companion (Q13): the same add-on items grouped by their own product.
+
+    Add-ons are first counted per (order, product), a partial aggregation
+    that shrinks an order with a huge number of items to one row per
+    product before the semi join with the multi-item orders.
+    """
+    per_order_product = items.where(F.col("is_primary_item") != 1).groupBy("order_id", "product_id").agg(
+        F.count("order_item_id").alias("n"))
+    multi = orders.where(F.col("items_purchased") > 1).select("order_id")
+    agg = per_order_product.join(multi, "order_id", "left_semi").groupBy("product_id").agg(
+        F.sum("n").alias("added_on_to_orders"))
     return agg.join(_names(products), "product_id", "left").select(
         "product_id", "product_name", "added_on_to_orders")
 
