@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.sources.tables import BUCKET_KEYS, ShopTables
+from shoplens.sources.tables import BUCKET_KEYS, ShopTables, default_buckets
 
 # The reference's product renames (id -> new name) and
 # product page renames (old URL -> new URL), in the order it applies them.
@@ -92,7 +92,7 @@ def publish(
     a lost executor only re-runs its tasks.
     """
     spark = tables.orders.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or default_buckets(spark)
 
     def write(name: str, df: DataFrame) -> None:
         if catalog_prefix is None:

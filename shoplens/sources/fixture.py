@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoplens.sources.tables import SCHEMAS, ShopTables, read_catalog, read_published
+from shoplens.sources.tables import SCHEMAS, ShopTables, default_buckets, read_catalog, read_published
 
 # Fixed rule values of the fixture mapping (FIXTURES.md §2).
 SESSION_EPOCH = "2024-01-01"          # day 0 of the session-id day counter
@@ -172,7 +172,7 @@ def bucket_count(spark: SparkSession, sf_dir: str, bytes_per_bucket: int = 128 <
     """Buckets for the published copy: enough for one bucket per
     ``bytes_per_bucket`` of input and at least the cluster's parallelism,
     at most ``spark.sql.shuffle.partitions``."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cap = default_buckets(spark)
     size = _input_bytes(sf_dir)
     if size is None:
         return cap

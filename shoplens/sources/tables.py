@@ -89,6 +89,18 @@ class ShopTables:
         return replace(self, session_summary=df)
 
 
+def default_buckets(spark: SparkSession) -> int:
+    """``spark.sql.shuffle.partitions`` as a bucket count (the cluster's
+    parallelism when the setting is not a number, e.g. ``auto``)."""
+    value = spark.conf.get("spark.sql.shuffle.partitions")
+    if str(value).isdigit():
+        return int(value)
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return 200
+
+
 def read_catalog(spark: SparkSession, database: str | None = None, prefix: str = "") -> ShopTables:
     """Shop tables from catalog tables or temp views named ``[database.]<prefix><name>``.
 
