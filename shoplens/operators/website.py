@@ -6,7 +6,9 @@ session does it (``min_by``), with map-side partial aggregation, so a
 session with a huge number of pageviews does not land in one task. The
 funnel counts stage pageviews per session first and joins the per-session
 counts to the sessions, so the session join sees one row per session
-rather than one per pageview.
+rather than one per pageview. Reports that need only per-session facts
+take an optional precomputed ``summary`` (published next to the tables by
+:func:`shoplens.operators.prep.publish`).
 """
 
 from __future__ import annotations

@@ -6,10 +6,12 @@ FIXTURES.md §2). The DuckDB oracle applies the same rule in SQL
 (:data:`shoplens.plans.oracle_sql.MAPPING`), so both engines see the same
 rows.
 
-Plan shape: ``lineitem`` and ``orders`` are both hash-partitioned once on
-the order key; the item numbering window, the item/order join and the
-per-order item statistics all reuse that partitioning. Events are grouped
-once by session id.
+Plan shape: ``lineitem`` and ``orders`` are hash-partitioned once on the
+order key, and the item numbering window and the item/order join share
+that partitioning. When the numbered items are staged (as
+:func:`fixture_tables` does), order statistics and product launch dates
+read the staged copy through partial aggregations. Events are grouped once
+by session id.
 """
 
 from __future__ import annotations
