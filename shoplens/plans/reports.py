@@ -122,6 +122,14 @@ REPORTS: dict[str, Report] = {
     "funnel": lambda t: website.funnel(t.website_pageviews, t.website_sessions, FIXTURE_FUNNEL, WEB_GRAIN),
     "funnel_sessions": lambda t: website.funnel_sessions(
         t.website_pageviews, t.website_sessions, FIXTURE_FUNNEL, WEB_GRAIN),
+    # The reference's own grains (one period on the one-month fixture events).
+    "visitor_buy_rate_by_year": lambda t: customers.visitor_buy_rate(t.website_sessions, t.web_orders, "year"),
+    "revenue_per_visitor_session_by_year": lambda t: customers.revenue_per_visitor_session(
+        t.website_sessions, t.web_orders, "year"),
+    "sessions_by_year": lambda t: website.sessions_by_period(t.website_sessions, "year"),
+    "campaign_sessions_by_year": lambda t: website.campaign_sessions(t.website_sessions, "year"),
+    "order_rate_by_month": lambda t: website.order_rate(t.website_sessions, t.web_orders, "month"),
+    "funnel_by_month": lambda t: website.funnel(t.website_pageviews, t.website_sessions, FIXTURE_FUNNEL, "month"),
     # Data preparation
     "recode_product_names": lambda t: prep.recode(t.products, "product_id", "product_name", prep.PRODUCT_NAMES),
     "recode_urls": lambda t: prep.recode(t.website_pageviews, "pageview_url", "pageview_url", FIXTURE_URL_RENAMES),
