@@ -1,10 +1,15 @@
 """Print a one-line physical-plan profile of every registered report.
 
-usage: python tests/plan_audit.py [sf_dir] [name ...] [--full]
+usage: python tests/plan_audit.py [sf_dir] [name ...] [--full] [--scale --markdown]
 
 Counts the operators that matter at scale (exchanges, join strategies,
 sort-based aggregates, windows, single-partition exchanges, nested loop /
 cartesian joins) in the final adaptive plan after one run.
+
+``--scale`` shows the static plan a large run starts from: broadcasts off
+(no side is small at volume) and AQE off (no runtime re-planning), and
+lists what every exchange partitions by. ``--markdown`` prints that as the
+table in PLANS.md.
 """
 
 from __future__ import annotations
@@ -46,20 +51,65 @@ def profile(text: str) -> dict[str, int]:
     return {k: sum(1 for ln in lines if re.search(p, ln)) for k, p in PATTERNS.items()}
 
 
+def exchanges(text: str) -> list[str]:
+    """What each exchange partitions by, e.g. ``hash(year, user_id)``, ``single``."""
+    out = []
+    for m in re.finditer(r"Exchange (?:(hashpartitioning|rangepartitioning)\(([^)]*)\)|(SinglePartition)"
+                         r"|(RoundRobinPartitioning))", text):
+        if m.group(3):
+            out.append("single")
+        elif m.group(4):
+            out.append("round-robin")
+        else:
+            keys = re.sub(r"#\d+L?", "", m.group(2))
+            keys = re.sub(r",\s*\d+$", "", keys).replace(" ASC NULLS FIRST", "").replace(" DESC NULLS LAST", " desc")
+            out.append(f"{'hash' if m.group(1).startswith('hash') else 'range'}({keys.strip()})")
+    return out
+
+
+def scale_row(name: str, text: str) -> str:
+    ops = {
+        "SMJ": len(re.findall(r"SortMergeJoin", text)),
+        "BHJ": len(re.findall(r"BroadcastHashJoin", text)),
+        "hash agg": len(re.findall(r"HashAggregate\(", text)),
+        "sort agg": len(re.findall(r"SortAggregate\(", text)),
+        "window": len(re.findall(r"\bWindow \[", text)),
+        "partial top-k": len(re.findall(r"WindowGroupLimit .*Partial", text)),
+        "bucketed scans": len(re.findall(r"Bucketed: true", text)),
+    }
+    ex = exchanges(text)
+    cols = " | ".join(str(v) for v in ops.values())
+    return f"| {name} | {len(ex)} | {', '.join(ex) or '—'} | {cols} |"
+
+
 def main() -> None:
     args = [a for a in sys.argv[1:] if not a.startswith("--")]
     full = "--full" in sys.argv
+    scale = "--scale" in sys.argv
+    markdown = "--markdown" in sys.argv
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     only = set(args[1:])
     spark = local_session(8)
+    if scale:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+    if markdown:
+        print("| report | exchanges | partitioned by | SMJ | BHJ | hash agg | sort agg | window | partial top-k | bucketed scans |")
+        print("|---|---|---|---|---|---|---|---|---|---|")
     for name, fn in entry.queries().items():
         if only and name not in only:
             continue
         df = fn(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        text = plan_text(df)
-        p = profile(text)
-        print(f"{name:42s} " + " ".join(f"{k}={v}" for k, v in p.items()), flush=True)
+        if scale:
+            text = plan_text(df, "simple")
+        else:
+            df.write.format("noop").mode("overwrite").save()
+            text = plan_text(df)
+        if markdown:
+            print(scale_row(name, text), flush=True)
+        else:
+            p = profile(text)
+            print(f"{name:42s} " + " ".join(f"{k}={v}" for k, v in p.items()), flush=True)
         if full:
             print(text)
 
