@@ -69,3 +69,16 @@ def test_fixture_tables_fall_back_to_plain_parquet(spark, monkeypatch):
         a = sorted(map(tuple, REPORTS[name](bucketed).collect()))
         b = sorted(map(tuple, REPORTS[name](plain).collect()))
         assert a == b, name
+
+
+def test_bucket_count_follows_input_size(spark):
+    from shoplens.sources.fixture import bucket_count
+
+    parallelism = spark.sparkContext.defaultParallelism
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # small input: the cluster's parallelism, never more than the shuffle partitions
+    assert bucket_count(spark, SF_SMOKE) == min(cap, parallelism)
+    # ~1 bucket per bytes_per_bucket of input, capped by the shuffle partitions
+    assert bucket_count(spark, SF_SMOKE, bytes_per_bucket=1) == cap
+    # unknown (non-local) input: the shuffle partitions
+    assert bucket_count(spark, "/nonexistent/dir") == cap
