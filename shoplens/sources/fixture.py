@@ -199,18 +199,24 @@ def _fingerprint(sf_dir: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only when unset."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local-mode session without one gets a fresh temporary folder (as
+    in tests); on a cluster a machine-local folder would scatter the files
+    over the executors, so an unset folder is an error there.
+    """
     try:
         folder = spark.sparkContext.getCheckpointDir()
     except Exception:  # sessions without a local SparkContext (Spark Connect)
         folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="shoplens-ckpt-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir() or folder
-    return folder
+    if folder:
+        return folder
+    if not str(spark.conf.get("spark.master", "")).startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    import tempfile
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shoplens-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def _app_id(spark: SparkSession) -> str:

@@ -82,3 +82,9 @@ def test_bucket_count_follows_input_size(spark):
     assert bucket_count(spark, SF_SMOKE, bytes_per_bucket=1) == cap
     # unknown (non-local) input: the shuffle partitions
     assert bucket_count(spark, "/nonexistent/dir") == cap
+
+
+def test_shared_folder_is_the_sessions_checkpoint_dir(spark):
+    from shoplens.sources.fixture import shared_folder
+
+    assert shared_folder(spark) == spark.sparkContext.getCheckpointDir()
