@@ -35,7 +35,7 @@ ITEM_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
-MAPPING_VERSION = "3"
+MAPPING_VERSION = "4"
 _INPUTS = ("orders", "lineitem", "part", "events")
 
 MONEY = "decimal(12,2)"
@@ -61,14 +61,13 @@ def map_fixture(
     part = _read(spark, sf_dir, "part")
     events = _read(spark, sf_dir, "events")
 
-    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER))
     price = F.col("l_extendedprice").cast(MONEY)
-    numbered = lineitem.select(
+    numbered = number_items(lineitem, stage, bucket_count(spark, sf_dir)).select(
         "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate",
         price.alias("price_usd"),
         (price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY4).alias("cogs_usd"),
         (price * (F.lit(1) + F.col("l_tax").cast("decimal(4,2)"))).cast(MONEY4).alias("refund_amount_usd"),
-        seq.alias("seq"),
+        "seq",
     )
     order_dates = raw_orders.select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("created_at"))
@@ -185,6 +184,48 @@ def bucket_count(spark: SparkSession, sf_dir: str, bytes_per_bucket: int = 128 <
     return max(1, min(cap, max(floor, -(-size // bytes_per_bucket))))
 
 
+def number_items(
+    lineitem: DataFrame,
+    stage: Callable[[str, DataFrame], DataFrame] | None = None,
+    partitions: int = 8,
+) -> DataFrame:
+    """``lineitem`` plus ``seq`` = ROW_NUMBER() OVER (PARTITION BY l_orderkey
+    ORDER BY ITEM_ORDER).
+
+    Without ``stage`` this is that window, which sends each order to one
+    task. With ``stage`` the numbering is split so that an order holding a
+    third of all line items is not one task:
+
+    1. range-partition on (l_orderkey, ITEM_ORDER) (a total order: the
+       columns make up the whole row) and stage the rows with their range
+       partition, which fixes every row's partition;
+    2. number rows within (partition, order): a hot order spans many range
+       partitions, so many tasks;
+    3. add, for orders that straddle a partition boundary, the rows of the
+       same order in earlier partitions (a running sum over per-partition
+       counts). Each of the ``partitions - 1`` boundaries splits at most one
+       order, so these offsets have at most ``2 * (partitions - 1)`` rows:
+       a proven bound, hence the broadcast.
+    """
+    if stage is None:
+        return lineitem.withColumn(
+            "seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)))
+    ranged = stage("items_ranged", lineitem.repartitionByRange(partitions, "l_orderkey", *ITEM_ORDER)
+                   .withColumn("_part", F.spark_partition_id()))
+    spans = ranged.groupBy("l_orderkey", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    split = spans.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_parts")).where(F.col("_parts") > 1)
+    earlier = Window.partitionBy("l_orderkey").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.join(split, "l_orderkey", "left_semi").select(
+        "l_orderkey", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    local = F.row_number().over(Window.partitionBy("_part", "l_orderkey").orderBy(*ITEM_ORDER))
+    return (
+        ranged.withColumn("_local", local)
+        .join(F.broadcast(offsets), ["l_orderkey", "_part"], "left")
+        .withColumn("seq", F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
+        .drop("_part", "_local", "_offset")
+    )
+
+
 def _fingerprint(sf_dir: str) -> str:
     h = hashlib.sha1(MAPPING_VERSION.encode())
     h.update(sf_dir.rstrip("/").encode())

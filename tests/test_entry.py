@@ -88,3 +88,23 @@ def test_shared_folder_is_the_sessions_checkpoint_dir(spark):
     from shoplens.sources.fixture import shared_folder
 
     assert shared_folder(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_split_item_numbering_equals_the_window(spark, tmp_path):
+    """The skew-safe numbering (range partitions + boundary offsets) gives
+    exactly ROW_NUMBER() per order, also for an order holding a third of
+    all line items."""
+    from pyspark.sql import functions as F
+
+    from shoplens.sources.fixture import ITEM_ORDER, number_items
+
+    def stage(name, df):
+        df.write.mode("overwrite").parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    hot = li.withColumn("l_orderkey", F.when(F.col("l_linenumber") % 3 == 0, F.lit(7)).otherwise(F.col("l_orderkey")))
+    for df, parts in [(li, 8), (hot, 16)]:
+        a = number_items(df).select("l_orderkey", *ITEM_ORDER, "seq")
+        b = number_items(df, stage, parts).select("l_orderkey", *ITEM_ORDER, "seq")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
