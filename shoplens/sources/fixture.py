@@ -35,7 +35,7 @@ ITEM_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
-MAPPING_VERSION = "4"
+MAPPING_VERSION = "5"
 _INPUTS = ("orders", "lineitem", "part", "events")
 
 MONEY = "decimal(12,2)"
@@ -62,16 +62,17 @@ def map_fixture(
     events = _read(spark, sf_dir, "events")
 
     price = F.col("l_extendedprice").cast(MONEY)
-    numbered = number_items(lineitem, stage, bucket_count(spark, sf_dir)).select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate",
+    order_dates = raw_orders.select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("created_at"))
+    dated = lineitem.join(order_dates, "l_orderkey", "left")
+    numbered = number_items(dated, stage, bucket_count(spark, sf_dir)).select(
+        "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate", "created_at",
         price.alias("price_usd"),
         (price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY4).alias("cogs_usd"),
         (price * (F.lit(1) + F.col("l_tax").cast("decimal(4,2)"))).cast(MONEY4).alias("refund_amount_usd"),
         "seq",
     )
-    order_dates = raw_orders.select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("created_at"))
-    items_wide = numbered.join(order_dates, "l_orderkey", "left").select(
+    items_wide = numbered.select(
         (F.col("l_orderkey") * 1000 + F.col("seq")).alias("order_item_id"),
         "created_at",
         F.col("l_orderkey").alias("order_id"),
@@ -193,35 +194,49 @@ def number_items(
     ORDER BY ITEM_ORDER).
 
     Without ``stage`` this is that window, which sends each order to one
-    task. With ``stage`` the numbering is split so that an order holding a
-    third of all line items is not one task:
+    task. With ``stage`` no order may be bigger than one task's fair share:
+    orders above ``rows / partitions`` (so fewer than ``partitions`` of
+    them: a proven bound, hence the broadcasts) are numbered by
+    :func:`_number_split`; all others by the window, which reuses the
+    input's partitioning on the order key when it has one.
+    """
+    by_order = Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)
+    if stage is None:
+        return lineitem.withColumn("seq", F.row_number().over(by_order))
+    fair = lineitem.agg(F.count(F.lit(1)) / F.lit(partitions)).scalar()
+    big = lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > fair).select("l_orderkey")
+    normal = lineitem.join(F.broadcast(big), "l_orderkey", "left_anti").withColumn(
+        "seq", F.row_number().over(by_order))
+    hot = _number_split(lineitem.join(F.broadcast(big), "l_orderkey", "left_semi"), stage, partitions)
+    return normal.unionByName(hot)
+
+
+def _number_split(
+    lineitem: DataFrame, stage: Callable[[str, DataFrame], DataFrame], partitions: int,
+) -> DataFrame:
+    """ROW_NUMBER per order for orders too big for one task:
 
     1. range-partition on (l_orderkey, ITEM_ORDER) (a total order: the
        columns make up the whole row) and stage the rows with their range
        partition, which fixes every row's partition;
-    2. number rows within (partition, order): a hot order spans many range
+    2. number rows within (partition, order): a big order spans many range
        partitions, so many tasks;
     3. add, for orders that straddle a partition boundary, the rows of the
        same order in earlier partitions (a running sum over per-partition
        counts). Each of the ``partitions - 1`` boundaries splits at most one
-       order, so these offsets have at most ``2 * (partitions - 1)`` rows:
-       a proven bound, hence the broadcast.
+       order, so these offsets have at most ``2 * (partitions - 1)`` rows.
     """
-    if stage is None:
-        return lineitem.withColumn(
-            "seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)))
     ranged = stage("items_ranged", lineitem.repartitionByRange(partitions, "l_orderkey", *ITEM_ORDER)
                    .withColumn("_part", F.spark_partition_id()))
     spans = ranged.groupBy("l_orderkey", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    split = spans.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_parts")).where(F.col("_parts") > 1)
     earlier = Window.partitionBy("l_orderkey").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.join(split, "l_orderkey", "left_semi").select(
-        "l_orderkey", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = spans.select("l_orderkey", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     local = F.row_number().over(Window.partitionBy("_part", "l_orderkey").orderBy(*ITEM_ORDER))
     return (
         ranged.withColumn("_local", local)
         .join(F.broadcast(offsets), ["l_orderkey", "_part"], "left")
-        .withColumn("seq", F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
+        .withColumn("seq", F.col("_local") + F.col("_offset"))
         .drop("_part", "_local", "_offset")
     )
 
