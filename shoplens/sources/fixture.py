@@ -65,7 +65,7 @@ def map_fixture(
     order_dates = raw_orders.select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("created_at"))
     dated = lineitem.join(order_dates, "l_orderkey", "left")
-    numbered = number_items(dated, stage, bucket_count(spark, sf_dir)).select(
+    numbered = number_items(dated, stage, bucket_count(spark, sf_dir), counted=lineitem).select(
         "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate", "created_at",
         price.alias("price_usd"),
         (price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY4).alias("cogs_usd"),
@@ -189,6 +189,7 @@ def number_items(
     lineitem: DataFrame,
     stage: Callable[[str, DataFrame], DataFrame] | None = None,
     partitions: int = 8,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``lineitem`` plus ``seq`` = ROW_NUMBER() OVER (PARTITION BY l_orderkey
     ORDER BY ITEM_ORDER).
@@ -198,13 +199,17 @@ def number_items(
     orders above ``rows / partitions`` (so fewer than ``partitions`` of
     them: a proven bound, hence the broadcasts) are numbered by
     :func:`_number_split`; all others by the window, which reuses the
-    input's partitioning on the order key when it has one.
+    input's partitioning on the order key when it has one. ``counted``
+    (default ``lineitem``) is what order sizes are counted on, e.g. the raw
+    line items when ``lineitem`` is already joined to more columns; the
+    split only chooses which exact numbering an order gets.
     """
     by_order = Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)
     if stage is None:
         return lineitem.withColumn("seq", F.row_number().over(by_order))
-    fair = lineitem.agg(F.count(F.lit(1)) / F.lit(partitions)).scalar()
-    big = lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n")).where(
+    counted = lineitem if counted is None else counted
+    fair = counted.agg(F.count(F.lit(1)) / F.lit(partitions)).scalar()
+    big = counted.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n")).where(
         F.col("_n") > fair).select("l_orderkey")
     normal = lineitem.join(F.broadcast(big), "l_orderkey", "left_anti").withColumn(
         "seq", F.row_number().over(by_order))
