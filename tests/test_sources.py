@@ -37,3 +37,15 @@ def test_cli_writes_reports(spark, tmp_path):
     want = financials.period_financials(*(lambda t: (t.orders, t.order_item_refunds))(read_published(spark, root)))
     assert got.count() == want.count() > 0
     assert got.agg(F.sum("qty_sold")).first()[0] == want.agg(F.sum("qty_sold")).first()[0]
+
+
+def test_cli_lists_reports_and_rejects_unknown(capsys):
+    import pytest
+
+    from shoplens.__main__ import main
+    from shoplens.plans.reports import REPORTS
+
+    assert main(["list"]) == 0
+    assert capsys.readouterr().out.split() == list(REPORTS)
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_report", "--published", "/nonexistent", "--out", "/nonexistent"])
