@@ -227,10 +227,12 @@ def _number_split(
        partition, which fixes every row's partition;
     2. number rows within (partition, order): a big order spans many range
        partitions, so many tasks;
-    3. add, for orders that straddle a partition boundary, the rows of the
-       same order in earlier partitions (a running sum over per-partition
-       counts). Each of the ``partitions - 1`` boundaries splits at most one
-       order, so these offsets have at most ``2 * (partitions - 1)`` rows.
+    3. add the rows of the same order in earlier partitions (a running sum
+       over per-partition counts). The offsets have one row per (order,
+       partition) pair; each of the ``partitions - 1`` boundaries splits at
+       most one order, so there are fewer than ``partitions`` + the number
+       of big orders, i.e. fewer than ``2 * partitions`` rows: a proven
+       bound, hence the broadcast.
     """
     ranged = stage("items_ranged", lineitem.repartitionByRange(partitions, "l_orderkey", *ITEM_ORDER)
                    .withColumn("_part", F.spark_partition_id()))
