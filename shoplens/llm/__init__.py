@@ -1 +1,8 @@
 """Training-data operators: cleaning, deduplication, mixing and labelling of text corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

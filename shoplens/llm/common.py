@@ -87,3 +87,44 @@ def over_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema:
                 )
 
     return df.mapInArrow(run, types)
+
+
+class IdFilter:
+    """A Bloom filter of an id column for use inside tasks: lets a scan drop rows that a later join would drop.
+
+    Two hashes, ``BITS`` bits an id and never more than ``MOST`` bits (16 MB),
+    so what is broadcast is bounded; beyond that it lets more rows pass and
+    the join, which follows in any case, drops them.
+    """
+
+    BITS, MOST = 10, 1 << 27
+
+    def __init__(self, ids: DataFrame, column: str):
+        size = min(self.MOST, 1 << max(16, (ids.count() * self.BITS).bit_length()))
+        self.size = size
+        slot = ids.select(F.explode(F.array(*self._hashes(column))).alias("slot"))
+        words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("mask")
+        )
+        found = words.toArrow()
+        table = np.zeros(size // 64, np.int64)
+        table[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+        self.table = ids.sparkSession.sparkContext.broadcast(table)
+
+    def __getstate__(self):
+        return {"size": self.size, "table": self.table}
+
+    def _hashes(self, column: str) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(self.size)) for i in (1, 2)]
+
+    def slots(self, column: str) -> list[Column]:
+        """Columns that ``rows`` reads."""
+        return [h.alias(f"_slot{i}") for i, h in enumerate(self._hashes(column))]
+
+    def rows(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The batch's rows whose id may be in the filter."""
+        table, keep = self.table.value, np.ones(batch.num_rows, bool)
+        for i in range(2):
+            s = batch.column(f"_slot{i}").to_numpy()
+            keep &= (table[s >> 6] >> (s & 63)) & 1 == 1
+        return batch.filter(pa.array(keep))
