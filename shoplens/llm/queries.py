@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import jaccard_join, mixing, quality, repeats
+from shoplens.llm import chunk_dedup, jaccard_join, langid, mixing, quality, repeats, toxicity
 from shoplens.llm.common import table
 from shoplens.llm.oracle import ORACLES
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -28,11 +36,18 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_suffix_repeats": op4_suffix_repeats,
+    "op6_chunk_dedup": op6_chunk_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_langid": op10_langid,
 }
 
 
