@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import chunk_dedup, jaccard_join, langid, mixing, quality, repeats, toxicity
+from shoplens.llm import chunk_dedup, jaccard_join, langid, mixing, quality, repeats, toxicity, warc
 from shoplens.llm.common import table
 from shoplens.llm.oracle import ORACLES
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip_repeats(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_warc": op3_warc,
     "op4_suffix_repeats": op4_suffix_repeats,
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_mixing": op7_mixing,
