@@ -70,8 +70,15 @@ def utf8_values(array: pa.Array) -> Iterator[np.ndarray | None]:
         yield None if missing[i] else whole[at[i] : at[i + 1]]
 
 
+#: Rows handed to a batch function at once.
+PIECE = 1024
+
+
 def over_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from one batch to the columns of the answer, in the schema's order."""
+    """``mapInArrow`` with a function from a batch to the columns of the answer, in the schema's order.
+
+    Batches are handed on in pieces of at most ``PIECE`` rows, which bounds what a worker holds.
+    """
     types = df.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +86,8 @@ def over_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema:
 
         want = to_arrow_schema(types)
         for batch in batches:
-            if batch.num_rows:
-                columns = make(batch)
+            for at in range(0, batch.num_rows, PIECE):
+                columns = make(batch.slice(at, PIECE))
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns.values(), want)],
                     schema=want,
@@ -99,7 +106,9 @@ class IdFilter:
 
     BITS, MOST = 10, 1 << 27
 
-    def __init__(self, ids: DataFrame, column: str):
+    def __init__(self, ids: DataFrame, column: str, digest: bool = False):
+        """``digest``: the ids are digests of 12 bytes or more, whose own bits serve as hashes."""
+        self.digest = digest
         size = min(self.MOST, 1 << max(16, (ids.count() * self.BITS).bit_length()))
         self.size = size
         slot = ids.select(F.explode(F.array(*self._hashes(column))).alias("slot"))
@@ -112,19 +121,31 @@ class IdFilter:
         self.table = ids.sparkSession.sparkContext.broadcast(table)
 
     def __getstate__(self):
-        return {"size": self.size, "table": self.table}
+        return {"size": self.size, "table": self.table, "digest": self.digest}
 
     def _hashes(self, column: str) -> list[Column]:
+        if self.digest:
+            parts = [F.conv(F.hex(F.substring(F.col(column), at, 6)), 16, 10).cast("long") for at in (1, 7)]
+            return [p % F.lit(self.size) for p in parts]
         return [F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(self.size)) for i in (1, 2)]
 
+    def may_hold(self, digest: bytes) -> bool:
+        table = self.table.value
+        at = [int.from_bytes(digest[i : i + 6], "big") % self.size for i in (0, 6)]
+        return all(int(table[s >> 6]) >> (s & 63) & 1 for s in at)
+
     def slots(self, column: str) -> list[Column]:
         """Columns that ``rows`` reads."""
-        return [h.alias(f"_slot{i}") for i, h in enumerate(self._hashes(column))]
+        return [F.when(F.col(column).isNotNull(), h).alias(f"_slot{i}") for i, h in enumerate(self._hashes(column))]
 
-    def rows(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        """The batch's rows whose id may be in the filter."""
+    def marks(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Which of the batch's rows have an id that may be in the filter; NULL ids have not."""
         table, keep = self.table.value, np.ones(batch.num_rows, bool)
         for i in range(2):
-            s = batch.column(f"_slot{i}").to_numpy()
-            keep &= (table[s >> 6] >> (s & 63)) & 1 == 1
-        return batch.filter(pa.array(keep))
+            column = batch.column(f"_slot{i}")
+            s = column.fill_null(0).to_numpy()
+            keep &= ((table[s >> 6] >> (s & 63)) & 1 == 1) & column.is_valid().to_numpy(zero_copy_only=False)
+        return keep
+
+    def rows(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(self.marks(batch)))

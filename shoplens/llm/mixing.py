@@ -62,21 +62,56 @@ def sizes(docs: DataFrame, *keep: Column) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), epochs."""
-    sized = staged(sizes(docs), "mixing_sizes")
+def _cuts(sized: DataFrame, weights, share: float, max_epochs: int) -> DataFrame:
+    """Per (source, range): source_size, target, epochs, rest (words of the last, partial epoch) and offset (words before the range)."""
     ranges = sized.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     total = ranges.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     targets = source_targets(total, weights, share, max_epochs)
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    plan = offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("o.source").alias("_source"), F.col("o._range").alias("_r"), "_offset", "source_size", "target"
-    )
-    local = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    run = sized.withColumn("_before", F.coalesce(F.sum("size").over(local), F.lit(0)))
-    joined = run.join(plan, run["source"].eqNullSafe(plan["_source"]) & (run["_range"] == plan["_r"]))
+    offsets = ranges.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before") - F.col("_offset")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), epochs.alias("epochs"))
+    return offsets.alias("o").join(targets.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(
+        F.col("o.source").alias("_source"), F.col("o._range").alias("_r"), "_offset", "_sum", "source_size", "target",
+        epochs.alias("epochs"), (F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")).alias("_rest"),
+    )
+
+
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    return rows.join(cuts, rows["source"].eqNullSafe(cuts["_source"]) & (rows["_range"] == cuts["_r"]))
+
+
+_ORDERED = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _part(before: Column) -> Column:
+    """Words of a document in the partial epoch, given the words before it in its range."""
+    return F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - before - F.col("_offset")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), epochs."""
+    sized = staged(sizes(docs), "mixing_sizes")
+    run = sized.withColumn("_before", F.coalesce(F.sum("size").over(_ORDERED), F.lit(0)))
+    joined = _with_cuts(run, _cuts(sized, weights, share, max_epochs))
+    taken = F.col("epochs") * F.col("size") + _part(F.col("_before"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "epochs")
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself: the documents of which words are taken, with all their columns and size, source_size, target, taken.
+
+    The same cut as ``mix``. Ranges wholly before or after a source's cut need
+    no order, so only the one range on which the cut falls is sorted and whole
+    rows are not shuffled otherwise.
+    """
+    cuts = staged(_cuts(staged(sizes(docs), "mixing_sizes"), weights, share, max_epochs), "mixing_cuts")
+    columns = docs.columns
+    rows = sizes(docs, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    joined = _with_cuts(rows, cuts).drop("_source", "_r")
+    inside = (F.col("_rest") > F.col("_offset")) & (F.col("_rest") < F.col("_offset") + F.col("_sum"))
+    whole = joined.where(~inside).withColumn("_before", F.lit(0).cast("long"))
+    split = joined.where(inside).withColumn("_before", F.coalesce(F.sum("size").over(_ORDERED), F.lit(0)))
+    part = F.when(inside, _part(F.col("_before"))).when(F.col("_rest") >= F.col("_offset") + F.col("_sum"), F.col("size")).otherwise(F.lit(0))
+    out = whole.unionByName(split).select("_row", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
+    names = ("size", "source_size", "target", "taken")
+    return out.where("taken > 0").select("_row.*", *[F.col(n).alias(n if n not in columns else f"mix_{n}") for n in names])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import chunk_dedup, jaccard_join, langid, mixing, quality, repeats, toxicity, warc
+from shoplens.llm import chunk_dedup, decontam, jaccard_join, langid, mixing, quality, repeats, secret_scan, toxicity, warc
 from shoplens.llm.common import table
 from shoplens.llm.oracle import ORACLES
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -23,6 +27,10 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -46,8 +54,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontam": op2_decontam,
     "op3_warc": op3_warc,
     "op4_suffix_repeats": op4_suffix_repeats,
+    "op5_secret_scan": op5_secret_scan,
     "op6_chunk_dedup": op6_chunk_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
