@@ -80,7 +80,10 @@ def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.join(cuts, rows["source"].eqNullSafe(cuts["_source"]) & (rows["_range"] == cuts["_r"]))
 
 
-_ORDERED = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+def _words_before() -> Column:
+    """Words before a document in its (source, range)."""
+    ordered = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("size").over(ordered), F.lit(0))
 
 
 def _part(before: Column) -> Column:
@@ -91,7 +94,7 @@ def _part(before: Column) -> Column:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words, repeats counted), epochs."""
     sized = staged(sizes(docs), "mixing_sizes")
-    run = sized.withColumn("_before", F.coalesce(F.sum("size").over(_ORDERED), F.lit(0)))
+    run = sized.withColumn("_before", _words_before())
     joined = _with_cuts(run, _cuts(sized, weights, share, max_epochs))
     taken = F.col("epochs") * F.col("size") + _part(F.col("_before"))
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "epochs")
@@ -110,7 +113,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_ep
     joined = _with_cuts(rows, cuts).drop("_source", "_r")
     inside = (F.col("_rest") > F.col("_offset")) & (F.col("_rest") < F.col("_offset") + F.col("_sum"))
     whole = joined.where(~inside).withColumn("_before", F.lit(0).cast("long"))
-    split = joined.where(inside).withColumn("_before", F.coalesce(F.sum("size").over(_ORDERED), F.lit(0)))
+    split = joined.where(inside).withColumn("_before", _words_before())
     part = F.when(inside, _part(F.col("_before"))).when(F.col("_rest") >= F.col("_offset") + F.col("_sum"), F.col("size")).otherwise(F.lit(0))
     out = whole.unionByName(split).select("_row", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"))
     names = ("size", "source_size", "target", "taken")
