@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.sources.tables import BUCKET_KEYS, ShopTables, default_buckets
+from shoplens.sources.tables import BUCKET_KEYS, ShopTables, table_bytes
 
 # The reference's product renames (id -> new name) and
 # product page renames (old URL -> new URL), in the order it applies them.
@@ -70,6 +70,9 @@ def recode(
     return df.select(*[out.alias(c) if c == target_col else F.col(c) for c in df.columns])
 
 
+BYTES_PER_BUCKET = 128 << 20
+
+
 def publish(
     tables: ShopTables, root: str, derived: bool = True,
     catalog_prefix: str | None = None, buckets: int | None = None,
@@ -78,7 +81,7 @@ def publish(
 
     With ``catalog_prefix`` the tables are also registered in the catalog as
     ``<prefix><name>`` and bucketed on their join key (``BUCKET_KEYS``) into
-    ``buckets`` buckets (default: ``spark.sql.shuffle.partitions``), one
+    ``buckets`` buckets (default: one per ``BYTES_PER_BUCKET``), one
     sorted file per bucket: joins and aggregations on those keys then run
     without a shuffle of the bucketed side. Read them with
     :func:`shoplens.sources.tables.read_catalog`.
@@ -92,7 +95,7 @@ def publish(
     a lost executor only re-runs its tasks.
     """
     spark = tables.orders.sparkSession
-    n = buckets or default_buckets(spark)
+    n = buckets or max(spark.sparkContext.defaultParallelism, -(-sum(table_bytes(df) for _, df in tables.items()) // BYTES_PER_BUCKET))
 
     def write(name: str, df: DataFrame) -> None:
         if catalog_prefix is None:

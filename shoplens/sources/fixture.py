@@ -17,25 +17,30 @@ by session id.
 from __future__ import annotations
 
 import hashlib
+import logging
 import os
+import re
 import threading
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoplens.sources.tables import SCHEMAS, ShopTables, default_buckets, read_catalog, read_published
+from shoplens.sources.tables import SCHEMAS, ShopTables, read_catalog, read_published, table_bytes
+
+log = logging.getLogger(__name__)
 
 # Fixed rule values of the fixture mapping (FIXTURES.md §2).
 SESSION_EPOCH = "2024-01-01"          # day 0 of the session-id day counter
-SESSION_USER_FACTOR = 100000           # session id = user_id * factor + day
-WEB_ORDER_MAX_K = 10                   # a purchase event is an order when k < 10
+SESSION_USER_FACTOR = 100000           # session id = user_id * factor + day (0 <= day < factor, else an error)
+ITEM_FACTOR = 10_000_000               # item id = order id * factor + number (number < factor, else an error)
 PAID_MIN_K = 20                        # a session is paid when its first k >= 20
 ITEM_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
-MAPPING_VERSION = "5"
+MAPPING_VERSION = "6"
 _INPUTS = ("orders", "lineitem", "part", "events")
 
 MONEY = "decimal(12,2)"
@@ -65,7 +70,7 @@ def map_fixture(
     order_dates = raw_orders.select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("created_at"))
     dated = lineitem.join(order_dates, "l_orderkey", "left")
-    numbered = number_items(dated, stage, bucket_count(spark, sf_dir), counted=lineitem).select(
+    numbered = number_items(dated, stage, bucket_count(spark, sf_dir)).select(
         "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate", "created_at",
         price.alias("price_usd"),
         (price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY4).alias("cogs_usd"),
@@ -73,7 +78,7 @@ def map_fixture(
         "seq",
     )
     items_wide = numbered.select(
-        (F.col("l_orderkey") * 1000 + F.col("seq")).alias("order_item_id"),
+        _bounded(F.col("l_orderkey") * ITEM_FACTOR + F.col("seq"), F.col("seq"), ITEM_FACTOR, "item number").alias("order_item_id"),
         "created_at",
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
@@ -113,8 +118,8 @@ def map_fixture(
     ).join(launches, "product_id", "left").select(*SCHEMAS["products"])
 
     k = F.get_json_object("props", "$.k").cast("int")
-    session_id = F.col("user_id") * SESSION_USER_FACTOR + F.datediff(
-        F.to_date("ts"), F.lit(SESSION_EPOCH).cast("date"))
+    day = F.datediff(F.to_date("ts"), F.lit(SESSION_EPOCH).cast("date"))
+    session_id = _bounded(F.col("user_id") * SESSION_USER_FACTOR + day, day, SESSION_USER_FACTOR, "session day")
     views = events.select(
         F.col("event_id").alias("website_pageview_id"),
         F.col("ts").alias("created_at"),
@@ -127,7 +132,7 @@ def map_fixture(
     first = views.groupBy("website_session_id").agg(
         F.min("created_at").alias("created_at"),
         F.min("user_id").alias("user_id"),
-        F.min_by("k", "created_at").alias("fk"),
+        F.min_by("k", F.struct("created_at", "website_pageview_id")).alias("fk"),
     )
     fk = F.col("fk")
     paid = fk >= PAID_MIN_K
@@ -140,7 +145,7 @@ def map_fixture(
     )
 
     web_orders = views.where(
-        (F.col("event_type") == "purchase") & (F.col("k") < WEB_ORDER_MAX_K)
+        F.col("event_type") == "purchase"
     ).select(
         F.col("website_pageview_id").alias("order_id"),
         "created_at", "website_session_id", "user_id",
@@ -157,70 +162,31 @@ def map_fixture(
     )
 
 
-def _input_bytes(sf_dir: str) -> int | None:
-    total = 0
-    for name in _INPUTS:
-        path = f"{sf_dir}/{name}.parquet"
-        if not os.path.exists(path):
-            return None
-        if os.path.isdir(path):
-            total += sum(os.path.getsize(os.path.join(r, f)) for r, _, fs in os.walk(path) for f in fs)
-        else:
-            total += os.path.getsize(path)
-    return total
+def _bounded(key, part, factor: int, what: str):
+    """``key``, or an error where its low part leaves [0, factor): two rows never share a key."""
+    return F.when(part.between(0, factor - 1) | part.isNull(), key).otherwise(
+        F.raise_error(F.lit(f"{what} outside 0..{factor - 1}")).cast("bigint"))
 
 
 def bucket_count(spark: SparkSession, sf_dir: str, bytes_per_bucket: int = 128 << 20) -> int:
-    """Buckets for the published copy: enough for one bucket per
-    ``bytes_per_bucket`` of input and at least the cluster's parallelism,
-    at most ``spark.sql.shuffle.partitions``."""
-    cap = default_buckets(spark)
-    size = _input_bytes(sf_dir)
-    if size is None:
-        return cap
-    try:
-        floor = spark.sparkContext.defaultParallelism
-    except Exception:
-        floor = 1
-    return max(1, min(cap, max(floor, -(-size // bytes_per_bucket))))
+    """Buckets for the published copy: one per ``bytes_per_bucket`` of input,
+    at least the cluster's parallelism. Sizes are the optimizer's statistics
+    of the input scans, so they are known on any file system; there is no
+    upper cap but the catalog's own (``spark.sql.sources.bucketing.maxBuckets``)."""
+    size = sum(table_bytes(_read(spark, sf_dir, name)) for name in _INPUTS)
+    return max(1, spark.sparkContext.defaultParallelism, -(-size // bytes_per_bucket))
 
 
 def number_items(
     lineitem: DataFrame,
     stage: Callable[[str, DataFrame], DataFrame] | None = None,
     partitions: int = 8,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``lineitem`` plus ``seq`` = ROW_NUMBER() OVER (PARTITION BY l_orderkey
     ORDER BY ITEM_ORDER).
 
     Without ``stage`` this is that window, which sends each order to one
-    task. With ``stage`` no order may be bigger than one task's fair share:
-    orders above ``rows / partitions`` (so fewer than ``partitions`` of
-    them: a proven bound, hence the broadcasts) are numbered by
-    :func:`_number_split`; all others by the window, which reuses the
-    input's partitioning on the order key when it has one. ``counted``
-    (default ``lineitem``) is what order sizes are counted on, e.g. the raw
-    line items when ``lineitem`` is already joined to more columns; the
-    split only chooses which exact numbering an order gets.
-    """
-    by_order = Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)
-    if stage is None:
-        return lineitem.withColumn("seq", F.row_number().over(by_order))
-    counted = lineitem if counted is None else counted
-    fair = counted.agg(F.count(F.lit(1)) / F.lit(partitions)).scalar()
-    big = counted.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") > fair).select("l_orderkey")
-    normal = lineitem.join(F.broadcast(big), "l_orderkey", "left_anti").withColumn(
-        "seq", F.row_number().over(by_order))
-    hot = _number_split(lineitem.join(F.broadcast(big), "l_orderkey", "left_semi"), stage, partitions)
-    return normal.unionByName(hot)
-
-
-def _number_split(
-    lineitem: DataFrame, stage: Callable[[str, DataFrame], DataFrame], partitions: int,
-) -> DataFrame:
-    """ROW_NUMBER per order for orders too big for one task:
+    task. With ``stage`` every order is numbered the same way, whatever its size:
 
     1. range-partition on (l_orderkey, ITEM_ORDER) (a total order: the
        columns make up the whole row) and stage the rows with their range
@@ -228,22 +194,24 @@ def _number_split(
     2. number rows within (partition, order): a big order spans many range
        partitions, so many tasks;
     3. add the rows of the same order in earlier partitions (a running sum
-       over per-partition counts). The offsets have one row per (order,
-       partition) pair; each of the ``partitions - 1`` boundaries splits at
-       most one order, so there are fewer than ``partitions`` + the number
-       of big orders, i.e. fewer than ``2 * partitions`` rows: a proven
+       over per-partition counts). Only an order split by a partition
+       boundary has such rows, and each of the ``partitions - 1`` boundaries
+       splits at most one order: fewer than ``partitions`` offsets, a proven
        bound, hence the broadcast.
     """
+    if stage is None:
+        return lineitem.withColumn(
+            "seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)))
     ranged = stage("items_ranged", lineitem.repartitionByRange(partitions, "l_orderkey", *ITEM_ORDER)
                    .withColumn("_part", F.spark_partition_id()))
     spans = ranged.groupBy("l_orderkey", "_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("l_orderkey").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = spans.select("l_orderkey", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = spans.select("l_orderkey", "_part", F.sum("_n").over(earlier).alias("_offset")).where("_offset > 0")
     local = F.row_number().over(Window.partitionBy("_part", "l_orderkey").orderBy(*ITEM_ORDER))
     return (
         ranged.withColumn("_local", local)
         .join(F.broadcast(offsets), ["l_orderkey", "_part"], "left")
-        .withColumn("seq", F.col("_local") + F.col("_offset"))
+        .withColumn("seq", F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
         .drop("_part", "_local", "_offset")
     )
 
@@ -305,7 +273,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
     with _LOCK:
         loaded = _PUBLISHED.get(key)
         if loaded is None:
-            root = f"{shared_folder(spark)}/shop_tables/{key[1]}"
+            root = f"{shared_folder(spark)}/shop_tables/{key[0]}/{key[1]}"
 
             def stage(name: str, df: DataFrame) -> DataFrame:
                 path = f"{root}/_stage/{name}"
@@ -313,12 +281,13 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
                 return spark.read.parquet(path)
 
             mapped = map_fixture(spark, sf_dir, stage=stage)
-            prefix = f"shoplens_{key[1]}_"
+            prefix = f"shoplens_{re.sub('[^0-9A-Za-z]', '_', key[0])}_{key[1]}_"
             try:
                 publish(mapped, f"{root}/bucketed", catalog_prefix=prefix,
                         buckets=bucket_count(spark, sf_dir))
                 loaded = ("catalog", prefix)
-            except Exception:  # no writable catalog: plain Parquet copy
+            except AnalysisException as refused:  # the catalog takes no such tables: plain Parquet copy
+                log.warning("catalog refused the bucketed tables, publishing plain Parquet: %s", refused)
                 publish(mapped, f"{root}/plain")
                 loaded = ("path", f"{root}/plain")
             _PUBLISHED[key] = loaded

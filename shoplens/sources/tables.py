@@ -41,16 +41,16 @@ SCHEMAS: dict[str, list[str]] = {
     ],
 }
 
-# Join key each table is bucketed on when published to a catalog: items and
-# refunds meet on the item key; orders on the order key; sessions, their
-# pageviews, their orders and the session summary on the session key.
+# Key each table is bucketed on when published to a catalog: items and refunds
+# meet on the item key; orders on the order key; sessions and the session
+# summary on the session key. Pageviews and web orders stay unbucketed: a hot
+# session (or the rows without one) would fill one bucket, one file and one
+# task; their reports reduce them to a row per session and task first.
 BUCKET_KEYS: dict[str, str] = {
     "orders": "order_id",
     "order_items": "order_item_id",
     "order_item_refunds": "order_item_id",
     "website_sessions": "website_session_id",
-    "website_pageviews": "website_session_id",
-    "web_orders": "website_session_id",
     "session_summary": "website_session_id",
 }
 
@@ -89,16 +89,9 @@ class ShopTables:
         return replace(self, session_summary=df)
 
 
-def default_buckets(spark: SparkSession) -> int:
-    """``spark.sql.shuffle.partitions`` as a bucket count (the cluster's
-    parallelism when the setting is not a number, e.g. ``auto``)."""
-    value = spark.conf.get("spark.sql.shuffle.partitions")
-    if str(value).isdigit():
-        return int(value)
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:
-        return 200
+def table_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan (a scan's file sizes, on any file system)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def read_catalog(spark: SparkSession, database: str | None = None, prefix: str = "") -> ShopTables:

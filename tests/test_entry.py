@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from conftest import SF_SMOKE
 
 import __spark_entry__ as entry
@@ -46,6 +48,8 @@ def test_published_tables_match_mapping(spark, tmp_path):
 def test_fixture_tables_fall_back_to_plain_parquet(spark, monkeypatch):
     """When the catalog refuses the bucketed tables, the same reports run
     over a plain Parquet copy and give the same rows."""
+    from pyspark.errors import AnalysisException
+
     import shoplens.operators.prep as prep_mod
     from shoplens.plans.reports import REPORTS
     from shoplens.sources import fixture
@@ -54,7 +58,7 @@ def test_fixture_tables_fall_back_to_plain_parquet(spark, monkeypatch):
 
     def no_catalog(tables, root, derived=True, catalog_prefix=None, buckets=None):
         if catalog_prefix is not None:
-            raise RuntimeError("catalog unavailable")
+            raise AnalysisException("catalog unavailable")
         return real(tables, root, derived)
 
     bucketed = fixture_tables(spark, SF_SMOKE)
@@ -71,17 +75,28 @@ def test_fixture_tables_fall_back_to_plain_parquet(spark, monkeypatch):
         assert a == b, name
 
 
+def test_publish_errors_surface(spark, monkeypatch):
+    """Only the catalog's refusal has another way; a full disk must not start a second write."""
+    import shoplens.operators.prep as prep_mod
+    from shoplens.sources import fixture
+
+    def full(*args, **kwargs):
+        raise OSError("no space left on device")
+
+    monkeypatch.setattr(prep_mod, "publish", full)
+    monkeypatch.setattr(fixture, "_PUBLISHED", {})
+    monkeypatch.setattr(fixture, "MAPPING_VERSION", "error-test")
+    with pytest.raises(OSError, match="no space left"):
+        fixture_tables(spark, SF_SMOKE)
+
+
 def test_bucket_count_follows_input_size(spark):
     from shoplens.sources.fixture import bucket_count
 
-    parallelism = spark.sparkContext.defaultParallelism
+    assert bucket_count(spark, SF_SMOKE) == spark.sparkContext.defaultParallelism
+    # No cap by the shuffle partitions.
     cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # small input: the cluster's parallelism, never more than the shuffle partitions
-    assert bucket_count(spark, SF_SMOKE) == min(cap, parallelism)
-    # ~1 bucket per bytes_per_bucket of input, capped by the shuffle partitions
-    assert bucket_count(spark, SF_SMOKE, bytes_per_bucket=1) == cap
-    # unknown (non-local) input: the shuffle partitions
-    assert bucket_count(spark, "/nonexistent/dir") == cap
+    assert bucket_count(spark, SF_SMOKE, bytes_per_bucket=1 << 10) > 10 * cap
 
 
 def test_shared_folder_is_the_sessions_checkpoint_dir(spark):
@@ -108,3 +123,26 @@ def test_split_item_numbering_equals_the_window(spark, tmp_path):
         a = number_items(df).select("l_orderkey", *ITEM_ORDER, "seq")
         b = number_items(df, stage, parts).select("l_orderkey", *ITEM_ORDER, "seq")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_item_keys_of_a_large_order_are_unique(spark, tmp_path):
+    """One order of thousands of items: its mapped item keys collide with none, and its products add up."""
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    from shoplens.operators import products
+    from shoplens.sources.fixture import map_fixture
+
+    for name in ("orders", "part", "events"):
+        shutil.copy(f"{SF_SMOKE}/{name}.parquet", tmp_path / f"{name}.parquet")
+    li = spark.read.parquet(f"{SF_SMOKE}/lineitem.parquet")
+    li.withColumn("l_orderkey", F.when(F.col("l_linenumber") <= 6, F.lit(7)).otherwise(F.col("l_orderkey"))).write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    t = map_fixture(spark, str(tmp_path))
+    items = t.order_items
+    assert items.where("order_id = 7").count() > 4000
+    assert items.count() == items.select("order_item_id").distinct().count()
+    got = products.product_financials(items, t.order_item_refunds, t.products, None)
+    want = li.agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)"))).first()[0]
+    assert abs(got.agg(F.sum("revenue")).first()[0] - float(want)) < 0.01 * float(want) ** 0.5
