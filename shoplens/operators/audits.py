@@ -61,10 +61,11 @@ def first_refund_per_order(refunds: DataFrame) -> DataFrame:
 
 
 def _repeat_refunds(refunds: DataFrame) -> DataFrame:
-    first = refunds.groupBy("order_id").agg(
-        F.min(F.struct("created_at", "order_item_refund_id")).alias("m")
-    ).select(F.col("m.order_item_refund_id").alias("order_item_refund_id"))
-    return refunds.join(first, "order_item_refund_id", "left_anti")
+    place = F.struct(F.col("created_at").isNull().alias("undated"), "created_at", "order_item_refund_id")
+    first = refunds.groupBy("order_id").agg(F.min(place).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.select(F.col("order_id").alias("_order"), F.col("m.order_item_refund_id").alias("_first"))
+    return refunds.join(first, F.col("order_id").eqNullSafe(F.col("_order"))).where(
+        F.col("order_item_refund_id") != F.col("_first")).drop("_order", "_first")
 
 
 def repeat_refund_items(refunds: DataFrame) -> DataFrame:
@@ -72,8 +73,9 @@ def repeat_refund_items(refunds: DataFrame) -> DataFrame:
     newest first. "First" is the smallest (created_at, refund id) in the
     order, so a coincident time in another order hides nothing (SURVEY Q3).
 
-    The first refund per order is a partial min aggregate (safe when one
-    order holds most refunds); the rest is an anti join on the refund key.
+    Undated refunds come last. The first refund per order is a partial min
+    aggregate (safe when one order holds most refunds); only orders with more
+    than one refund meet the refunds again, one row per order.
     """
     return _repeat_refunds(refunds).select(
         "order_item_refund_id", "created_at", "order_item_id", "order_id",

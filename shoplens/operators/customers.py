@@ -16,6 +16,8 @@ Scale notes:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,19 +104,17 @@ def session_buy_tags(
 ) -> DataFrame:
     """Each session with its pageview count and a buy tag (1 or NULL).
     A session with k orders appears k times, as in the reference."""
-    j = (
-        sessions.select("website_session_id")
-        .join(_orders_per_session(orders), "website_session_id", "left")
-        .join(pageviews_per_session(pageviews, summary), "website_session_id", "left")
-    )
-    # Joins stay one row to one row (a session with many orders cannot skew
-    # them); the k copies are generated after the joins.
-    copies = F.sequence(F.lit(1), F.coalesce(F.col("n_orders"), F.lit(1)))
-    return j.select(
-        "website_session_id", "pvs_by_session",
-        F.when(F.col("n_orders").isNotNull(), F.lit(1)).alias("buy_session_tag"),
-        F.explode(copies).alias("_copy"),
-    ).drop("_copy")
+    s = sessions.select("website_session_id").join(
+        pageviews_per_session(pageviews, summary), "website_session_id", "left")
+    # One row per order meets its session's single row, so the copies of a
+    # session stay spread over the tasks that hold its orders (the join's
+    # order side splits); sessions without orders follow once.
+    placed = orders.where(F.col("website_session_id").isNotNull()).select("website_session_id")
+    bought = placed.join(s, "website_session_id").select(
+        "website_session_id", "pvs_by_session", F.lit(1).alias("buy_session_tag"))
+    idle = s.join(placed.distinct(), "website_session_id", "left_anti").select(
+        "website_session_id", "pvs_by_session", F.lit(None).cast("int").alias("buy_session_tag"))
+    return bought.union(idle)
 
 
 def _orders_per_session(orders: DataFrame) -> DataFrame:
@@ -160,14 +160,13 @@ def lifetime_order_histogram(orders: DataFrame, depth: int = 3) -> DataFrame:
     """Customers per lifetime order count, with their share of all
     customers for counts 1..depth (NULL beyond, as in the reference).
 
-    The share's denominator is a window over the histogram itself, which
-    has one row per distinct order count (a few hundred at most), not per
-    customer.
+    The share's denominator is a scalar subquery over the histogram, which
+    has one row per distinct order count.
     """
     hist = orders_per_customer(orders).groupBy(
         F.col("order_count").alias("qty_lifetime_orders")
     ).agg(F.count("customer_id").alias("users_per_bucket"))
-    total = F.sum("users_per_bucket").over(Window.partitionBy())
+    total = hist.agg(F.sum("users_per_bucket")).scalar()
     share = F.when(F.col("qty_lifetime_orders").between(1, depth), ratio("users_per_bucket", total))
     return hist.select("qty_lifetime_orders", "users_per_bucket", share.alias("pct_of_customers"))
 
@@ -192,10 +191,13 @@ def order_sequence(orders: DataFrame, depth: int = 3) -> DataFrame:
 
 
 def _per_period(orders: DataFrame, firsts_agg: DataFrame, grain: str) -> DataFrame:
-    """Attach per-period results of the first orders to every period that has orders."""
+    """Attach per-period results of the first orders to every period that has
+    orders, the NULL period (orders without a time) included."""
     keys = grain_keys(grain)
-    periods = with_grain(orders, "created_at", grain).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return periods.join(firsts_agg, keys, "left")
+    periods = with_grain(orders, "created_at", grain).select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys])
+    rest = [c for c in firsts_agg.columns if c not in keys]
+    return periods.join(firsts_agg, same, "left").select(*[F.col(f"_{k}").alias(k) for k in keys], *rest)
 
 
 def sequence_by_period(orders: DataFrame, depth: int = 3, grain: str = "year") -> DataFrame:

@@ -37,7 +37,7 @@ def _outflow(refunds: DataFrame, grain: str) -> DataFrame:
 
 def _yq(keys: list[str]) -> list:
     if keys == ["year", "quarter"]:
-        return [F.concat_ws("-", "year", "quarter").alias("yq_id")]
+        return [F.concat(F.col("year").cast("string"), F.lit("-"), F.col("quarter").cast("string")).alias("yq_id")]
     return []
 
 

@@ -191,9 +191,14 @@ def first_product_pageview(pageviews: DataFrame, pages: Mapping[str, int | None]
         "website_session_id", "first_product_pageview_id", "pageview_url")
 
 
+def _bounced():
+    """One product pageview; pageviews without a session are no session's bounce."""
+    return (F.col("pageviews") == 1) & F.col("website_session_id").isNotNull()
+
+
 def product_bounce_sessions(pageviews: DataFrame, pages: Mapping[str, int | None] = PRODUCT_PAGES) -> DataFrame:
     """Sessions with exactly one pageview among the product pages."""
-    return _product_sessions(pageviews, pages).where(F.col("pageviews") == 1).select(
+    return _product_sessions(pageviews, pages).where(_bounced()).select(
         "website_session_id", "pageview_url", "pageviews")
 
 
@@ -207,7 +212,7 @@ def product_bounce_rate(
     if grain:
         s = with_grain(s, "first_seen", grain)
     agg = s.groupBy(*keys, "pageview_url").agg(
-        pct(count_when(F.col("pageviews") == 1), F.count(F.lit(1))).alias("bounce_rate"))
+        pct(count_when(_bounced()), F.count("website_session_id")).alias("bounce_rate"))
     out = agg.select(
         *keys, _page_product(pages).alias("product_id"),
         F.col("pageview_url").alias("product_page"), "bounce_rate")

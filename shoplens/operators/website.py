@@ -94,15 +94,17 @@ def landing_pages(pageviews: DataFrame, summary: DataFrame | None = None) -> Dat
 
 def session_pageview_counts(pageviews: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """Pageviews per session with its first pageview id."""
+    # The NULL session joins no pageviews: its count is 0.
+    n = F.when(F.col("website_session_id").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("session_pageviews"))
     return _summary(pageviews, summary).select(
-        "website_session_id", "first_pageview_id", "session_pageviews")
+        "website_session_id", "first_pageview_id", n.alias("session_pageviews"))
 
 
 def landing_bounce_rate(pageviews: DataFrame, summary: DataFrame | None = None) -> DataFrame:
     """W4d: single-pageview sessions, sessions and bounce rate (%) per landing page."""
     s = _summary(pageviews, summary)
     agg = s.groupBy(F.col("landing_url").alias("pageview_url")).agg(
-        count_when(F.col("session_pageviews") == 1).alias("bounces"),
+        count_when((F.col("session_pageviews") == 1) & F.col("website_session_id").isNotNull()).alias("bounces"),
         F.count("website_session_id").alias("sessions"))
     return agg.select(
         "pageview_url", "bounces", "sessions", pct("bounces", "sessions").alias("bounce_rate"),
@@ -217,16 +219,23 @@ def url_pageviews(pageviews: DataFrame) -> DataFrame:
 def session_pageviews(pageviews: DataFrame) -> DataFrame:
     """Every pageview of every session. The reference joins each
     session's first id back to its pageviews and never uses the id; the
-    result is the pageviews themselves, so no join is run."""
-    return pageviews.where(F.col("website_session_id").isNotNull()).select(
-        "website_session_id", "website_pageview_id", "pageview_url")
+    result is the pageviews themselves, so no join is run. Pageviews without
+    a session form one group that joins nothing: one all-NULL row."""
+    sid = F.col("website_session_id")
+    known = pageviews.where(sid.isNotNull()).select("website_session_id", "website_pageview_id", "pageview_url")
+    lost = pageviews.where(sid.isNull()).groupBy("website_session_id").agg(
+        F.max(F.when(sid.isNotNull(), F.col("website_pageview_id"))).alias("website_pageview_id"),
+        F.max(F.when(sid.isNotNull(), F.col("pageview_url"))).alias("pageview_url"))
+    return known.union(lost)
 
 
 def _funnel(pageviews, sessions, stages, grain, unit):
     keys = grain_keys(grain)
     url = F.col("pageview_url")
-    per_session = pageviews.where(F.col("website_session_id").isNotNull()).groupBy("website_session_id").agg(
-        *[count_when(url.isin(list(urls))).alias(f"_{name}") for name, urls in stages])
+    # Pageviews without a session reach no stage but keep their (NULL) period's row.
+    known = F.col("website_session_id").isNotNull()
+    per_session = pageviews.groupBy("website_session_id").agg(
+        *[count_when(known & url.isin(list(urls))).alias(f"_{name}") for name, urls in stages])
     periods = with_grain(sessions, "created_at", grain).select("website_session_id", *keys)
     j = per_session.join(periods, "website_session_id", "left")
     suffix = "pvws" if unit == "pageview" else "sessions"

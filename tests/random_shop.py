@@ -1,5 +1,5 @@
 """Random small shop tables that exercise the edge cases the fixtures lack:
-NULL keys, orphan refunds, items refunded twice, orders with several
+NULL keys, sessions and times, orphan refunds, items refunded twice, orders with several
 refunds at coincident times, customers with 4+ orders whose ids run
 against time, sessions with several orders, sessions without pageviews.
 Pageview timestamps are unique (see SURVEY Q7)."""
@@ -46,12 +46,14 @@ def random_tables(spark, seed: int):
         items += o_items
         primary = o_items[0][3] if o_items else None
         price = _money(r, 5, 600)
-        orders.append((oid, when, None, user, primary, k, price, _cogs(r, price)))
+        ordered = None if r.random() < 0.05 else when
+        orders.append((oid, ordered, None, user, primary, k, price, _cogs(r, price)))
         for it in o_items:
             if r.random() < 0.3:
                 for _ in range(2 if r.random() < 0.2 else 1):
                     day = r.choice([3, 5, 5, 9])
-                    refunds.append((refund_id, when.replace(hour=0) + dt.timedelta(days=day), it[0], oid,
+                    back = None if r.random() < 0.1 else when.replace(hour=0) + dt.timedelta(days=day)
+                    refunds.append((refund_id, back, it[0], oid,
                                     (it[5] * Decimal("1.07")).quantize(Decimal("0.0001"))))
                     refund_id += 1
     for _ in range(4):  # refunds of orders that do not exist
@@ -75,7 +77,7 @@ def random_tables(spark, seed: int):
         ids = r.sample(range(pv_id, pv_id + 3 * max(n_pv, 1)), n_pv)
         pv_id += 3 * max(n_pv, 1)
         for i, t in zip(ids, times):
-            pageviews.append((i, t, sid, r.choice(URLS)))
+            pageviews.append((i, t, None if r.random() < 0.08 else sid, r.choice(URLS)))
         for _ in range(r.choice([0, 0, 1, 1, 2])):
             price = _money(r, 5, 80)
             web_orders.append((10_000 + web_id, times[0] + dt.timedelta(minutes=r.randint(1, 30)),
