@@ -20,8 +20,9 @@ only one of them is joined. The join has two steps:
 An index key's documents are not paired with each other: each is paired with
 the key's pivot (the document with the most common tokens), verified, and the
 links' components are formed. Only documents of different components are then
-paired within a key, behind size and overlap bounds. That finds every
-component without emitting all pairs of a group.
+paired, at single tokens of their base prefixes, behind bounds on sizes, on
+the tokens they can share and on the places of the first one. That finds
+every component without emitting all pairs of a group.
 
 Defined results: NULL or word-less texts have an empty set, n_shingles 0 and link
 with nothing; fewer than five words make one shingle; doc_id names a document,
@@ -33,6 +34,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Tokens of at most this many documents are indexed alone, the others in twos.
 RARE = 16
+#: Kinds of index keys.
+SINGLE, SINGLE_FREQUENT, DOUBLE = 0, 1, 2
 
 
 def base_prefix(n):
@@ -98,37 +102,59 @@ def _similar(a: Column, b: Column, common: Column) -> Column:
 
 
 def _signatures(batch: pa.RecordBatch) -> dict:
-    """Index keys of each set: rare tokens of the base prefix, neighbours among the frequent of the extended one."""
+    """Index keys of each set: rare tokens of the base prefix, neighbours among the frequent of the extended one.
+
+    ``most`` bounds the tokens that a pair first met at the key can share: all
+    repeated ones at a rare key; at a frequent key only the frequent ones, as
+    a pair that shares a rare token meets at its first one.
+    """
     ids, sizes, known = (batch.column(c).to_numpy() for c in ("id", "n", "r"))
     lists = batch.column("shared")
     at = lists.offsets.to_numpy()
     fields = lists.values
     freq, token = fields.field("df").to_numpy(), fields.field("token").to_numpy().view(np.uint64)
-    rows, sigs = [], []
+    rows, sigs, most, kind, place = [], [], [], [], []
     for i in range(batch.num_rows):
         n, unique = int(sizes[i]), int(sizes[i] - known[i])
         f, t = freq[at[i] : at[i + 1]], token[at[i] : at[i + 1]]
         base = t[: max(0, base_prefix(n) - unique)]
-        single = base[f[: len(base)] <= RARE]
+        rare = f[: len(base)] <= RARE
+        frequent = int(np.count_nonzero(f > RARE))
+        enough = 100 * frequent >= PERCENT * n
+        keep = rare | enough
         reach = max(0, min(n, extended_prefix(n)) - unique)
-        often = t[:reach][f[:reach] > RARE]
+        often = t[:reach][f[:reach] > RARE] if enough else t[:0]
         double = mix64(often[:-1] * np.uint64(0x9E3779B97F4A7C15) + often[1:]) if len(often) > 1 else often[:0]
-        sigs += [single, double]
-        rows.append(len(single) + len(double))
+        sigs += [base[keep], double]
+        rows.append(int(keep.sum()) + len(double))
+        most += [np.where(rare[keep], known[i], frequent), np.full(len(double), frequent)]
+        kind += [np.where(rare[keep], SINGLE, SINGLE_FREQUENT), np.full(len(double), DOUBLE)]
+        place += [np.flatnonzero(keep) + unique, np.zeros(len(double), np.int64)]
     own = np.repeat(np.arange(batch.num_rows), rows)
     centre = batch.column("centre").to_numpy()
     return {
-        "sig": np.concatenate(sigs).view(np.int64), "id": ids[own], "n": sizes[own], "r": known[own], "centre": centre[own],
+        "sig": np.concatenate(sigs).view(np.int64), "id": ids[own], "n": sizes[own], "most": np.concatenate(most).astype(np.int64),
+        "kind": np.concatenate(kind).astype(np.int32), "place": np.concatenate(place).astype(np.int32), "centre": centre[own],
     }
 
 
 def _may_link(a: str, b: str) -> Column:
-    """Bounds on two sets from their sizes n and their numbers of repeated tokens r."""
+    """Bounds on two sets from their sizes and the most tokens they can share if the key is their first."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = F.least(f"{a}.r", f"{b}.r")
+    most = F.least(f"{a}.most", f"{b}.most")
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & _similar(na, nb, most)
 
 
+def _first_shared(a: str, b: str) -> Column:
+    """Whether a key's places allow it to be the first token that two linked sets share.
+
+    They share at least 80 / 180 of their joint size; in either set, no more
+    than the rest stands before the first shared token.
+    """
+    least = F.ceil(PERCENT * (F.col(f"{a}.n") + F.col(f"{b}.n")) / (100 + PERCENT))
+    return (F.col(f"{a}.place") <= F.col(f"{a}.n") - least) & (F.col(f"{b}.place") <= F.col(f"{b}.n") - least)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets of repeated tokens."""
     side = sets.select("id", "n", "tokens")
@@ -165,26 +191,30 @@ def link_classes(docs: DataFrame) -> DataFrame:
     known = staged(known.select("id", "n", "r", "shared", centre.alias("centre")), "jaccard_known")
     shared = known.select("id", "n", F.transform("shared", lambda x: x["token"]).alias("tokens"))
 
-    sigs = staged(over_batches(known, _signatures, "sig long, id long, n long, r long, centre double"), "jaccard_signatures")
-    pivots = sigs.groupBy("sig").agg(
-        F.max(F.struct("centre", F.col("id").alias("pivot"), "n", "r")).alias("p"), F.count(F.lit(1)).alias("c")
-    ).where("c > 1").select("sig", "p.pivot", F.col("p.n").alias("n"), F.col("p.r").alias("r"))
-    stars = sigs.alias("s").join(pivots.alias("p"), "sig").where((F.col("s.id") != F.col("p.pivot")) & _may_link("s", "p"))
+    sigs = staged(over_batches(known, _signatures, "sig long, id long, n long, most long, kind int, place int, centre double"), "jaccard_signatures")
+    index = sigs.where(F.col("kind") != SINGLE_FREQUENT)
+    pivots = index.groupBy("sig").agg(
+        F.max(F.struct("centre", F.col("id").alias("pivot"), "n", "most")).alias("p"), F.count(F.lit(1)).alias("c")
+    ).where("c > 1").select("sig", "p.pivot", F.col("p.n").alias("n"), F.col("p.most").alias("most"))
+    stars = index.alias("s").join(pivots.alias("p"), "sig").where((F.col("s.id") != F.col("p.pivot")) & _may_link("s", "p"))
     tried = staged(stars.select(F.least("s.id", "p.pivot").alias("a"), F.greatest("s.id", "p.pivot").alias("b")).distinct(), "jaccard_stars")
     links = staged(_verified(tried, shared), "jaccard_links")
 
     # Pairs of different components that share a key: all but the pivot's component against the whole key.
     label = components(links, "jaccard")
-    named = sigs.join(label.withColumnRenamed("node", "id"), "id", "left").select(
-        "sig", "id", "n", "r", F.coalesce("label", "id").alias("label")
+    named = sigs.where(F.col("kind") != DOUBLE).join(label.withColumnRenamed("node", "id"), "id", "left").select(
+        "sig", "id", "n", "most", "place", "centre", F.coalesce("label", "id").alias("label")
     )
     named = staged(named, "jaccard_named")
-    main = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    home = pivots.select("sig", F.col("pivot").alias("id")).join(named.select("sig", "id", "label"), ["sig", "id"]).select("sig", F.col("label").alias("home"))
-    mixed = named.join(main, "sig").join(home, "sig")
+    # The home of a key is the component of its most central document.
+    home = named.groupBy("sig").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("centre", "id", "label")).alias("top")
+    ).where("lo < hi").select("sig", F.col("top.label").alias("home"))
+    mixed = named.join(home, "sig")
     other = mixed.where("label <> home")
     cross = other.alias("s").join(mixed.alias("p"), "sig").where(
-        (F.col("s.label") != F.col("p.label")) & ((F.col("p.label") == F.col("p.home")) | (F.col("s.id") < F.col("p.id"))) & _may_link("s", "p")
+        (F.col("s.label") != F.col("p.label")) & ((F.col("p.label") == F.col("p.home")) | (F.col("s.id") < F.col("p.id")))
+        & _may_link("s", "p") & _first_shared("s", "p")
     )
     cross = cross.select(F.least("s.id", "p.id").alias("a"), F.greatest("s.id", "p.id").alias("b")).distinct()
     cross = cross.join(tried, ["a", "b"], "left_anti")
@@ -203,11 +233,25 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one of each link class: the one whose doc_id names the class.
 
     Rows with a NULL doc_id stay (they name no document), and so do texts
-    without words. Equal rows of the chosen doc_id are repeated rows of one
-    document; one of them stays.
+    without words. Of rows that share a doc_id one stays. Only rows whose id
+    may be affected are shuffled; a filter of those ids lets the others pass.
     """
-    classes = link_classes(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    columns = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("doc_id").alias("_id"))
-    kept = row.join(classes.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
-    return kept.select("row.*")
+    classes = link_classes(docs).where("doc_id is not null")
+    again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("c"))
+    touched = staged(again.where("n > 1 or doc_id <> c").select("doc_id", (F.col("doc_id") != F.col("c")).alias("gone")), "jaccard_touched")
+    suspects = IdFilter(touched, "doc_id")
+    schema = docs.schema
+
+    def side(suspect: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = pa.array(suspects.marks(batch) == suspect)
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[: len(schema)]], names=schema.names)
+
+        slots = suspects.slots("doc_id")
+        return docs.select(*[F.col(f"`{c}`") for c in schema.names], *slots).mapInArrow(run, schema)
+
+    row = side(True).select(F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("row"), F.col("doc_id").alias("_id"))
+    gone = touched.where("gone").select(F.col("doc_id").alias("_id"))
+    kept = row.join(gone, "_id", "left_anti").dropDuplicates(["_id"]).select("row.*")
+    return side(False).union(kept)
