@@ -15,7 +15,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from shoplens.plans.reports import REPORTS
+from shoplens.plans.reports import REPORTS, reports
 from shoplens.sources.tables import read_catalog, read_published
 
 
@@ -39,7 +39,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     src = run.add_mutually_exclusive_group(required=True)
     src.add_argument("--published", help="root written by prep.publish")
-    src.add_argument("--catalog", help="database holding the six shop tables and web_orders")
+    src.add_argument("--catalog", help="database holding the six shop tables")
     src.add_argument("--fixture", help="driver fixture directory (mapped, then published)")
     args = ap.parse_args(argv)
 
@@ -51,8 +51,9 @@ def main(argv: list[str] | None = None) -> int:
         ap.error(f"unknown reports: {unknown}")
     spark = SparkSession.builder.appName("shoplens").getOrCreate()
     tables = _tables(spark, args)
+    catalog = REPORTS if args.fixture else reports()  # the scripts' own page lists, cutoff and grains
     for name in args.reports:
-        writer = REPORTS[name](tables).write.mode("overwrite").format(args.format)
+        writer = catalog[name](tables).write.mode("overwrite").format(args.format)
         if args.format == "csv":
             writer = writer.option("header", "true")
         writer.save(f"{args.out}/{name}")

@@ -9,6 +9,8 @@ back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -122,6 +124,12 @@ def publish(
     return root
 
 
+def row_counts(tables: ShopTables) -> DataFrame:
+    """Rows per base table, e.g. of a published copy read back."""
+    counts = [df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")) for name, df in tables.items()]
+    return reduce(DataFrame.union, counts)
+
+
 def published_counts(tables: ShopTables, root: str) -> dict[str, tuple[int, int]]:
     """(rows in source, rows read back) per table, for publish checks."""
     spark = tables.orders.sparkSession

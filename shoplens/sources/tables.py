@@ -102,8 +102,12 @@ def read_catalog(spark: SparkSession, database: str | None = None, prefix: str =
     underlying scans as usual.
     """
     qual = f"{database}." if database else ""
+    # A shop without a web_orders table keeps the session of an order on the order.
+    names = {n: n for n in SCHEMAS}
+    if not spark.catalog.tableExists(f"{qual}{prefix}web_orders"):
+        names["web_orders"] = "orders"
     tables = ShopTables(**{
-        name: spark.table(f"{qual}{prefix}{name}").select(*cols) for name, cols in SCHEMAS.items()
+        name: spark.table(f"{qual}{prefix}{names[name]}").select(*cols) for name, cols in SCHEMAS.items()
     })
     summary = f"{qual}{prefix}session_summary"
     if spark.catalog.tableExists(summary):
@@ -127,10 +131,15 @@ def read_published(spark: SparkSession, root: str) -> ShopTables:
     (with its session summary when one was published)."""
     from pyspark.errors import AnalysisException
 
-    tables = ShopTables(**{
-        name: spark.read.parquet(f"{root}/{name}").select(*cols)
-        for name, cols in SCHEMAS.items()
-    })
+    def read(name: str, cols: list[str]) -> DataFrame:
+        try:
+            return spark.read.parquet(f"{root}/{name}").select(*cols)
+        except AnalysisException:
+            if name != "web_orders":
+                raise
+            return spark.read.parquet(f"{root}/orders").select(*cols)
+
+    tables = ShopTables(**{name: read(name, cols) for name, cols in SCHEMAS.items()})
     try:
         summary = spark.read.parquet(f"{root}/session_summary").select(*SESSION_SUMMARY)
     except AnalysisException:
