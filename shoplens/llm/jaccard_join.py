@@ -90,10 +90,10 @@ SET_SCHEMA = "doc_id long, n long, cls binary, tokens array<long>"
 
 def _survivors(heads: DataFrame) -> DataFrame:
     """Step 1: (doc_id, n, cls) of the documents with enough repeated tokens in the extended prefix."""
-    token = heads.where("n >= 5 and doc_id is not null").select("doc_id", "n", "cls", F.explode("tokens").alias("token"))
+    token = heads.where("n >= 4 and doc_id is not null").select("doc_id", "n", "cls", F.explode("tokens").alias("token"))
     repeated = token.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     hits = token.select("doc_id", "token").join(repeated, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    ids = heads.where("n >= 5 and doc_id is not null").select("doc_id", "n", "cls")
+    ids = heads.where("n >= 4 and doc_id is not null").select("doc_id", "n", "cls")
     return ids.join(hits, "doc_id").where(F.expr("hits >= n div 20 + 1")).select("doc_id", "n", "cls")
 
 

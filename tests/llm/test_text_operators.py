@@ -128,6 +128,16 @@ def test_jaccard_frequent_tokens_and_chains(spark, monkeypatch):
         assert got == want
 
 
+def test_jaccard_smallest_linked_sets(spark):
+    """Four shingles within five are the smallest sets that link without being equal."""
+    eight = "a1 b2 c3 d4 e5 f6 g7 h8"
+    rows = [(1, eight), (2, eight + " i9"), (3, "z0 " + eight), (4, "a1 b2 c3 d4 e5 f6 g7"), (5, "k1 l2 m3 n4"), (6, "k1 l2 m3 n4 o5")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_classes(df).collect()}
+    assert got == brute_components(rows)
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
+
+
 def test_one_of_each_class(docs, sample, empty):
     kept = jaccard_join.one_of_each(docs)
     assert kept.schema == docs.schema
