@@ -163,8 +163,7 @@ def labelled_findings(docs: DataFrame, prose: Prose) -> DataFrame:
                 continue
             for _, value, before, after in candidates(data.tobytes()):
                 known = known_label(value, before)
-                # False positives abound (one in 64 by content is plenty); every secret is kept.
-                if known == 1 or known == 0 and sum(value) % 64 == 0:
+                if known is not None:
                     label.append(known)
                     rows.append(features(value, before, after, (path or "").encode(), prose))
                     key.append(value.decode())

@@ -120,6 +120,18 @@ def test_secrets(spark, full, docs, empty):
     assert secret_scan.scan(docs).count() == 0
 
 
+def test_every_settled_finding_can_teach(spark, full):
+    """Below the bound all different findings of both labels are training rows, on the smallest table too."""
+    for df in (full, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        want = set()
+        for r in df.collect():
+            want |= {(secret_scan.known_label(v, b), v) for _, v, b, _ in secret_scan.candidates((r.text or "").encode())}
+        want = Counter(k for k, _ in want if k is not None)
+        assert 0 < want[0] < secret_scan.SAMPLE and want[1] < secret_scan.SAMPLE
+        prose = secret_scan.learn_prose(df)
+        assert Counter(r.label for r in secret_scan.labelled_findings(df, prose).collect()) == want
+
+
 def test_forest_arrays_score_like_the_model(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
