@@ -1,6 +1,8 @@
 """Secret scans: candidates judged by a random forest trained on labelled findings.
 
-*Candidates* are runs of ``SHORTEST`` or more letters, digits and +/_- in a text.
+*Candidates* are runs of ``SHORTEST`` or more letters, digits and +/_- in a text,
+and whatever non-space value is assigned to a credential name, of any length and
+with any signs (up to its quote, or without the marks that close it).
 *Features*: length, shares of digits, capitals and signs, entropy, likelihood of
 the character transitions under the corpus's own words, dictionary coverage
 (share of the candidate covered by frequent words of the corpus), the path
@@ -48,7 +50,10 @@ MASK = "[SECRET]"
 CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}(?![A-Za-z0-9+/_\-])")
 #: Shapes of well-known key formats.
 FORMATS = re.compile(rb"(AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_\-]{20,}|xox[baprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{35}")
-_ASSIGNED = re.compile(rb"(?i)(token|passw(?:or)?d|pwd|secret|api[_-]?key|access[_-]?key|auth)[\"']?\s*[:=]\s*[\"']?$")
+_NAME = rb"(?i)(token|passw(?:or)?d|pwd|secret|api[_-]?key|access[_-]?key|auth)[\"']?\s*"
+_ASSIGNED = re.compile(_NAME + rb"[:=]+>?\s*[\"']?$")
+#: A value assigned to a credential name: in quotes, or else up to a space.
+VALUE = re.compile(_NAME + rb"[:=]+>?\s*(?:\"([^\"\s]+)|'([^'\s]+)|([^\s\"']\S*))")
 _ADDRESS = re.compile(rb"(?i)(https?://|www\.|@)\S*$")
 FEATURES = ("length", "digits", "capitals", "signs", "entropy", "transitions", "dictionary", "path", "assigned", "quoted", "before", "after")
 
@@ -62,8 +67,20 @@ def _bucket(value: bytes) -> int:
 
 def candidates(text: bytes) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """(start, candidate, the text before it, the text after it) of each candidate."""
+    spans = []
+    for m in VALUE.finditer(text):
+        value = m[m.lastindex] if m.lastindex < 4 else m[4].rstrip(b"\"',;)]}>") or m[4]
+        spans.append((m.start(m.lastindex), m.start(m.lastindex) + len(value)))
+    whole = iter([*spans, (len(text) + 1, len(text) + 1)])
+    lo, hi = next(whole)
+    runs = []
     for m in CANDIDATE.finditer(text):
-        yield m.start(), m[0], text[max(0, m.start() - 40) : m.start()], text[m.end() : m.end() + 24]
+        while hi <= m.start():
+            lo, hi = next(whole)
+        if m.start() < lo:  # not a part of an assigned value
+            runs.append(m.span())
+    for a, b in sorted(spans + runs):
+        yield a, text[a:b], text[max(0, a - 40) : a], text[b : b + 24]
 
 
 def known_label(value: bytes, before: bytes) -> int | None:
@@ -88,7 +105,7 @@ class Prose:
 
     def likelihood(self, value: bytes) -> float:
         v = np.frombuffer(value.lower(), np.uint8)
-        return float(self.transitions[v[:-1] & 127, v[1:] & 127].mean())
+        return float(self.transitions[v[:-1] & 127, v[1:] & 127].mean()) if len(v) > 1 else 0.0
 
     def coverage(self, value: bytes) -> float:
         if self._automaton is None:
@@ -114,7 +131,7 @@ def features(value: bytes, before: bytes, after: bytes, path: bytes, prose: Pros
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     words = before.split()
     return [
-        float(n), sum(48 <= b < 58 for b in value) / n, sum(65 <= b < 91 for b in value) / n, sum(b in b"+/_-" for b in value) / n,
+        float(n), sum(48 <= b < 58 for b in value) / n, sum(65 <= b < 91 for b in value) / n, sum(not 48 <= b < 58 and not 65 <= b < 91 and not 97 <= b < 123 for b in value) / n,
         entropy, prose.likelihood(value), prose.coverage(value), float(_bucket(path)),
         float(before.rstrip(b"\"' ")[-1:] in (b"=", b":") and bool(before)), float(before[-1:] in (b'"', b"'") and bool(before)),
         float(_bucket(words[-1].strip(b"\"'=:").lower()) if words else -1), float(_bucket((after.split() or [b""])[0].lower())),

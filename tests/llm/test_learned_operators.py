@@ -132,6 +132,23 @@ def test_every_settled_finding_can_teach(spark, full):
         assert Counter(r.label for r in secret_scan.labelled_findings(df, prose).collect()) == want
 
 
+def test_short_and_broken_assigned_values_are_candidates(spark, full):
+    values = ["hunter2x", "Tr0ub4dor&3", "p.4ss!w@rd$9", "q1", "7", "abc123!" * 4 + "x", "é9ü8ß7"]
+    texts = [t.format(v) for v in values for t in ('password = "{}" and', "see pwd: {}, and", "api_key='{}'", "token={} x", "auth:={}")]
+    for t in texts:
+        found = [v.decode() for _, v, _, _ in secret_scan.candidates(t.encode())]
+        assert any(found == [v] for v in values) and found[0] in t
+    both = list(secret_scan.candidates(b"secret=" + b"a1" * 10 + b"." + b"b2" * 10 + b" then " + b"c3" * 10))
+    assert [v for _, v, _, _ in both] == [b"a1" * 10 + b"." + b"b2" * 10, b"c3" * 10]
+    assert not list(secret_scan.candidates(b"no secret here, token count or password of 8"))
+    rows = spark.createDataFrame([(i, t, None, "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    prose = secret_scan.learn_prose(rows)
+    known = secret_scan.redact(rows, secret_scan.Scanner(None, prose)).collect()
+    assert all("[SECRET]" in r.text and not any(v in r.text.split("[SECRET]") for v in values) for r in known)
+    judged = secret_scan.scan(rows, secret_scan.scanner(full), threshold=0.0).collect()
+    assert len(judged) == len(texts)
+
+
 def test_forest_arrays_score_like_the_model(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
