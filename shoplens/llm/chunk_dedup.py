@@ -88,11 +88,12 @@ def repeated_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
-def dedup_report(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """One row per document with runs of ``run`` bytes or more that other documents hold too.
+def chunk_report(docs: DataFrame) -> DataFrame:
+    """One row per document with chunks that occur again, in it or in another.
 
     doc_id, repeated_bytes, removed_bytes (chunks kept elsewhere), n_removed
-    chunks, longest_run, kept_docs (the documents that keep its removed chunks).
+    chunks, longest_run (of neighbouring chunks that other documents hold),
+    kept_docs (the documents that keep its removed chunks; itself for its own copies).
     """
     repeated = repeated_chunks(staged(chunk_table(docs), "cdc_chunks"))
     lists = repeated.groupBy("doc_id").agg(
@@ -114,4 +115,14 @@ def dedup_report(docs: DataFrame, run: int = RUN) -> DataFrame:
         "doc_id", size(lambda x: F.lit(True)).alias("repeated_bytes"), size(lambda x: x["removed"]).alias("removed_bytes"),
         F.size(F.filter("chunks", lambda x: x["removed"])).alias("n_removed"), walk.alias("longest_run"),
         F.array_sort(F.array_distinct(F.transform(F.filter("chunks", lambda x: x["removed"]), lambda x: x["kept_doc"]))).alias("kept_docs"),
-    ).where(F.col("longest_run") >= run)
+    )
+
+
+def dedup_report(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """The documents of ``chunk_report`` with runs of ``run`` bytes or more that other documents hold too."""
+    return chunk_report(docs).where(F.col("longest_run") >= run)
+
+
+def removal_report(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """The documents of ``dedup_report`` and every other one with a removed chunk, be its copy elsewhere or in itself."""
+    return chunk_report(docs).where((F.col("n_removed") > 0) | (F.col("longest_run") >= run))

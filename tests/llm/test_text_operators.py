@@ -214,6 +214,35 @@ def test_chunk_report(docs, sample, empty):
     assert chunk_dedup.dedup_report(empty).count() == 0
 
 
+def test_every_removed_chunk_is_reported(spark, sample, tmp_path):
+    """Copies within one document and copies below 64 bytes count too; so does the query."""
+    import random
+
+    import numpy as np
+
+    from shoplens.llm.queries import queries
+
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    own = text(80)
+    rows = [(1, own + " " + text(20) + " " + own), (2, text(120)), (3, "tiny copy"), (4, "tiny copy"), (5, text(50)), (5, "")]
+    rows += [(r.doc_id + 100, r.text) for r in sample.collect()]
+    seen, removed = set(), Counter()
+    for i, t in sorted(set(rows), key=lambda r: r[0]):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        edges = chunk_dedup.cuts(data) if len(data) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            piece = data[a:b].tobytes()
+            if piece in seen:
+                removed[i] += b - a
+            seen.add(piece)
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path + "/documents.parquet")
+    got = {r.doc_id: r.removed_bytes for r in queries()["op6_chunk_dedup"](spark, path).collect()}
+    assert removed[1] > 300 and removed[4] == 9
+    assert {i: n for i, n in got.items() if n} == removed
+
+
 def test_languages(spark, docs, empty):
     full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(full).join(full.select("doc_id", "lang"), "doc_id").where("held_out").collect()
