@@ -149,3 +149,43 @@ class IdFilter:
 
     def rows(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(self.marks(batch)))
+
+
+def tallied(df: DataFrame, add: Callable[[pa.RecordBatch, dict], None], keys: str, counts: int = 1, most: int = 200_000) -> DataFrame:
+    """Counts by key, partially added up in the tasks: ``add(batch, tally)`` adds to a dictionary.
+
+    ``keys`` is the schema of the key columns; the tally maps a key (a tuple if
+    there are several) to a count, or to a list of ``counts`` counts, named n or
+    n0, n1, ... It is handed on and emptied at ``most`` entries or after 128 MB of
+    input, so a worker's memory is bounded; a ``groupBy`` of the keys adds up the rest.
+    """
+    numbers = ["n"] if counts == 1 else [f"n{i}" for i in range(counts)]
+    types = df.sparkSession.createDataFrame([], f"{keys}, " + ", ".join(f"{n} long" for n in numbers)).schema
+    wide = len(types) - counts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want = to_arrow_schema(types)
+
+        def rows(tally: dict) -> Iterator[pa.RecordBatch]:
+            found = list(tally.items())
+            for at in range(0, len(found), 16 * PIECE):
+                some = found[at : at + 16 * PIECE]
+                columns = [[k for k, _ in some]] if wide == 1 else [[k[i] for k, _ in some] for i in range(wide)]
+                columns += [[v for _, v in some]] if counts == 1 else [[v[i] for _, v in some] for i in range(counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, want)], schema=want)
+
+        tally: dict = {}
+        fed = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                add(part, tally)
+                fed += part.nbytes
+                if len(tally) >= most or fed >= 1 << 27:
+                    yield from rows(tally)
+                    tally, fed = {}, 0
+        yield from rows(tally)
+
+    return df.mapInArrow(run, types)

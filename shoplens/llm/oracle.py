@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shoplens.llm.divergence import LEAST_DOCS, TOP_TERMS
 from shoplens.llm.mixing import MAX_EPOCHS, RANGES, SHARE, WEIGHTS
 from shoplens.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS
 
@@ -62,4 +63,29 @@ MIXING_TARGETS = f"""
     target AS (SELECT source, source_size, CASE WHEN pick.level * w < cap THEN pick.level * w ELSE cap::DOUBLE END AS target
         FROM weighed, pick)"""
 
-ORACLES: dict[str, str] = {"op8_quality": QUALITY}
+_P = "(1 + (1000000000::HUGEINT * ({count} + 1)) // ({n} + {v}))::HUGEINT"
+DIVERGENCE = f"""WITH
+    d AS (SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    tok AS (SELECT lang, source, row_id, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS count FROM tok GROUP BY lang, term HAVING count(DISTINCT row_id) >= {LEAST_DOCS}),
+    langs AS (SELECT lang, count(*) AS v, sum(count) AS n FROM kept GROUP BY lang),
+    grp AS (SELECT DISTINCT lang, source FROM d),
+    cnt AS (SELECT lang, source, term, count(*) AS count FROM tok SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    tot AS (SELECT lang, source, sum(count) AS n FROM cnt GROUP BY ALL),
+    dense AS (SELECT g.lang, g.source, k.term, coalesce(c.count, 0) AS count,
+            {_P.format(count="coalesce(c.count, 0)", n="coalesce(t.n, 0)", v="l.v")} AS p,
+            {_P.format(count="k.count", n="l.n", v="l.v")} AS lang_p
+        FROM grp g JOIN langs l USING (lang) JOIN kept k USING (lang)
+        LEFT JOIN tot t USING (lang, source) LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    same AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+        FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+        FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN same s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    above AS (SELECT lang, source, term AS item, (((p - lang_p) * (p - lang_p)) // lang_p)::BIGINT AS value FROM dense WHERE count > 0 AND p > lang_p),
+    ranked AS (SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pair
+        UNION ALL SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) FROM above)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP_TERMS}"""
+
+ORACLES: dict[str, str] = {"op8_quality": QUALITY, "op13_divergence": DIVERGENCE}

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import chunk_dedup, decontam, jaccard_join, langid, mixing, quality, repeats, secret_scan, toxicity, warc
+from shoplens.llm import chunk_dedup, decontam, divergence, jaccard_join, langid, mixing, quality, repeats, secret_scan, spelling
+from shoplens.llm import token_counts, toxicity, warc
 from shoplens.llm.common import table
 from shoplens.llm.oracle import ORACLES
 
@@ -52,6 +53,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.noisy_words(table(spark, sf_dir, "documents")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontam": op2_decontam,
@@ -63,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_langid": op10_langid,
+    "op11_token_counts": op11_token_counts,
+    "op12_spelling": op12_spelling,
+    "op13_divergence": op13_divergence,
 }
 
 

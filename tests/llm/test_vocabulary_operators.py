@@ -1,0 +1,260 @@
+"""Token counts, spelling variants and source divergence against brute force."""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import public_tokenizers
+import pytest
+import regex
+import sentencepiece
+from tokenizers import Tokenizer
+
+from shoplens.llm import divergence, spelling, token_counts
+from shoplens.llm.oracle import ORACLES
+from shoplens.llm.queries import queries
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def by_row(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark):
+    """Special strings, spaces of all kinds, scripts in doubt, contractions, one very long text."""
+    rng = random.Random(4)
+    texts = [
+        "a<|endoftext|>b", "<|endoftext|>", "  <|endoftext|>  x", "<|endoftext|", "I'll  they've\n\n x's'S", "tab\t\tend  ", " x y 　",
+        "日本語 の 文", "한국어 문장", "՘֋ x", "\U0003fc36 \U0001f600!", "é" * 50, "x" * 100_000, "\x1c \x85 \x0b", " " * 5_000, "1234567 ½ Ⅷ",
+        " ".join("".join(rng.choice("abcdeé ' 12\n") for _ in range(9)) for _ in range(60_000)), "", None,
+    ]
+    return spark.createDataFrame([(i if i % 5 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+
+
+@pytest.mark.parametrize("table", ["docs", "sample", "empty", "odd_texts"])
+def test_token_counts_are_the_library_s(request, table):
+    df = request.getfixturevalue(table)
+    library = Tokenizer.from_file(BPE)
+    want = Counter()
+    for r in df.collect():
+        n = len(library.encode(r.text or "", add_special_tokens=False).ids)
+        want[r.doc_id, len((r.text or "").encode()), n, n > 1024] += 1
+    got = token_counts.token_counts(df, BPE)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert by_row(got, *got.columns) == want
+
+
+def test_token_counts_without_a_frequent_table_and_with_a_small_cache(monkeypatch, odd_texts):
+    """Counts do not depend on what is looked up where."""
+    want = by_row(token_counts.token_counts(odd_texts, BPE), "doc_id", "n_tokens")
+    monkeypatch.setattr(token_counts, "SAMPLE", 0)
+    assert by_row(token_counts.token_counts(odd_texts, BPE), "doc_id", "n_tokens") == want
+    counter = token_counts.TokenCounter(open(BPE, "rb").read(), "json")
+    monkeypatch.setattr(token_counts, "RECENT", 3)
+    assert Counter((r.doc_id, counter.count(r.text or "")) for r in odd_texts.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_other_tokenizers(sample, odd_texts, name):
+    path = public_tokenizers.path(name)
+    if name.endswith(".model"):
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        count = lambda t: len(pieces.encode(t))
+    else:
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for df in (sample.limit(40), odd_texts.where("length(text) < 10000 or text is null")):
+        rows = df.collect()
+        got = token_counts.token_counts(df.sparkSession.createDataFrame(rows, df.schema), path)
+        assert by_row(got, "doc_id", "n_tokens") == Counter((r.doc_id, count(r.text) if r.text else 0) for r in rows)
+
+
+def test_sure_code_points_are_cut_as_the_library_cuts_them():
+    cut, own = Tokenizer.from_file(BPE).pre_tokenizer.pre_tokenize_str, regex.compile(token_counts.PATTERN)
+    sure = regex.compile(f"[{token_counts.SURE}]")
+    for c in filter(lambda c: not 0xD800 <= c <= 0xDFFF and sure.match(chr(c)), range(0x10000)):
+        text = f"a{chr(c)}1{chr(c)}  {chr(c)}!"
+        assert [text[a:b] for _, (a, b) in cut(text)] == own.findall(text), hex(c)
+
+
+def brute_words(rows):
+    total = Counter()
+    for doc_id, text in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for run in re.findall("[A-Za-zÀ-ÿ]+", low):
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 7:
+                total[run] += 1
+    return total
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) < len(b):
+        a, b = b, a
+    return len(a) == len(b) + 1 and any(a[:i] + a[i + 1 :] == b for i in range(len(a)))
+
+
+def brute_variants(counts):
+    words = {w: n for w, n in counts.items() if n >= 2}
+    near = defaultdict(set)
+    by_key = defaultdict(set)
+    for w in words:  # words one edit apart share the word itself or one of its deletions
+        for key in {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}:
+            by_key[key].add(w)
+    for group in by_key.values():
+        for a in group:
+            near[a] |= {b for b in group if b != a and b not in near[a] and one_edit(a, b)}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * n else None
+    rows = Counter()
+    for w, n in words.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        rows[w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None] += 1
+    return rows
+
+
+COLUMNS = ("word", "form", "root", "n", "n_near", "form_n")
+
+
+@pytest.fixture(scope="module")
+def misspelt(spark):
+    """Chains of forms, ties, doubled letters, accents, long words, many variants of one word."""
+    rows, at = [], 0
+    def put(word, n):
+        nonlocal at
+        for _ in range(n):
+            rows.append((at, f"{word}, {word.title()}" if at % 3 else word))
+            at += 1
+    for word, n in [("abcdefgh", 900), ("abcdefgx", 70), ("abcdefyx", 6), ("abcdefy", 2), ("zzzzzzz", 40), ("zzzzzzzz", 3), ("zzzzzzzzz", 2), ("éàùàéàù", 30),
+                    ("éàùàéàü", 2), ("×÷×÷×÷×", 3), ("mississippi", 50), ("misissippi", 4), ("ttttttta", 60), ("tttttttb", 60), ("tttttttc", 4)]:
+        put(word, n)
+    long = "".join(chr(97 + i * 31 % 26) for i in range(3_000))
+    put(long, 30)
+    put(long[:1500] + "é" + long[1501:], 2)
+    put(long[1:], 2)
+    for i in range(26):
+        put("qwertyu" + chr(97 + i), 2)
+    put("qwertyu", 80)
+    return spark.createDataFrame(rows + [(None, "abcdefgh"), (None, None), (5, "")], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("table", ["docs", "sample", "misspelt", "empty"])
+@pytest.mark.parametrize("most", [1 << 24, 1 << 10])
+def test_spelling_variants(request, monkeypatch, table, most):
+    monkeypatch.setattr(spelling, "MOST", most)  # one pass over the filter, and many
+    df = request.getfixturevalue(table)
+    counts = brute_words([(r.doc_id, r.text) for r in df.collect()])
+    found = spelling.noisy_words(df)
+    assert by_row(found, "word", "n") == Counter(counts.items())
+    assert by_row(spelling.variants(found), *COLUMNS) == brute_variants(counts)
+
+
+def test_spelling_query(spark):
+    path = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(path + "/documents.parquet").select("doc_id", "text").collect()
+    assert by_row(queries()["op12_spelling"](spark, path), *COLUMNS) == brute_variants(brute_words(rows))
+
+
+def test_filter_passes_are_small_and_complete():
+    """Every word passes the filter; few others do."""
+    words = [f"word{i:05d}" for i in range(2_000)]
+    layout = spelling.Layout({9: 2_000, 12: 1})
+    import numpy as np
+    import pyarrow as pa
+
+    slots = spelling._slots(layout)(pa.record_batch({"word": words}))
+    table = np.zeros(layout.total * 8, np.uint64)
+    np.bitwise_or.at(table, slots["slot"], slots["mask"].view(np.uint64))
+
+    class Held:
+        value = table
+
+    probe = spelling.Neighbourhood(layout, np.array([97]), 0, layout.total, Held)
+    hashes = lambda names: spelling.word_hash(np.stack([spelling._codes(w) for w in names]))
+    assert len(probe.passing(hashes(words), 9)) == 2_000
+    assert len(probe.passing(hashes([f"w0rd{i:05d}" for i in range(20_000)]), 9)) < 200
+    assert len(probe.passing(hashes(["absent"]), 6)) == 0
+
+
+def brute_divergence(rows):
+    rows = [tuple(x or "" for x in r) for r in rows]
+    per, in_docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for text, lang, source in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        per[lang, source].update(terms)
+        in_docs[lang].update(set(terms))
+        groups[lang].add(source)
+    out = Counter()
+    for lang, sources in groups.items():
+        kept = [t for t, n in in_docs[lang].items() if n >= 3]
+        counts = {s: {t: per[lang, s][t] for t in kept} for s in sources}
+        counts[None] = {t: sum(per[lang, s][t] for s in sources) for t in kept}
+        p = {s: {t: 1 + 10**9 * (n + 1) // (sum(c.values()) + len(kept)) for t, n in c.items()} for s, c in counts.items()}
+        f = lambda a, b, t: (p[a][t] - p[b][t]) ** 2 // p[b][t]
+        for s in sources:
+            pair = [(sum(f(s, o, t) for t in kept), o) for o in sources - {s}]
+            term = [(f(s, None, t), t) for t in kept if counts[s][t] and p[s][t] > p[None][t]]
+            for part, found in (("pair", pair), ("term", term)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                for rank, (value, item) in enumerate(found, 1):
+                    if part == "pair" or rank <= 200:
+                        out[lang, s, part, item, value, rank] += 1
+    return out
+
+
+PARTS = ("lang", "source", "part", "item", "value", "rank")
+
+
+@pytest.fixture(scope="module")
+def hot_text(spark):
+    """A third of the rows is one text, in several sources and languages; a language without kept terms; ties."""
+    rng = random.Random(8)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}É" for i in range(300)]
+    rows = [(i, "the very same text " * 3, rng.choice(["en", "de", None]), rng.choice("abc")) for i in range(100)]
+    rows += [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 60))), rng.choice(["en", "de"]), rng.choice(["a", "b", "é", "", None])) for i in range(200)]
+    rows += [(None, "only here", "xx", "a"), (None, "", "xx", "b"), (1, None, "yy", None), (2, "a1b_c", "zz", "s"), (2, "a1b_c", "zz", "s"), (2, "a1b_c", "zz", "s")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+@pytest.mark.parametrize("table", ["docs", "sample", "hot_text", "empty"])
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 6])
+def test_divergence(request, monkeypatch, table, bits):
+    """Also with a filter of repeated texts that is full, so that every text takes the shuffled way."""
+    monkeypatch.setattr(divergence.IdFilter, "MOST", bits)
+    df = request.getfixturevalue(table)
+    want = brute_divergence([(r.text, r.lang, r.source) for r in df.collect()])
+    got = divergence.divergence(df)
+    assert by_row(got, *PARTS) == want
+    assert dict(got.dtypes)["value"] == "bigint" and dict(got.dtypes)["rank"] == "int"
+
+
+def test_divergence_tokenizes_a_repeated_text_once(hot_text):
+    texts = divergence.collapsed(hot_text)[1].collect()
+    assert len(texts) == len({(r.lang, r.text) for r in texts})
+    assert sum(x.m for r in texts for x in r.sources) == hot_text.count()
+
+
+def test_divergence_sql(hot_text):
+    con = duckdb.connect()
+    con.register("documents", hot_text.toPandas())
+    got = Counter(con.sql(ORACLES["op13_divergence"]).fetchall())
+    want = {(r[0], r[1], r[2], r[3], r[4], r[5]): n for r, n in brute_divergence([(r.text, r.lang, r.source) for r in hot_text.collect()]).items()}
+    names = [c[0] for c in con.sql(ORACLES["op13_divergence"]).description]
+    assert Counter(tuple(r[names.index(c)] for c in PARTS) for r in got.elements()) == want
+
+
