@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import SF_SMOKE
+from places import SF_SMOKE
 
 import __spark_entry__ as entry
 from shoplens.operators.prep import published_counts

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import SF_ORACLE
+from places import SF_ORACLE
 from pyspark.sql import functions as F
 
 from shoplens.operators import customers, financials, prep, products, website

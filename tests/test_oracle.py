@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_ORACLE
+from places import SF_ORACLE
 from oracle_compare import compare, duck_connect
 
 import __spark_entry__ as entry

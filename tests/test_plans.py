@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SF_SMOKE
+from places import SF_SMOKE
 from plan_audit import plan_text
 
 import __spark_entry__ as entry

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import SF_SMOKE
+from places import SF_SMOKE
 from pyspark.sql import functions as F
 
 from shoplens.operators import financials
