@@ -26,7 +26,8 @@ every component without emitting all pairs of a group.
 
 Defined results: NULL or word-less texts have an empty set, n_shingles 0 and link
 with nothing; fewer than five words make one shingle; doc_id names a document,
-so rows sharing a doc_id share its component; rows with a NULL doc_id get the
+so rows with words that share a doc_id share its component, and all that their texts link to are linked through it
+(a row without words has its own doc_id); rows with a NULL doc_id get the
 component of equal texts, else NULL; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -50,6 +51,8 @@ SHINGLE = 5
 PERCENT = 80
 #: Tokens of at most this many documents are indexed alone, the others in twos.
 RARE = 16
+#: Classes with more than this share of the rows, one in so many, are not shuffled in the last join.
+BIG = 1_000
 #: Kinds of index keys.
 SINGLE, SINGLE_FREQUENT, DOUBLE = 0, 1, 2
 
@@ -171,15 +174,16 @@ def link_classes(docs: DataFrame) -> DataFrame:
 
     left = staged(_survivors(heads), "jaccard_survivors")
     reps = left.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    reps = staged(reps, "jaccard_reps")
+    # A class's node: a doc_id may stand for several classes, so it does not serve. The numbers hold once written.
+    reps = staged(reps.withColumn("id", F.monotonically_increasing_id()), "jaccard_reps")
     wanted = IdFilter(reps, "doc_id")
     some = over_batches(
         docs.where("doc_id is not null").select("doc_id", "text", *wanted.slots("doc_id")),
         lambda b: _sets(wanted.rows(b), "all"), SET_SCHEMA,
     )
-    # One row per representative: a doc_id may stand on several rows with the same text.
-    sets = some.join(reps.select("doc_id", "cls"), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
-    sets = staged(sets.select(F.col("doc_id").alias("id"), "n", "tokens"), "jaccard_sets")
+    # One row per class: a doc_id may stand on several rows with the same text.
+    sets = some.join(reps.select("doc_id", "cls", "id"), ["doc_id", "cls"]).dropDuplicates(["id"])
+    sets = staged(sets.select("id", "n", "tokens"), "jaccard_sets")
 
     token = sets.select("id", "n", F.explode("tokens").alias("token"))
     often = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -222,10 +226,38 @@ def link_classes(docs: DataFrame) -> DataFrame:
     # The first round's classes stay; new links only join their labels.
     final = components(links.union(found), "jaccard")
 
-    # Back to all documents: representative -> class -> document.
-    of_class = light.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    of_class = of_class.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("label", "rep").alias("component"))
-    out = light.join(of_class, "cls", "left")
+    named = final.withColumnRenamed("node", "id").join(reps.select("id", "cls", "doc_id"), "id")
+    named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("name")), "label").select("cls", "name")
+    return _of_rows(light, _joined_ids(light, named))
+
+
+def _joined_ids(light: DataFrame, named: DataFrame) -> DataFrame:
+    """(cls, component, c): every class's component, the classes of one doc_id being linked too, and its rows."""
+    of_class = light.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c"))
+    of_class = staged(of_class.join(named, "cls", "left").select("cls", F.least("name", "rep").alias("name"), "c"), "jaccard_classes")
+    mine = light.where("cls is not null and doc_id is not null").select("doc_id", "cls").distinct()
+    several = mine.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("doc_id")
+    both = staged(mine.join(several, "doc_id").join(of_class.select("cls", "name"), "cls").select("doc_id", "name").distinct(), "jaccard_ids")
+    first = both.groupBy("doc_id").agg(F.min("name").alias("a"))
+    links = both.join(first, "doc_id").where("a <> name").select("a", F.col("name").alias("b"))
+    if links.isEmpty():
+        return of_class.withColumnRenamed("name", "component")
+    label = components(links, "jaccard_ids").toDF("name", "label")
+    return of_class.join(label, "name", "left").select("cls", F.coalesce("label", "name").alias("component"), "c")
+
+
+def _of_rows(light: DataFrame, of_class: DataFrame) -> DataFrame:
+    """The result's rows. Rows of a class with more than a ``BIG``-th of all rows take its component from a broadcast."""
+    of_class = staged(of_class, "jaccard_components")
+    most = light.count() // BIG
+    large = F.broadcast(of_class.where(F.col("c") > most).select("cls", "component"))  # fewer than BIG rows
+    known = light.where("cls is not null")
+    parts = [
+        light.where("cls is null").withColumn("component", F.lit(None).cast("long")),
+        known.join(large, "cls").select("doc_id", "n", "cls", "component"),
+        known.join(large, "cls", "left_anti").join(of_class.where(F.col("c") <= most).select("cls", "component"), "cls").select("doc_id", "n", "cls", "component"),
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -138,6 +138,28 @@ def test_jaccard_smallest_linked_sets(spark):
     assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
 
 
+def test_jaccard_repeated_ids_link_their_texts(spark):
+    """A doc_id on several texts joins their classes, also texts of equal size and chains of ids."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 30), ("b", 30), ("c", 9), ("d", 12)))
+    rows = [(1, a), (4, a), (4, b), (7, b), (9, c), (8, c), (8, d + " e"), (6, d + " f g"), (5, d), (12, ""), (12, c + " x y"), (13, c + " x y"), (4, ""), (None, b), (None, None)]
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [(i, {tuple(words(t)[j : j + 5]) for j in range(len(words(t)) - 4)}) for i, t in rows]
+    for i, x in sets:
+        for j, y in sets:
+            if i is not None and j is not None and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link_classes(df).collect())
+    assert got == Counter((i, len(x), i if not x else find(i) if i is not None else 1) for i, x in sets)
+    assert find(7) == find(4) == 1 and find(9) == find(6) == 5
+
+
 def test_one_of_each_class(docs, sample, empty):
     kept = jaccard_join.one_of_each(docs)
     assert kept.schema == docs.schema
