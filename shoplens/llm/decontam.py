@@ -1,16 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. *TF-IDF.* Documents are cut into passages of ``PASSAGE`` words every
-   ``STRIDE`` words. Terms are word hashes in ``DIM`` dimensions; document
-   frequencies count every document.
-2. *Latent space.* A randomised SVD of the TF-IDF passages: two distributed
-   passes of subspace iteration over a bounded sample (``SAMPLE_DOCS``
-   documents with the smallest id hashes, all their passages) and the
-   benchmark's own passages. Tasks sum A'AX; the driver sees DIM x RANK numbers.
-3. *Candidates.* Every passage of every document whose cosine to a benchmark
-   passage in the latent space is at least ``COSINE``. Passages that are too
-   light in benchmark words (by their exact document frequencies) to pass the
-   checks below are skipped before they are projected.
+1. *TF-IDF.* Documents are cut into passages. Terms are word hashes in ``DIM``
+   dimensions; document frequencies count every document.
+2. *Latent space.* A randomised SVD of the TF-IDF passages (``PASSAGE`` words, every
+   ``STRIDE``): two distributed passes of subspace iteration over a bounded sample (one text of each of the
+   ``SAMPLE_DOCS`` ids with the smallest hashes, all its passages) and the
+   benchmark's own passages (``FIT_ITEMS`` items at most, smallest hashes). Tasks sum A'AX; the driver sees DIM x RANK numbers.
+3. *Candidates.* An item is sought with passages of its own measure: the largest power
+   of two up to its length, at most ``PASSAGE``, every quarter of that. A passage's cosine to one of
+   the item's in the latent space must be at least ``COSINE``. Only places are projected that can
+   still hold the item: its heaviest words, ``HEAVY`` of its weight, must there have at least what a leak cannot lack
+   (``PARAPHRASE`` less the rest). Places are windows of one and a half times the item; a paraphrase that inserts more
+   than half of the item's length is not sought.
 4. *Checks.* Around a candidate, the longest common subsequence of words with
    the whole benchmark item, weighted by IDF, as a share of the item. From
    ``COPY`` it is a leak; from ``PARAPHRASE`` it is one if the answer is there too:
@@ -18,7 +19,7 @@
    them (by weight) within the passage.
 
 The benchmark is the stated query set: it meets all documents in blocks of
-``BLOCK`` items, so what is broadcast is bounded.
+``BLOCK`` items, so what is broadcast is bounded; with several blocks each one's result is written before the next.
 
 Defined results: NULL and empty texts, of documents or items, match nothing;
 texts shorter than a passage are one passage; very long texts are searched
@@ -37,46 +38,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import over_batches, utf8_values
-from shoplens.llm.textops import word_hashes
+from shoplens.llm.common import over_batches, staged, utf8_pieces, utf8_values
+from shoplens.llm.textops import batch_words, word_hashes
 
 PASSAGE, STRIDE = 32, 8
 DIM, RANK = 1 << 13, 128
-SAMPLE_DOCS = 1_000
+SAMPLE_DOCS, FIT_ITEMS = 1_000, 2_000
 COSINE = 0.45
 COPY, PARAPHRASE = 0.8, 0.6
+HEAVY = 0.7
 ANSWER, ANSWER_SHARE = 5, 0.9
 BLOCK = 2_000
+#: Bits of the word hash that the first look-up takes.
+FIRST_LOOK = 20
 
 
-def passage_starts(n: int) -> np.ndarray:
-    """Starts of a text's passages: every STRIDE words, the last one ending with the text."""
-    last = max(0, n - PASSAGE)
-    return np.unique(np.append(np.arange(0, last + 1, STRIDE), last)) if n else np.zeros(0, np.int64)
+def passage_starts(n: int, width: int = PASSAGE) -> np.ndarray:
+    """Starts of a text's passages: every quarter of their width, the last one ending with the text."""
+    last = max(0, n - width)
+    return np.unique(np.append(np.arange(0, last + 1, max(1, width // 4)), last)) if n else np.zeros(0, np.int64)
 
 
 def _terms(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(7)).astype(np.int64) & (DIM - 1)
 
 
-def _vectors(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _vectors(terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, basis: np.ndarray, width: int = PASSAGE) -> np.ndarray:
     """IDF-weighted sums of basis rows over each passage, as differences of prefix sums."""
     sums = np.zeros((len(terms) + 1, basis.shape[1]))
     np.cumsum(weights[:, None] * basis[terms], axis=0, out=sums[1:])
-    return (sums[np.minimum(starts + PASSAGE, len(terms))] - sums[starts]).astype(np.float32)
+    return (sums[np.minimum(starts + width, len(terms))] - sums[starts]).astype(np.float32)
+
+
+def _first_look(words: np.ndarray) -> np.ndarray:
+    """Marks the leading hash bits of some words: most other words need no search among them."""
+    look = np.zeros(1 << FIRST_LOOK, bool)
+    look[words >> np.uint64(64 - FIRST_LOOK)] = True
+    return look
+
+
+def _placed(words: np.ndarray, vocabulary: np.ndarray, look: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words stand in the (sorted) vocabulary, and where there."""
+    where = np.flatnonzero(look[words >> np.uint64(64 - FIRST_LOOK)])
+    place = np.minimum(np.searchsorted(vocabulary, words[where]), len(vocabulary) - 1)
+    known = vocabulary[place] == words[where] if len(vocabulary) else np.zeros(0, bool)
+    return where[known], place[known]
 
 
 def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Documents per hashed term and per word of the (sorted) vocabulary, and documents, over all rows."""
 
+    look = _first_look(vocabulary)
+
     def count(batch: pa.RecordBatch) -> dict:
         total = np.zeros(DIM + 1 + len(vocabulary), np.int64)
-        for data in utf8_values(batch.column("text")):
-            if data is not None:
-                words = np.unique(word_hashes(data))
-                total[np.unique(_terms(words))] += 1
-                total[DIM] += 1
-                total[DIM + 1 + np.flatnonzero(np.isin(vocabulary, words, assume_unique=True))] += 1
+        total[DIM] = batch.num_rows - batch.column("text").null_count
+        for _, data, at in utf8_pieces(batch.column("text")):
+            words, first = batch_words(data, at)
+            doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
+            for block in range(0, len(at) - 1, 64):
+                part = slice(first[block], first[min(len(at) - 1, block + 64)])
+                seen = np.zeros((64, DIM), bool)
+                seen[doc[part] - block, _terms(words[part])] = True
+                total[:DIM] += seen.sum(axis=0)
+            where, place = _placed(words, vocabulary, look)
+            once = np.unique(doc[where] * len(vocabulary) + place) % max(1, len(vocabulary))
+            total[DIM + 1 :] += np.bincount(once, minlength=len(vocabulary))
         found = np.flatnonzero(total)
         return {"term": found, "n": total[found]}
 
@@ -146,16 +173,34 @@ class Search:
         self.places = [self.place(i.words) for i in items]
         heaviest = lambda w: w[np.argsort(-self.weigh(w), kind="stable")[:ANSWER]]
         self.answers = [i.answer if len(i.answer) else heaviest(i.words) for i in items]
-        self.least = np.array([self._least(w) for w in self.weights])
-        self.lightest = float(self.least.min())
-        vectors, owner = [], []
-        for k, item in enumerate(items):
+        self.reach = np.array([len(i.words) + len(i.words) // 2 + 4 for i in items])
+        self.width = [min(PASSAGE, 1 << (len(i.words).bit_length() - 1)) for i in items]
+        self.vectors = []
+        for item, width in zip(items, self.width):
             terms = _terms(item.words)
-            starts = passage_starts(len(item.words))
-            vectors.append(_vectors(terms, self.idf[terms], starts, basis))
-            owner += [k] * len(starts)
-        self.vectors = _unit(np.concatenate(vectors))
-        self.owner = np.array(owner)
+            self.vectors.append(_unit(_vectors(terms, self.idf[terms], passage_starts(len(terms), width), basis, width)))
+        self._index()
+
+    def _index(self) -> None:
+        """Heavy words of the items: which items have each, with what weight, and what a leak must have of them."""
+        word, item, weight, self.least = [], [], [], np.zeros(len(self.items))
+        for k, (i, w) in enumerate(zip(self.items, self.weights)):
+            order = np.argsort(-w, kind="stable")
+            total = float(w.sum(dtype=np.float64))
+            cut = 1 + int(np.searchsorted(np.cumsum(w[order], dtype=np.float64), HEAVY * total))
+            heavy = order[:cut]
+            # A little less, for sums of rounded weights.
+            self.least[k] = float(w[heavy].sum(dtype=np.float64)) - (1 - PARAPHRASE) * total - 1e-3 * total
+            names, at = np.unique(i.words[heavy], return_inverse=True)
+            word.append(names)
+            weight.append(np.bincount(at, w[heavy]))
+            item.append(np.full(len(names), k))
+        word, item, weight = map(np.concatenate, (word, item, weight))
+        order = np.argsort(word, kind="stable")
+        self.heavy, counts = np.unique(word, return_counts=True)
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.owner, self.heavy_weight = item[order], weight[order]
+        self.look = _first_look(self.heavy)
 
     def place(self, words: np.ndarray) -> np.ndarray:
         """Places of words in the vocabulary; its length for words that are not in it."""
@@ -166,80 +211,68 @@ class Search:
         """IDF of the words of the benchmark, 0 for others."""
         return np.append(self.word_idf, np.float32(0))[self.place(words)]
 
-    @staticmethod
-    def _least(weights: np.ndarray) -> float:
-        """Benchmark weight that some passage over a leak of the item must hold.
-
-        A leak has PARAPHRASE of the item's weight; a passage that starts
-        within STRIDE of it holds PASSAGE - STRIDE words of the item, less
-        what a paraphrase inserts (a fifth).
-        """
-        width = PASSAGE - STRIDE
-        sums = np.concatenate([[0.0], np.cumsum(weights, dtype=np.float64)])
-        heaviest = float(weights.sum()) if len(weights) <= width else float((sums[width:] - sums[:-width]).min())
-        return 0.8 * PARAPHRASE * heaviest
-
-    def leaks(self, data: np.ndarray | None) -> list[tuple]:
-        """(item_id, start, lcs, cosine, answered) of each leaked item, its best place."""
-        words = word_hashes(data) if data is not None else np.zeros(0, np.uint64)
-        if not len(words):
-            return []
-        ids = self.place(words)
-        mass = np.concatenate([[0.0], np.cumsum(np.append(self.word_idf, np.float32(0))[ids], dtype=np.float64)])
-        starts = passage_starts(len(words))
-        heavy = mass[np.minimum(starts + PASSAGE, len(words))] - mass[starts]
-        starts, heavy = starts[heavy >= self.lightest], heavy[heavy >= self.lightest]
-        if not len(starts):
-            return []
-        terms = _terms(words)
-        weights = self.idf[terms]
-        places: dict[int, list[tuple[int, float]]] = {}
-        for block in range(0, len(starts), 128):
-            some = starts[block : block + 128]
-            at = some[:, None] + np.arange(PASSAGE)
-            use = np.where(at < len(terms), weights[np.minimum(at, len(terms) - 1)], np.float32(0))
-            rows = np.matmul(use[:, None, :], self.basis[terms[np.minimum(at, len(terms) - 1)]])[:, 0]
-            cosines = _unit(rows) @ self.vectors.T
-            enough = heavy[block : block + 128, None] >= self.least[self.owner]
-            for p, c in zip(*np.nonzero((cosines >= COSINE) & enough)):
-                places.setdefault(int(self.owner[c]), []).append((int(some[p]), float(cosines[p, c])))
+    def _windows(self, words: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], list[list[int]]]:
+        """(text, item) to the word spans in which enough of the item's heavy words stand."""
+        where, place = _placed(words, self.heavy, self.look)
+        counts = self.first[place + 1] - self.first[place]
+        total = int(counts.sum())
+        if not total:
+            return {}
+        entry = np.repeat(self.first[place] - (np.cumsum(counts) - counts), counts) + np.arange(total)
+        at, item, weight = np.repeat(where, counts), self.owner[entry], self.heavy_weight[entry]
+        key = item * (len(words) + 1) + at
+        order = np.argsort(key, kind="stable")
+        key, at, item = key[order], at[order], item[order]
+        sums = np.concatenate([[0.0], np.cumsum(weight[order])])
+        ends = np.searchsorted(key, key + self.reach[item])
+        full = np.flatnonzero(sums[ends] - sums[:-1] >= self.least[item] - 1e-6 * sums[-1])
+        spans: dict[tuple[int, int], list[list[int]]] = {}
+        for i, k, text in zip(at[full].tolist(), item[full].tolist(), (np.searchsorted(first, at[full], "right") - 1).tolist()):
+            reach = int(self.reach[k])
+            lo, hi = max(int(first[text]), i - reach), min(int(first[text + 1]), i + reach)
+            mine = spans.setdefault((text, k), [])
+            if mine and lo <= mine[-1][1] and hi - mine[-1][0] <= 8 * reach:
+                mine[-1][1] = hi
+            else:
+                mine.append([lo, hi])
+        return spans
+
+    def leaks(self, texts: pa.Array) -> list[tuple]:
+        """(row, item_id, start, lcs, cosine, answered) of each leaked item of each text, its best place."""
         found = []
-        for k, at in places.items():
-            best = self._check(k, words, ids, at)
-            if best:
-                found.append((self.items[k].item_id, *best))
+        for row, data, at in utf8_pieces(texts):
+            words, first = batch_words(data, at)
+            for (text, k), spans in sorted(self._windows(words, first).items()):
+                near = []
+                for lo, hi in spans:
+                    terms = _terms(words[lo:hi])
+                    starts = passage_starts(hi - lo, self.width[k])
+                    vectors = _unit(_vectors(terms, self.idf[terms], starts, self.basis, self.width[k]))
+                    cosine = float((vectors @ self.vectors[k].T).max())
+                    if cosine >= COSINE:
+                        near.append((lo, hi, cosine))
+                best = self._check(k, words, near, int(first[text])) if near else None
+                if best:
+                    found.append((row + text, self.items[k].item_id, *best))
         return found
 
-    def _check(self, k: int, words: np.ndarray, ids: np.ndarray, at: list[tuple[int, float]]) -> tuple | None:
-        """Best (start, lcs, cosine, answered) over the merged neighbourhoods of an item's candidates, if it leaks."""
+    def _check(self, k: int, words: np.ndarray, near: list[tuple[int, int, float]], first: int) -> tuple | None:
+        """Best (start, lcs, cosine, answered) over the spans of an item's candidates, if it leaks."""
         item, weights, answer = self.items[k], self.weights[k], self.answers[k]
-        reach = len(item.words) + 4
-        spans: list[list] = []
-        for s, c in sorted(at):
-            lo, hi = max(0, s - reach), min(len(words), s + PASSAGE + reach)
-            if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * (PASSAGE + reach):
-                spans[-1][1:] = [hi, max(c, spans[-1][2])]
-            else:
-                spans.append([lo, hi, c])
-        best = None
-        present = np.zeros(len(self.vocabulary) + 1, bool)
         total = float(weights.sum()) or 1.0
-        for lo, hi, c in spans:
+        best = None
+        for lo, hi, c in near:
+            part = words[lo:hi]
             # Cheap bound first: the weight of the item's words that stand here in any order.
-            present[ids[lo:hi]] = True
-            here = float(weights[present[self.places[k]]].sum())
-            present[ids[lo:hi]] = False
-            if here < PARAPHRASE * total:
+            if float(weights[np.isin(item.words, part)].sum()) < PARAPHRASE * total:
                 continue
-            part = words[lo:hi]
             share = lcs_weight(item.words, weights, part) / total
             if share < PARAPHRASE or (best and share <= best[1]):
                 continue
-            known = np.isin(answer, part)
             heavy = self.weigh(answer)
-            answered = float(heavy[known].sum()) >= ANSWER_SHARE * float(heavy.sum())
+            answered = float(heavy[np.isin(answer, part)].sum()) >= ANSWER_SHARE * float(heavy.sum())
             if share >= COPY or answered:
-                best = (lo, share, c, answered)
+                best = (lo - first, share, c, answered)
         return best
 
 
@@ -257,16 +290,23 @@ def lcs_weight(item: np.ndarray, weights: np.ndarray, words: np.ndarray) -> floa
     return float(best[-1])
 
 
-def searches(docs: DataFrame, benchmark: DataFrame) -> Iterator[Search]:
-    """A ``Search`` for each block of benchmark items with words."""
-    spark = docs.sparkSession
+def _fit_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The texts that the latent space is fitted on; ids are chosen before any text moves."""
+    ids = docs.where("text is not null and doc_id is not null").select("doc_id").distinct()
+    ids = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id")
+    chosen = docs.where("text is not null").join(F.broadcast(staged(ids, "decontam_ids")), "doc_id")  # SAMPLE_DOCS ids
+    sample = chosen.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("one.text")
+    fit = items.orderBy(F.xxhash64("item_id", "text"), "item_id").limit(FIT_ITEMS).select("text")
+    parts = max(1, min(16, docs.sparkSession.sparkContext.defaultParallelism))
+    return staged(sample.union(fit).repartition(parts), "decontam_fit")
+
+
+def searches(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Search, bool]]:
+    """A ``Search`` for each block of benchmark items with words, and whether it is the last."""
     has_answer = "answer" in benchmark.columns
     rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"), (F.col("answer").cast("string") if has_answer else F.lit(None).cast("string")).alias("answer"))
     rows = rows.where("text is not null")
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text")
-    # The fit has the sample and the first block's worth of items.
-    fitted = sample.union(rows.select("text").limit(BLOCK)).repartition(max(1, min(16, spark.sparkContext.defaultParallelism)))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     basis = None
     hashes = lambda text: word_hashes(np.frombuffer((text or "").encode(), np.uint8))
     block: list[Item] = []
@@ -276,18 +316,18 @@ def searches(docs: DataFrame, benchmark: DataFrame) -> Iterator[Search]:
         vocabulary = np.unique(np.concatenate([np.concatenate([i.words, i.answer]) for i in block]))
         df, word_df, n = _frequencies(docs, vocabulary)
         idf, word_idf = (np.log((n + 1.0) / (d + 1.0)) + 0.01 for d in (df, word_df))
-        basis = _latent(fitted, idf) if basis is None else basis
+        basis = _latent(_fit_texts(texts, rows), idf) if basis is None else basis
         return Search(block, vocabulary, word_idf, idf, basis)
 
     for row in rows.toLocalIterator():
         words = hashes(row["text"])
         if len(words):
+            if len(block) == BLOCK:
+                yield search(), False
+                block = []
             block.append(Item(row["item_id"], words, hashes(row["answer"])))
-        if len(block) == BLOCK:
-            yield search()
-            block = []
     if block:
-        yield search()
+        yield search(), True
 
 
 LEAK = "doc_id long, item_id long, start int, lcs double, cosine double, answered boolean"
@@ -298,26 +338,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for search in searches(docs, benchmark):
-        def run(batch: pa.RecordBatch, search=search) -> dict:
-            rows = [(i, *x) for i, d in zip(batch.column("doc_id").to_pylist(), utf8_values(batch.column("text"))) for x in search.leaks(d)]
-            names = ("doc_id", "item_id", "start", "lcs", "cosine", "answered")
-            return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
+    for search, last in searches(docs, benchmark):
+        shared = spark.sparkContext.broadcast(search)
+
+        def run(batch: pa.RecordBatch, shared=shared) -> dict:
+            found = shared.value.leaks(batch.column("text"))
+            names = ("item_id", "start", "lcs", "cosine", "answered")
+            columns = dict(zip(names, map(list, zip(*(x[1:] for x in found))))) if found else {n: [] for n in names}
+            return {"doc_id": batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64())), **columns}
 
         found = over_batches(text, run, LEAK)
+        if not last or out is not None:
+            found = staged(found, "decontam_leaks")
+            shared.destroy()
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], LEAK)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, with all their columns."""
-    schema = docs.schema
-    for search in searches(docs, benchmark):
-        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+    schema, spark, all_docs = docs.schema, docs.sparkSession, docs
+    for search, last in searches(all_docs, benchmark):
+        shared = spark.sparkContext.broadcast(search)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column("text")
-                clean = [not search.leaks(d) for d in utf8_values(texts)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                clean = np.ones(batch.num_rows, bool)
+                clean[[x[0] for x in shared.value.leaks(batch.column("text"))]] = False
+                yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, schema)
+        if not last:
+            docs = staged(docs, "decontam_clean")
+            shared.destroy()
     return docs

@@ -69,6 +69,25 @@ def word_hashes(data: np.ndarray, lower: bool = True) -> np.ndarray:
     return span_hashes(prefix_sums(LOWER[data] if lower else data, BASES[0]), starts, ends, BASES[0])
 
 
+def batch_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of texts that stand one after the other in ``data``, text i at [at[i], at[i + 1]).
+
+    Returns the hashes (A-Z lower-cased, as ``word_hashes``) and each text's first place among them; n + 1 places.
+    """
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = ~_SEPARATOR[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[at] = True
+    before = np.zeros(len(data) + 1, bool)
+    before[1:] = inside[:-1]
+    starts = np.flatnonzero(inside & (edge | ~before))
+    ends = np.flatnonzero(before & (edge | ~inside))
+    first = np.searchsorted(starts, at)
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    return span_hashes(prefix_sums(LOWER[data], BASES[0]), starts, ends, BASES[0]), first
+
+
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; fewer words count as one shingle; no words, none."""
     n = len(words)

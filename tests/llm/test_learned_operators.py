@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -15,6 +16,10 @@ from shoplens.llm.queries import oracle_sql, queries
 SF = "/root/testdata/sf0.01"
 
 
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
 @pytest.fixture(scope="module")
 def full(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
@@ -70,13 +75,89 @@ def test_leaks_hold_every_planted_item(spark, full, docs, empty):
     assert decontam.decontaminate(docs, benchmark).schema == docs.schema
 
 
-@pytest.mark.xfail(reason="an item of a third of a passage can fall below the cosine; see README, open points")
 def test_short_items_are_found(spark, docs):
     item = spark.createDataFrame([(None, "looked at the dog of the house for it was late")], "item_id long, text string")
     hits = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, item).collect()}
     assert hits == {(1, None), (4, None), (None, None)}
 
 
+def _planted(spark, full, monkeypatch, edit, lengths):
+    """Documents outside the fitted sample with items of some lengths, edited; pairs that were planted."""
+    monkeypatch.setattr(decontam, "SAMPLE_DOCS", 50)
+    monkeypatch.setattr(decontam, "FIT_ITEMS", 10)
+    rng, items, rows, pairs = random.Random(2), [], [], set()
+    inside = {r.doc_id for r in full.selectExpr("doc_id", "xxhash64(doc_id) as h").distinct().orderBy("h", "doc_id").limit(50).collect()}
+    hosts = [r for r in full.orderBy("doc_id").collect() if r.text and r.doc_id not in inside]
+    vocabulary = sorted({w for r in hosts[:300] for w in words(r.text)})
+    for n in lengths:
+        for _ in range(20):
+            item = rng.choices(vocabulary, k=n)
+            items.append((len(items), " ".join(item)))
+            host = hosts[len(rows)]
+            own = words(host.text)
+            at = rng.randrange(len(own) + 1)
+            rows.append((10**6 + len(rows), " ".join(own[:at] + edit(rng, item, vocabulary) + own[at:])))
+            pairs.add((rows[-1][0], items[-1][0]))
+    docs = full.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    return docs, spark.createDataFrame(items, "item_id long, text string"), pairs
+
+
+def test_copies_of_any_length_are_found(spark, full, monkeypatch):
+    docs, items, pairs = _planted(spark, full, monkeypatch, lambda rng, item, vocabulary: item, (4, 6, 8, 10, 12, 15, 20, 40, 80))
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
+    assert pairs <= found
+
+
+def test_paraphrases_against_brute_force_lcs(spark, full, monkeypatch):
+    """Every pair of a document and an item whose common subsequence in a window makes it a leak, and no other."""
+    def edit(rng, item, vocabulary):
+        out = []
+        for w in item:
+            roll = rng.random()
+            out += [] if roll < 0.08 else [rng.choice(vocabulary)] if roll < 0.2 else [w, rng.choice(vocabulary)] if roll < 0.4 else [w]
+        return out
+
+    docs, items, pairs = _planted(spark, full, monkeypatch, edit, (8, 10, 12, 24, 48))
+    rows = [(r.doc_id, [w.lower() for w in words(r.text)]) for r in docs.collect()]
+    wanted = {r.item_id: [w.lower() for w in words(r.text)] for r in items.collect()}
+    df = Counter(w for _, t in rows for w in set(t))
+    idf = lambda w: np.log((len(rows) + 1) / (df[w] + 1)) + 0.01
+    sure, possible = set(), set()
+    for i, item in wanted.items():
+        weights = np.array([idf(w) for w in item])
+        total, width = weights.sum(), len(item) + len(item) // 2
+        top = [item[j] for j in np.argsort(-weights, kind="stable")[:5]]
+        for d, t in rows:
+            common = np.array([w in set(t) for w in item]) if len(set(item) & set(t)) > 1 else np.zeros(len(item), bool)
+            if weights[common].sum() < 0.6 * total:
+                continue
+            if decontam.lcs_weight(np.array(item), weights, np.array(t)) >= 0.6 * total:
+                possible.add((d, i))
+            for s in range(0, max(1, len(t) - width + 1)):
+                part = t[s : s + width]
+                if weights[[w in part for w in item]].sum() < 0.6 * total:
+                    continue
+                share = decontam.lcs_weight(np.array(item), weights, np.array(part)) / total
+                answer = sum(idf(w) for w in top if w in part) >= 0.9 * sum(map(idf, top))
+                if share >= 0.8 + 1e-4 or (share >= 0.6 + 1e-4 and answer):
+                    sure.add((d, i))
+                    break
+    found = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
+    assert len(sure & pairs) >= 40
+    assert len(found & sure) >= 0.97 * len(sure) and found <= possible
+
+
+def test_blocks_of_items_and_very_long_texts(spark, full, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK", 3)
+    text = " ".join(f"q{i * 7919 % 100_003}" for i in range(300_000))
+    docs = spark.createDataFrame([(1, text), (2, "nothing of it"), (3, None), (3, text)], "doc_id long, text string")
+    items = [(i, " ".join(text.split()[i * 30_000 : i * 30_000 + 12])) for i in range(8)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = Counter((r.doc_id, r.item_id) for r in decontam.leaks(docs, benchmark).collect())
+    assert found == Counter((d, i) for d in (1, 3) for i in range(8))
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, benchmark).collect()) == [2, 3]
+
+
 def test_paraphrase_needs_the_answer(spark, full):
     item = "when did the ancient harbour of zarquon fall silent after the long winter storms of quelmar and vethis"
     other = item.replace("ancient ", "old ").replace("long ", "hard cold ").replace("fall", "go")
