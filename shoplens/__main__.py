@@ -3,6 +3,7 @@
     python -m shoplens list
     python -m shoplens run REPORT [REPORT ...] --out DIR
         (--published DIR | --catalog DB | --fixture SF_DIR) [--format parquet|csv|json]
+        [--collation UNICODE_CI_AI]
 
 Each report is written to ``DIR/<report>`` by the executors (Spark's file
 commit protocol); nothing is collected to the driver.
@@ -15,7 +16,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from shoplens.plans.reports import REPORTS, reports
+from shoplens.functions.collation import collate_tables
+from shoplens.plans.reports import FIXTURE, REPORTS, Parameters, reports
 from shoplens.sources.tables import read_catalog, read_published
 
 
@@ -41,6 +43,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--published", help="root written by prep.publish")
     src.add_argument("--catalog", help="database holding the six shop tables")
     src.add_argument("--fixture", help="driver fixture directory (mapped, then published)")
+    run.add_argument("--collation", help="group and compare URLs and UTM values under this collation")
     args = ap.parse_args(argv)
 
     if args.cmd == "list":
@@ -51,7 +54,10 @@ def main(argv: list[str] | None = None) -> int:
         ap.error(f"unknown reports: {unknown}")
     spark = SparkSession.builder.appName("shoplens").getOrCreate()
     tables = _tables(spark, args)
-    catalog = REPORTS if args.fixture else reports()  # the scripts' own page lists, cutoff and grains
+    parameters = FIXTURE if args.fixture else Parameters()  # else the scripts' own page lists, cutoff and grains
+    catalog = reports(parameters)
+    if args.collation:
+        tables = collate_tables(tables, args.collation, parameters.pages())
     for name in args.reports:
         writer = catalog[name](tables).write.mode("overwrite").format(args.format)
         if args.format == "csv":

@@ -44,6 +44,16 @@ def session_summary(pageviews: DataFrame) -> DataFrame:
     )
 
 
+def merge_summaries(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The summary of two sets of pageviews together, from their summaries."""
+    return one.unionByName(other).groupBy("website_session_id").agg(
+        F.min("first_pageview_id").alias("first_pageview_id"),
+        F.min_by("landing_url", "first_pageview_id").alias("landing_url"),
+        F.min("first_pageview_visited").alias("first_pageview_visited"),
+        F.sum("session_pageviews").alias("session_pageviews"),
+    )
+
+
 def _summary(pageviews: DataFrame, summary: DataFrame | None) -> DataFrame:
     return summary if summary is not None else session_summary(pageviews)
 

@@ -9,10 +9,12 @@ parameters") and ``REPORTS`` is the catalog for it.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from shoplens.functions.collation import collate_tables
 from shoplens.operators import audits, customers, financials, prep, products, website
 from shoplens.sources.tables import ShopTables
 
@@ -31,6 +33,25 @@ FIXTURE_FUNNEL: list[tuple[str, list[str]]] = [
 ]
 FIXTURE_URL_RENAMES = dict(zip(["/view-0", "/view-1", "/view-2", "/view-3"], prep.PRODUCT_URLS.values()))
 
+# Statements in order, each seeing what the earlier ones made.
+FIXTURE_URL_UPDATES = [
+    ("/view-0", "/view-1"), ("/view-1", "/view-2"), ("/click-0", "/click-1"), ("/view-2", "/start"),
+    ("/click-1", "/view-0"), ("/view-3", None),
+]
+
+
+def mixed_spelling(t: ShopTables) -> ShopTables:
+    """The tables with URLs and campaigns in three spellings, dealt by id (the fixtures have one each)."""
+    def spell(column: str, key: str, letter: str, accented: str) -> Column:
+        value, turn = F.col(column), F.col(key) % 3
+        return F.when(turn == 1, F.upper(value)).when(turn == 2, F.replace(value, F.lit(letter), F.lit(accented))).otherwise(value)
+
+    return replace(
+        t, session_summary=None,
+        website_pageviews=t.website_pageviews.withColumn("pageview_url", spell("pageview_url", "website_pageview_id", "e", "é")),
+        website_sessions=t.website_sessions.withColumn("utm_campaign", spell("utm_campaign", "website_session_id", "a", "á")),
+    )
+
 
 @dataclass(frozen=True)
 class Parameters:
@@ -43,6 +64,10 @@ class Parameters:
     web_grain: str = "year"
     visitor_grain: str = "year"
 
+    def pages(self) -> list[str]:
+        """The URLs that reports compare with."""
+        return list(dict.fromkeys([url for _, urls in self.funnel for url in urls] + list(self.product_pages) + website.LANDING_PAGES))
+
 
 FIXTURE = Parameters(
     FIXTURE_PRODUCT_PAGES, FIXTURE_CUTOFF, FIXTURE_FUNNEL, FIXTURE_URL_RENAMES,
@@ -59,6 +84,9 @@ def _both(name: str, fn: Callable[[DataFrame], DataFrame]) -> dict[str, Report]:
 
 
 def reports(p: Parameters = Parameters()) -> dict[str, Report]:
+    def one_spelling(t: ShopTables) -> ShopTables:
+        return collate_tables(mixed_spelling(t), pages=p.pages())
+
     return {
         # Section 1: financials
         "inflow_annual": lambda t: financials.period_inflow(t.orders, "year"),
@@ -152,7 +180,14 @@ def reports(p: Parameters = Parameters()) -> dict[str, Report]:
         "campaign_sessions_by_year": lambda t: website.campaign_sessions(t.website_sessions, "year"),
         "order_rate_by_month": lambda t: website.order_rate(t.website_sessions, t.web_orders, "month"),
         "funnel_by_month": lambda t: website.funnel(t.website_pageviews, t.website_sessions, p.funnel, "month"),
+        # Case- and accent-insensitive keys (the target schema's collation)
+        "url_pageviews_collated": lambda t: website.url_pageviews(one_spelling(t).website_pageviews),
+        "campaign_sessions_collated": lambda t: website.campaign_sessions(one_spelling(t).website_sessions, p.web_grain),
+        "funnel_collated": lambda t: website.funnel(
+            one_spelling(t).website_pageviews, one_spelling(t).website_sessions, p.funnel, p.web_grain),
         # Data preparation
+        "recode_urls_in_order": lambda t: prep.apply_updates(
+            t.website_pageviews, "pageview_url", "pageview_url", FIXTURE_URL_UPDATES),
         "published_row_counts": lambda t: prep.row_counts(t),
         "recode_product_names": lambda t: prep.recode(t.products, "product_id", "product_name", prep.PRODUCT_NAMES),
         "recode_urls": lambda t: prep.recode(t.website_pageviews, "pageview_url", "pageview_url", p.url_renames),

@@ -8,10 +8,16 @@ copy (:func:`read_published`) or the fixture mapping
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from shoplens.sources import versions
+
+log = logging.getLogger(__name__)
+
 # Column lists of the data model, in the order the tables are published.
 SCHEMAS: dict[str, list[str]] = {
     "orders": [
@@ -60,6 +66,9 @@ SESSION_SUMMARY = [
     "website_session_id", "first_pageview_id", "landing_url", "first_pageview_visited", "session_pageviews",
 ]
 
+# Table property of a catalog's session summary: the version of the pageviews it was made from.
+SUMMARY_OF = "shoplens.summary_of"
+
 
 @dataclass(frozen=True)
 class ShopTables:
@@ -110,11 +119,20 @@ def read_catalog(spark: SparkSession, database: str | None = None, prefix: str =
         name: spark.table(f"{qual}{prefix}{names[name]}").select(*cols) for name, cols in SCHEMAS.items()
     })
     summary = f"{qual}{prefix}session_summary"
-    if spark.catalog.tableExists(summary):
+    if spark.catalog.tableExists(summary) and _made_from(spark, summary) == versions.source_version(spark.table(f"{qual}{prefix}website_pageviews")):
         return tables.with_summary(spark.table(summary).select(*SESSION_SUMMARY))
     return tables
 
 
+def _made_from(spark: SparkSession, summary: str) -> str | None:
+    """The recorded version of the pageviews behind a catalog's summary."""
+    try:
+        rows = spark.sql(f"SHOW TBLPROPERTIES {summary}").collect()
+    except AnalysisException:  # a view
+        return None
+    return {r[0]: r[1] for r in rows}.get(SUMMARY_OF)
+
+
 def register_views(tables: ShopTables, prefix: str = "") -> list[str]:
     """Register every table as a temp view ``<prefix><name>`` so SQL written
     against the shop schema (e.g. the original report scripts' SELECTs) runs
@@ -126,10 +144,27 @@ def register_views(tables: ShopTables, prefix: str = "") -> list[str]:
     return names
 
 
+def published_summary(spark: SparkSession, record: dict) -> DataFrame | None:
+    """The summary of a commit record, if it was made from the pageviews as they are."""
+    if "summary" not in record:
+        return None
+    pageviews = spark.read.parquet(*record["tables"]["website_pageviews"])
+    if versions.source_version(pageviews) != record["summary_of"]:
+        log.warning("the published session summary is older than its pageviews: not used")
+        return None
+    return spark.read.parquet(*record["summary"]).select(*SESSION_SUMMARY)
+
+
 def read_published(spark: SparkSession, root: str) -> ShopTables:
-    """Read a copy written by :func:`shoplens.operators.prep.publish`
-    (with its session summary when one was published)."""
-    from pyspark.errors import AnalysisException
+    """Read the newest version written by :func:`shoplens.operators.prep.publish`,
+    with its session summary if that is as new as the pageviews; reports
+    compute it otherwise. A folder without versions is read as plain
+    Parquet folders, one a table."""
+    record = versions.latest(spark, root)
+    if record is not None:
+        tables = ShopTables(**{name: spark.read.parquet(*record["tables"][name]).select(*cols) for name, cols in SCHEMAS.items()})
+        summary = published_summary(spark, record)
+        return tables if summary is None else tables.with_summary(summary)
 
     def read(name: str, cols: list[str]) -> DataFrame:
         try:
@@ -139,9 +174,4 @@ def read_published(spark: SparkSession, root: str) -> ShopTables:
                 raise
             return spark.read.parquet(f"{root}/orders").select(*cols)
 
-    tables = ShopTables(**{name: read(name, cols) for name, cols in SCHEMAS.items()})
-    try:
-        summary = spark.read.parquet(f"{root}/session_summary").select(*SESSION_SUMMARY)
-    except AnalysisException:
-        return tables
-    return tables.with_summary(summary)
+    return ShopTables(**{name: read(name, cols) for name, cols in SCHEMAS.items()})

@@ -12,6 +12,7 @@ from shoplens.operators.prep import publish
 from shoplens.plans.oracle_sql import report_queries
 from shoplens.plans.reports import REPORTS
 from shoplens.sources.tables import SCHEMAS, read_published
+from shoplens.sources.versions import latest
 
 SEEDS = [1, 2]
 
@@ -20,10 +21,11 @@ SEEDS = [1, 2]
 def shop(request, spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp(f"shop{request.param}"))
     publish(random_tables(spark, request.param), root)
+    folders = latest(spark, root)["tables"]
     con = duckdb.connect()
     for name in SCHEMAS:
         view = "shop_orders" if name == "orders" else name
-        con.execute(f"CREATE VIEW {view} AS SELECT * FROM read_parquet('{root}/{name}/*.parquet')")
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM read_parquet('{folders[name][0]}/*.parquet')")
     return read_published(spark, root), con
 
 
