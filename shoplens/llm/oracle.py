@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from shoplens.llm.divergence import LEAST_DOCS, TOP_TERMS
+from shoplens.llm.jaccard_join import PERCENT
 from shoplens.llm.mixing import MAX_EPOCHS, RANGES, SHARE, WEIGHTS
 from shoplens.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS
+from shoplens.llm.warc import LEAST
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -88,4 +90,25 @@ DIVERGENCE = f"""WITH
         UNION ALL SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) FROM above)
 SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP_TERMS}"""
 
-ORACLES: dict[str, str] = {"op8_quality": QUALITY, "op13_divergence": DIVERGENCE}
+WARC = f"""WITH
+    p AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, url, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+    first AS (SELECT payload_digest, min(page_id) AS page_id FROM d WHERE payload_bytes >= {LEAST} GROUP BY 1)
+SELECT d.page_id, d.url, payload_bytes, d.payload_digest,
+    CASE WHEN first.page_id <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first.page_id <> d.page_id THEN first.page_id END AS refers_to
+FROM d LEFT JOIN first ON first.payload_digest = d.payload_digest AND payload_bytes >= {LEAST}"""
+
+JACCARD = f"""WITH RECURSIVE
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+    reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, (SELECT min(r) FROM reach WHERE reach.doc_id = d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op3_warc": WARC, "op8_quality": QUALITY, "op9_jaccard_join": JACCARD, "op13_divergence": DIVERGENCE}
