@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,27 @@ def utf8_values(array: pa.Array) -> Iterator[np.ndarray | None]:
         yield None if missing[i] else whole[at[i] : at[i + 1]]
 
 
+def utf8_pieces(array: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The values' bytes in runs of rows of about ``most`` bytes: (first row, bytes, where each row begins; one more).
+
+    NULL values have no bytes; a run holds one row at least.
+    """
+    n = len(array)
+    if not n:
+        return
+    if array.null_count:
+        array = pc.fill_null(array, "")
+    wide = pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type)
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[array.offset : array.offset + n + 1].astype(np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    row = 0
+    while row < n:
+        last = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        yield row, whole[at[row] : at[last]], at[row : last + 1] - at[row]
+        row = last
+
+
 #: Rows handed to a batch function at once.
 PIECE = 1024
 
@@ -151,17 +173,15 @@ class IdFilter:
         return batch.filter(pa.array(self.marks(batch)))
 
 
-def tallied(df: DataFrame, add: Callable[[pa.RecordBatch, dict], None], keys: str, counts: int = 1, most: int = 200_000) -> DataFrame:
+def tallied(df: DataFrame, add: Callable[[pa.RecordBatch, dict], None], keys: str, most: int = 200_000) -> DataFrame:
     """Counts by key, partially added up in the tasks: ``add(batch, tally)`` adds to a dictionary.
 
     ``keys`` is the schema of the key columns; the tally maps a key (a tuple if
-    there are several) to a count, or to a list of ``counts`` counts, named n or
-    n0, n1, ... It is handed on and emptied at ``most`` entries or after 128 MB of
+    there are several) to a count, named n. It is handed on and emptied at ``most`` entries or after 128 MB of
     input, so a worker's memory is bounded; a ``groupBy`` of the keys adds up the rest.
     """
-    numbers = ["n"] if counts == 1 else [f"n{i}" for i in range(counts)]
-    types = df.sparkSession.createDataFrame([], f"{keys}, " + ", ".join(f"{n} long" for n in numbers)).schema
-    wide = len(types) - counts
+    types = df.sparkSession.createDataFrame([], f"{keys}, n long").schema
+    wide = len(types) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -173,7 +193,7 @@ def tallied(df: DataFrame, add: Callable[[pa.RecordBatch, dict], None], keys: st
             for at in range(0, len(found), 16 * PIECE):
                 some = found[at : at + 16 * PIECE]
                 columns = [[k for k, _ in some]] if wide == 1 else [[k[i] for k, _ in some] for i in range(wide)]
-                columns += [[v for _, v in some]] if counts == 1 else [[v[i] for _, v in some] for i in range(counts)]
+                columns.append([v for _, v in some])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, want)], schema=want)
 
         tally: dict = {}

@@ -30,25 +30,36 @@ columns are ignored. Sums are decimals; a value beyond 64 bits is an error, not
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from shoplens.llm.common import IdFilter, staged, tallied, utf8_values
+from shoplens.llm.common import IdFilter, staged, utf8_values
 
 SCALE = 1_000_000_000
 LEAST_DOCS = 3
 TOP_TERMS = 200
 SALTS = 64
+#: Counts that a task holds before it hands them on.
+ENTRIES = 250_000
 
 #: Terms in UTF-8, lower-cased: runs of a-z and of the bytes of code points beyond ASCII.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
 
-def collapsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, source) groups, and (lang, text, sources): each text of a language once, with its counts by source."""
+def collapsed(docs: DataFrame) -> tuple[DataFrame, DataFrame, IdFilter]:
+    """(lang, source) groups; (lang, text, sources, key): each text of a language with its counts by source; a filter.
+
+    A row whose key may be in the filter is to be passed over where it is read: its text comes again, without a key.
+    """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
     light = rows.groupBy("lang", digest.alias("digest"), "source").agg(F.count(F.lit(1)).alias("m"))
@@ -59,42 +70,87 @@ def collapsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = F.unhex(F.md5(F.concat_ws(" ", F.hex(digest), "lang").cast("binary")))
     wanted = IdFilter(repeated.select(F.unhex(F.md5(F.concat_ws(" ", F.hex("digest"), "lang").cast("binary"))).alias("key")), "key", digest=True)
 
-    def side(suspect: bool) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                keep = [wanted.may_hold(k) == suspect for k in batch.column("key").to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        marked = rows.select("lang", "source", "text", key.alias("key"))
-        return marked.mapInArrow(run, marked.schema)
+    @F.pandas_udf("boolean")
+    def suspect(keys: pd.Series) -> pd.Series:
+        return keys.map(wanted.may_hold)
 
-    once = side(False).select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("m"))).alias("sources"))
-    again = side(True).withColumn("digest", digest)
+    marked = rows.withColumn("key", key)
+    once = marked.select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("m"))).alias("sources"), "key")
+    again = marked.where(suspect("key")).withColumn("digest", digest)
     one = again.groupBy("lang", "digest").agg(F.first("text").alias("text"), F.first("source").alias("own"))
     # A text that only the filter took for a repeated one has its single source.
     alone = F.array(F.struct(F.col("own").alias("source"), F.lit(1).cast("long").alias("m")))
     many = one.join(repeated, ["lang", "digest"], "left").select("lang", "text", F.coalesce("sources", alone).alias("sources"))
-    return groups, once.unionByName(many)
-
-
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(lang, text, sources) to (lang, source, term, count, docs)."""
-
-    def add(batch: pa.RecordBatch, tally: dict) -> None:
-        for lang, data, sources in zip(batch.column("lang").to_pylist(), utf8_values(batch.column("text")), batch.column("sources").to_pylist()):
-            found = Counter(_TERM.findall(data.tobytes().lower()))
-            for entry in sources:
-                source, m = entry["source"], entry["m"]
-                for term, n in found.items():
-                    have = tally.get((lang, source, term))
-                    if have is None:
-                        tally[lang, source, term] = [m * n, m]
-                    else:
-                        have[0] += m * n
-                        have[1] += m
-
-    found = tallied(texts, add, "lang string, source string, term binary", counts=2)
-    return found.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n0").alias("count"), F.sum("n1").alias("docs"))
+    return groups, once.unionByName(many.withColumn("key", F.lit(None).cast("binary"))), wanted
+
+
+_FOUND = StructType([
+    StructField("lang", StringType()), StructField("term", StringType()),
+    StructField("found", ArrayType(StructType([StructField("source", StringType()), StructField("count", LongType()), StructField("docs", LongType())]))),
+])
+
+
+def _tally(wanted: IdFilter):
+    """(lang, text, sources, key) to (lang, term) with (source, count, docs) of each source, added up in the task."""
+    entry = _FOUND["found"].dataType.elementType
+
+    def handed_on(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
+        want = to_arrow_schema(_FOUND)
+        struct = to_arrow_schema(entry)
+        for lang in {k for k, _ in counts}:
+            parts = []
+            for (k, source), mine in counts.items():
+                if k == lang and mine:
+                    n = [pa.array(mine.values(), pa.int64()), pa.array([docs[k, source][t] for t in mine], pa.int64())]
+                    name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(mine), np.int32)), pa.array([source], pa.string())).cast(pa.string())
+                    parts.append(pa.table([pa.array(mine, pa.binary()), name, *n], names=["term", *struct.names]))
+            if not parts:
+                continue
+            by_term = pa.concat_tables(parts).group_by("term", use_threads=False).aggregate([(c, "list") for c in struct.names])
+            for batch in by_term.to_batches(max_chunksize=1 << 14):
+                lists = [batch.column(f"{c}_list") for c in struct.names]
+                fields = pa.StructArray.from_arrays([x.flatten() for x in lists], fields=list(struct))
+                offsets = pc.subtract(lists[0].offsets, lists[0].offsets[0])
+                found = pa.ListArray.from_arrays(offsets, fields, type=want.field("found").type)
+                langs = pa.array([lang] * batch.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([langs, batch.column("term").cast(pa.string()), found], schema=want)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, docs = defaultdict(Counter), defaultdict(Counter)
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("lang", "sources", "key")]
+            for i, (lang, sources, key, data) in enumerate(zip(*columns, utf8_values(batch.column("text")))):
+                if i % 256 == 255 and sum(map(len, counts.values())) >= ENTRIES:
+                    yield from handed_on(counts, docs)
+                    counts, docs = defaultdict(Counter), defaultdict(Counter)
+                if key is not None and wanted.may_hold(key):
+                    continue
+                terms = _TERM.findall(data.tobytes().lower())
+                for e in sources:
+                    mine, own = counts[lang, e["source"]], docs[lang, e["source"]]
+                    if e["m"] == 1:
+                        mine.update(terms)
+                        own.update(set(terms))
+                        continue
+                    for term, n in Counter(terms).items():
+                        mine[term] += n * e["m"]
+                        own[term] += e["m"]
+        yield from handed_on(counts, docs)
+
+    return run
+
+
+def kept_terms(texts: DataFrame, wanted: IdFilter, least_docs: int) -> DataFrame:
+    """(lang, text, sources, key) to (lang, source, term, count, lang_count) of the kept terms.
+
+    The tasks add up their texts; what they found meets once, by (lang, term),
+    where a term has at most one row a source.
+    """
+    found = texts.mapInArrow(_tally(wanted), _FOUND).repartition("lang", "term").select("lang", "term", F.inline("found"))
+    counts = found.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    counts = counts.withColumn("in_docs", F.sum("docs").over(term)).withColumn("lang_count", F.sum("count").over(term))
+    return counts.where(F.col("in_docs") >= least_docs).select("lang", "source", "term", "count", "lang_count")
 
 
 def _p(count: Column, n: Column, v: Column) -> Column:
@@ -114,10 +170,8 @@ def _total(x: Column) -> Column:
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
-    groups, texts = collapsed(docs)
-    counts = staged(term_counts(texts), "divergence_counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("lang_count")).where(F.col("docs") >= least_docs)
-    posts = staged(counts.join(kept.select("lang", "term", "lang_count"), ["lang", "term"]).select("lang", "source", "term", "count", "lang_count"), "divergence_posts")
+    groups, texts, wanted = collapsed(docs)
+    posts = staged(kept_terms(texts, wanted, least_docs), "divergence_posts")
 
     # Sizes: a row for each language, and for each of its sources, which have terms or not.
     by_term = posts.groupBy("lang", "term").agg(F.max("lang_count").alias("lang_count"))
