@@ -248,5 +248,5 @@ def test_forest_arrays_score_like_the_model(spark):
 
 
 def test_queries_are_registered():
-    assert [int(q[2:].split("_")[0]) for q in queries()] == list(range(1, 11))
+    assert [int(q[2:].split("_")[0]) for q in queries()] == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
