@@ -39,6 +39,7 @@ def main() -> None:
 
     t0 = time.perf_counter()
     tables = fixture_tables(spark, sf_dir)
+    tables.items(), tables.summary()  # written at their first use
     prepare = time.perf_counter() - t0
 
     _run(REPORTS["financials_annual"](tables))  # first report pays one-off planning costs

@@ -63,8 +63,7 @@ def collate_tables(tables: ShopTables, collation: str = COLLATION, pages: Sequen
     for column in UTM_COLUMNS:
         sessions = collated(sessions, column, collation)
     summary = tables.session_summary
-    return replace(
-        tables,
+    return tables.with_tables(
         website_pageviews=respelled(tables.website_pageviews, "pageview_url", urls),
         website_sessions=sessions,
         session_summary=None if summary is None else respelled(summary, "landing_url", urls),

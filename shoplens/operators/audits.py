@@ -9,10 +9,13 @@ as a multiplicity weight.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.measures import grain_keys, money, with_grain
+from shoplens.functions.measures import count_when, grain_keys, money, with_grain
+from shoplens.sources.tables import CLAIMED_KEYS, ShopTables
 
 
 def fanout_audit(
@@ -83,6 +86,63 @@ def repeat_refund_items(refunds: DataFrame) -> DataFrame:
     ).orderBy(F.col("created_at").desc(), F.col("order_item_refund_id").desc())
 
 
+def _first_refund_times(refunds: DataFrame) -> DataFrame:
+    """Each time at which an order's first dated refund happened, and how many orders had it then (one row a time)."""
+    per_order = first_refund_per_order(refunds).where(F.col("first_item_returned_at").isNotNull())
+    return per_order.groupBy(F.col("first_item_returned_at").alias("_time")).agg(F.count(F.lit(1)).alias("orders_first_refunded_then"))
+
+
+def repeat_refund_items_by_time(refunds: DataFrame) -> DataFrame:
+    """F5d as the script has it, matched on time alone: the refunds at whose time no order was
+    first refunded (undated refunds match nothing and stay), newest first.
+
+    The times are one row each whatever they are shared by; of the refunds, those at a
+    very frequent time are split over tasks by AQE's skew join.
+    """
+    times = _first_refund_times(refunds).select("_time")
+    return refunds.join(times, F.col("created_at") == F.col("_time"), "left_anti").select(
+        "order_item_refund_id", "created_at", "order_item_id", "order_id",
+        money("refund_amount_usd").alias("refund_amount_usd"),
+    ).orderBy(F.col("created_at").desc(), F.col("order_item_refund_id").desc())
+
+
+def coincident_refunds(refunds: DataFrame) -> DataFrame:
+    """The refunds on which F5d by time and F5d by key disagree.
+
+    ``hidden``: a repeat refund that the form by time drops, because some order (``orders_first_refunded_then`` of
+    them) was first refunded at that very time. ``undated``: the first
+    refund of an order without any dated one, which the form by time keeps. Only
+    repeat refunds meet the times.
+    """
+    place = F.struct(F.col("created_at").isNull().alias("undated"), "created_at", "order_item_refund_id")
+    undated = refunds.groupBy("order_id").agg(F.min(place).alias("m")).where("m.undated").select(
+        F.col("m.order_item_refund_id").alias("order_item_refund_id"), F.col("m.created_at").alias("created_at"), "order_id",
+        F.lit(0).cast("bigint").alias("orders_first_refunded_then"), F.lit("undated").alias("difference"))
+    hidden = _repeat_refunds(refunds).where(F.col("created_at").isNotNull()).join(
+        _first_refund_times(refunds), F.col("created_at") == F.col("_time")).select(
+        "order_item_refund_id", "created_at", "order_id", "orders_first_refunded_then", F.lit("hidden").alias("difference"))
+    return hidden.unionByName(undated)
+
+
+def key_audit(tables: ShopTables) -> DataFrame:
+    """One row per table: rows, rows without a key, distinct keys and keys that stand on several rows.
+
+    Reports that count rows where the scripts count distinct ids rely on these keys.
+    Each table is reduced to a row per key by partial aggregates, reading the key column only.
+    """
+    def measured(name: str, key: str) -> DataFrame:
+        n = getattr(tables, name).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        return n.agg(
+            F.lit(name).alias("table_name"), F.lit(key).alias("key_name"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+            F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("null_keys"),
+            F.count("k").alias("distinct_keys"),
+            count_when(F.col("k").isNotNull() & (F.col("n") > 1)).alias("repeated_keys"),
+        )
+
+    return reduce(DataFrame.union, [measured(name, key) for name, key in CLAIMED_KEYS.items()])
+
+
 def repeat_refund_orders(orders: DataFrame, refunds: DataFrame) -> DataFrame:
     """F5e: the orders that had more than one item refunded (semi join)."""
     ids = _repeat_refunds(refunds).select("order_id").distinct()

@@ -132,7 +132,7 @@ BYTES_PER_BUCKET = 128 << 20
 
 def publish(
     tables: ShopTables, root: str, derived: bool = True,
-    catalog_prefix: str | None = None, buckets: int | None = None,
+    catalog_prefix: str | None = None, buckets: int | None = None, check_keys: bool = False,
 ) -> str:
     """Write every table as Parquet under ``root``; return ``root``.
 
@@ -154,6 +154,9 @@ def publish(
     recorded with the version of the pageviews that it was made from, and readers
     do not believe it for others.
 
+    With ``check_keys`` a copy whose claimed keys do not hold (:func:`require_keys`)
+    is not made visible; catalog tables are checked before the first write.
+
     Each write is its own committed job (Spark's file commit protocol), so
     a lost executor only re-runs its tasks.
     """
@@ -167,30 +170,53 @@ def publish(
         for name, df in tables.items():
             paths[name] = [f"{folder}/{name}"]
             df.write.parquet(paths[name][0])
+        if check_keys:
+            require_keys(ShopTables(**{name: spark.read.parquet(*path) for name, path in paths.items()}))
         record = {"tables": paths}
         if derived:
             record |= _write_summary(session_summary, spark.read.parquet(*paths["website_pageviews"]), folder)
         versions.commit(spark, root, record)
         return root
 
-    def write(name: str, df: DataFrame) -> None:
-        key = BUCKET_KEYS.get(name)
-        if key is not None:
-            df = df.repartition(n, key)
-        w = df.write.mode("overwrite").format("parquet").option("path", f"{root}/{name}")
-        if key is not None:
-            w = w.bucketBy(n, key).sortBy(key)
-        w.saveAsTable(f"{catalog_prefix}{name}")
-
+    if check_keys:
+        require_keys(tables)
     for name, df in tables.items():
-        write(name, df)
+        publish_table(name, df, root, catalog_prefix, n)
     if derived:
-        pageviews = spark.table(f"{catalog_prefix}website_pageviews")
-        write("session_summary", session_summary(pageviews))
-        spark.sql(f"ALTER TABLE {catalog_prefix}session_summary SET TBLPROPERTIES ('{SUMMARY_OF}' = '{versions.source_version(pageviews)}')")
+        publish_summary(spark.table(f"{catalog_prefix}website_pageviews"), root, catalog_prefix, n)
     return root
 
 
+def publish_table(name: str, df: DataFrame, root: str, catalog_prefix: str, buckets: int) -> None:
+    """Write one table to the catalog, bucketed on its key."""
+    key = BUCKET_KEYS.get(name)
+    if key is not None:
+        df = df.repartition(buckets, key)
+    w = df.write.mode("overwrite").format("parquet").option("path", f"{root}/{name}")
+    if key is not None:
+        w = w.bucketBy(buckets, key).sortBy(key)
+    w.saveAsTable(f"{catalog_prefix}{name}")
+
+
+def publish_summary(pageviews: DataFrame, root: str, catalog_prefix: str, buckets: int) -> None:
+    """Write the session summary of the catalog's pageviews, with their version as a property."""
+    from shoplens.operators.website import session_summary
+
+    publish_table("session_summary", session_summary(pageviews), root, catalog_prefix, buckets)
+    pageviews.sparkSession.sql(
+        f"ALTER TABLE {catalog_prefix}session_summary SET TBLPROPERTIES ('{SUMMARY_OF}' = '{versions.source_version(pageviews)}')")
+
+
+def require_keys(tables: ShopTables) -> None:
+    """An error that names every table whose claimed key is NULL or repeated on some row (a job over the key columns)."""
+    from shoplens.operators.audits import key_audit
+
+    broken = key_audit(tables).where("null_keys > 0 or repeated_keys > 0").collect()
+    if broken:
+        raise ValueError("claimed keys do not hold: " + "; ".join(
+            f"{r.table_name}.{r.key_name}: {r.null_keys} rows without a key, {r.repeated_keys} repeated keys" for r in broken))
+
+
 def _write_summary(summary, pageviews: DataFrame, folder: str) -> dict:
     """Write a summary; what the commit record says of it."""
     path = f"{folder}/session_summary"

@@ -11,7 +11,7 @@ partial aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +69,46 @@ def product_financials(
     return out
 
 
+# Period columns of each grain.
+GRAIN_SETS: dict[str, list[str]] = {
+    "lifetime": [], "year": ["year"], "quarter": ["year", "quarter"], "month": ["year", "month"],
+}
+
+
+def product_financials_by_grains(
+    items: DataFrame, refunds: DataFrame, products: DataFrame, grains: Sequence[str] = tuple(GRAIN_SETS),
+) -> DataFrame:
+    """P1, P3 and P5 in one report: a ``grain`` column and a row per product and period of each.
+
+    The items meet their refunds once and are summed to product and month; the
+    grains are grouping sets over those sums, so what is multiplied by the
+    number of grains is a row per product and month, not the items. Period
+    columns a grain does not have are NULL; undated items have a NULL period in every grain.
+    """
+    periods = ["year", "quarter", "month"]
+    unknown = set(grains) - set(GRAIN_SETS)
+    if unknown or not grains:
+        raise ValueError(f"grains must be some of {list(GRAIN_SETS)}, got {list(grains)}")
+    dated = _item_facts(items, refunds).select(
+        "*", F.year("created_at").alias("year"), F.quarter("created_at").alias("quarter"), F.month("created_at").alias("month"))
+    sums = ["price_w", "cogs_w", "refund_amount"]
+    months = dated.groupBy("product_id", *periods).agg(*[F.sum(c).alias(c) for c in sums])
+    rolled = months.groupingSets(
+        [[F.col("product_id"), *map(F.col, GRAIN_SETS[g])] for g in dict.fromkeys(grains)],
+        F.col("product_id"), *map(F.col, periods),
+    ).agg(*[F.sum(c).alias(c) for c in sums], F.grouping_id().alias("_left_out"))
+    label = F.lit(None).cast("string")
+    for grain in grains:
+        left_out = sum(4 >> i for i, c in enumerate(periods) if c not in GRAIN_SETS[grain])
+        label = F.when(F.col("_left_out") == left_out, grain).otherwise(label)
+    return rolled.join(_names(products), "product_id", "left").select(
+        label.alias("grain"), "product_name", "product_id", *periods,
+        money("price_w").alias("revenue"),
+        money(F.col("price_w") - F.col("cogs_w")).alias("margin"),
+        money("refund_amount").alias("refund_volume"),
+    )
+
+
 def first_standalone_order(orders: DataFrame, products: DataFrame) -> DataFrame:
     """Launch date, first single-item order date and the days between."""
     solo = orders.where(F.col("items_purchased") == 1).groupBy(

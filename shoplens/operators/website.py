@@ -145,6 +145,24 @@ def landing_status(
     return latest.select("pageview_url", "latest_pageview", status.alias("status")).orderBy("status")
 
 
+
+def landing_status_rows(
+    pageviews: DataFrame, cutoff: str = ACTIVE_CUTOFF, urls: Sequence[str] | None = None,
+    summary: DataFrame | None = None,
+) -> DataFrame:
+    """``landing_status`` with the rows that the script's join on the time gives for each page
+    (``literal_rows``): one per pageview, of whatever page, at the page's latest time; one where there is none (SURVEY Q7).
+
+    Pageviews before the earliest of those times are left out at the scan;
+    the others are counted per time before they meet the pages.
+    """
+    status = landing_status(pageviews, cutoff, urls, summary)
+    earliest = status.agg(F.min("latest_pageview")).scalar()
+    views = pageviews.where(F.col("created_at") >= earliest).groupBy(F.col("created_at").alias("_time")).agg(
+        F.count(F.lit(1)).alias("_views"))
+    return status.join(views, F.col("latest_pageview") == F.col("_time"), "left").select(
+        "pageview_url", "latest_pageview", "status", F.coalesce("_views", F.lit(1)).alias("literal_rows"))
+
 def traffic_tuples(sessions: DataFrame) -> DataFrame:
     """Distinct traffic source tuples."""
     return sessions.select("utm_source", "utm_campaign", "utm_content", "device_type").distinct()

@@ -46,8 +46,8 @@ def mixed_spelling(t: ShopTables) -> ShopTables:
         value, turn = F.col(column), F.col(key) % 3
         return F.when(turn == 1, F.upper(value)).when(turn == 2, F.replace(value, F.lit(letter), F.lit(accented))).otherwise(value)
 
-    return replace(
-        t, session_summary=None,
+    return t.with_tables(
+        session_summary=None,
         website_pageviews=t.website_pageviews.withColumn("pageview_url", spell("pageview_url", "website_pageview_id", "e", "é")),
         website_sessions=t.website_sessions.withColumn("utm_campaign", spell("utm_campaign", "website_session_id", "a", "á")),
     )
@@ -102,6 +102,9 @@ def reports(p: Parameters = Parameters()) -> dict[str, Report]:
         "first_refund_per_order": lambda t: audits.first_refund_per_order(t.order_item_refunds),
         "repeat_refund_items": lambda t: audits.repeat_refund_items(t.order_item_refunds),
         "repeat_refund_orders": lambda t: audits.repeat_refund_orders(t.orders, t.order_item_refunds),
+        "repeat_refund_items_by_time": lambda t: audits.repeat_refund_items_by_time(t.order_item_refunds),
+        "coincident_refunds": lambda t: audits.coincident_refunds(t.order_item_refunds),
+        "claimed_keys": lambda t: audits.key_audit(t),
         # Section 2: customers
         "visitor_buy_rate": lambda t: customers.visitor_buy_rate(t.website_sessions, t.web_orders, p.visitor_grain),
         "revenue_per_visitor_session": lambda t: customers.revenue_per_visitor_session(
@@ -138,6 +141,8 @@ def reports(p: Parameters = Parameters()) -> dict[str, Report]:
             t.order_items, t.order_item_refunds, t.products, "quarter"),
         "product_monthly": lambda t: products.product_financials(
             t.order_items, t.order_item_refunds, t.products, "month"),
+        "product_all_grains": lambda t: products.product_financials_by_grains(
+            t.order_items, t.order_item_refunds, t.products),
         "primary_product_mix": lambda t: products.primary_product_mix(t.orders),
         "addon_items": lambda t: products.addon_items(t.orders, t.order_items, t.products),
         "addon_items_by_item_product": lambda t: products.addon_items_by_item_product(t.orders, t.order_items, t.products),
@@ -159,6 +164,8 @@ def reports(p: Parameters = Parameters()) -> dict[str, Report]:
         "landing_bounce_rate": lambda t: website.landing_bounce_rate(t.website_pageviews, t.session_summary),
         "last_order": lambda t: website.last_order(t.web_orders),
         "landing_status": lambda t: website.landing_status(t.website_pageviews, p.cutoff, None, t.session_summary),
+        "landing_status_rows": lambda t: website.landing_status_rows(
+            t.website_pageviews, p.cutoff, None, t.session_summary),
         "traffic_tuples": lambda t: website.traffic_tuples(t.website_sessions),
         "paid_share": lambda t: website.paid_share(t.website_sessions),
         "campaigns": lambda t: website.campaigns(t.website_sessions),

@@ -22,12 +22,13 @@ import os
 import re
 import threading
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shoplens.sources.tables import SCHEMAS, ShopTables, read_catalog, read_published, table_bytes
+from shoplens.sources.tables import SCHEMAS, SESSION_SUMMARY, ShopTables, TablesOnDemand, table_bytes
 
 log = logging.getLogger(__name__)
 
@@ -51,115 +52,128 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_fixture(
-    spark: SparkSession,
-    sf_dir: str,
-    stage: Callable[[str, DataFrame], DataFrame] | None = None,
-) -> ShopTables:
-    """Lazily derive the shop tables from the fixture tables in ``sf_dir``.
+class Mapping:
+    """The shop tables derived from the fixture tables in ``sf_dir``, one method a table.
 
     ``stage(name, df)`` may materialise the numbered line items, which feed
-    four tables; without it every consumer re-runs the numbering shuffle.
+    four tables, when the first of them is asked for; without it every consumer re-runs the
+    numbering shuffle. Website tables come from the events alone.
     """
-    lineitem = _read(spark, sf_dir, "lineitem")
-    raw_orders = _read(spark, sf_dir, "orders")
-    part = _read(spark, sf_dir, "part")
-    events = _read(spark, sf_dir, "events")
-
-    price = F.col("l_extendedprice").cast(MONEY)
-    order_dates = raw_orders.select(
-        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("created_at"))
-    dated = lineitem.join(order_dates, "l_orderkey", "left")
-    numbered = number_items(dated, stage, bucket_count(spark, sf_dir)).select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate", "created_at",
-        price.alias("price_usd"),
-        (price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY4).alias("cogs_usd"),
-        (price * (F.lit(1) + F.col("l_tax").cast("decimal(4,2)"))).cast(MONEY4).alias("refund_amount_usd"),
-        "seq",
-    )
-    items_wide = numbered.select(
-        _bounded(F.col("l_orderkey") * ITEM_FACTOR + F.col("seq"), F.col("seq"), ITEM_FACTOR, "item number").alias("order_item_id"),
-        "created_at",
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.when(F.col("seq") == 1, 1).otherwise(0).alias("is_primary_item"),
-        "price_usd", "cogs_usd", "refund_amount_usd", "l_returnflag", "l_shipdate",
-    )
-    if stage is not None:
-        items_wide = stage("items_wide", items_wide)
-    order_items = items_wide.select(*SCHEMAS["order_items"])
-    refunds = items_wide.where(F.col("l_returnflag") == "R").select(
-        F.col("order_item_id").alias("order_item_refund_id"),
-        F.col("l_shipdate").alias("created_at"),
-        "order_item_id", "order_id", "refund_amount_usd",
-    )
 
-    item_stats = order_items.groupBy("order_id").agg(
-        F.count(F.lit(1)).cast("int").alias("n_items"),
-        F.sum("cogs_usd").alias("items_cogs"),
-        F.max(F.when(F.col("is_primary_item") == 1, F.col("product_id"))).alias("primary_product_id"),
-    )
-    orders = raw_orders.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_orderdate").alias("created_at"),
-        F.lit(None).cast("bigint").alias("website_session_id"),
-        F.col("o_custkey").alias("user_id"),
-        F.col("o_totalprice").cast(MONEY).alias("price_usd"),
-    ).join(item_stats, "order_id", "left").select(
-        "order_id", "created_at", "website_session_id", "user_id", "primary_product_id",
-        F.coalesce("n_items", F.lit(0)).alias("items_purchased"),
-        "price_usd",
-        F.coalesce("items_cogs", F.lit(0)).cast(MONEY4).alias("cogs_usd"),
-    )
+    def __init__(self, spark: SparkSession, sf_dir: str, stage: Callable[[str, DataFrame], DataFrame] | None = None):
+        self.spark, self.sf_dir, self.stage = spark, sf_dir, stage
+
+    def _raw(self, name: str) -> DataFrame:
+        return _read(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def items_wide(self) -> DataFrame:
+        price = F.col("l_extendedprice").cast(MONEY)
+        order_dates = self._raw("orders").select(
+            F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("created_at"))
+        dated = self._raw("lineitem").join(order_dates, "l_orderkey", "left")
+        numbered = number_items(dated, self.stage, bucket_count(self.spark, self.sf_dir)).select(
+            "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate", "created_at",
+            price.alias("price_usd"),
+            (price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY4).alias("cogs_usd"),
+            (price * (F.lit(1) + F.col("l_tax").cast("decimal(4,2)"))).cast(MONEY4).alias("refund_amount_usd"),
+            "seq",
+        )
+        wide = numbered.select(
+            _bounded(F.col("l_orderkey") * ITEM_FACTOR + F.col("seq"), F.col("seq"), ITEM_FACTOR, "item number").alias("order_item_id"),
+            "created_at",
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.when(F.col("seq") == 1, 1).otherwise(0).alias("is_primary_item"),
+            "price_usd", "cogs_usd", "refund_amount_usd", "l_returnflag", "l_shipdate",
+        )
+        return wide if self.stage is None else self.stage("items_wide", wide)
+
+    def order_items(self) -> DataFrame:
+        return self.items_wide.select(*SCHEMAS["order_items"])
+
+    def order_item_refunds(self) -> DataFrame:
+        return self.items_wide.where(F.col("l_returnflag") == "R").select(
+            F.col("order_item_id").alias("order_item_refund_id"),
+            F.col("l_shipdate").alias("created_at"),
+            "order_item_id", "order_id", "refund_amount_usd",
+        )
+
+    def orders(self) -> DataFrame:
+        item_stats = self.order_items().groupBy("order_id").agg(
+            F.count(F.lit(1)).cast("int").alias("n_items"),
+            F.sum("cogs_usd").alias("items_cogs"),
+            F.max(F.when(F.col("is_primary_item") == 1, F.col("product_id"))).alias("primary_product_id"),
+        )
+        return self._raw("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_orderdate").alias("created_at"),
+            F.lit(None).cast("bigint").alias("website_session_id"),
+            F.col("o_custkey").alias("user_id"),
+            F.col("o_totalprice").cast(MONEY).alias("price_usd"),
+        ).join(item_stats, "order_id", "left").select(
+            "order_id", "created_at", "website_session_id", "user_id", "primary_product_id",
+            F.coalesce("n_items", F.lit(0)).alias("items_purchased"),
+            "price_usd",
+            F.coalesce("items_cogs", F.lit(0)).cast(MONEY4).alias("cogs_usd"),
+        )
+
+    def products(self) -> DataFrame:
+        launches = self.order_items().groupBy("product_id").agg(F.min("created_at").alias("created_at"))
+        return self._raw("part").select(
+            F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),
+        ).join(launches, "product_id", "left").select(*SCHEMAS["products"])
+
+    def _views(self) -> DataFrame:
+        k = F.get_json_object("props", "$.k").cast("int")
+        day = F.datediff(F.to_date("ts"), F.lit(SESSION_EPOCH).cast("date"))
+        session_id = _bounded(F.col("user_id") * SESSION_USER_FACTOR + day, day, SESSION_USER_FACTOR, "session day")
+        return self._raw("events").select(
+            F.col("event_id").alias("website_pageview_id"),
+            F.col("ts").alias("created_at"),
+            session_id.alias("website_session_id"),
+            F.concat(F.lit("/"), F.col("event_type"), F.lit("-"), (k % 4).cast("string")).alias("pageview_url"),
+            "user_id", "event_type", "value", k.alias("k"),
+        )
+
+    def website_pageviews(self) -> DataFrame:
+        return self._views().select(*SCHEMAS["website_pageviews"])
+
+    def website_sessions(self) -> DataFrame:
+        first = self._views().groupBy("website_session_id").agg(
+            F.min("created_at").alias("created_at"),
+            F.min("user_id").alias("user_id"),
+            F.min_by("k", F.struct("created_at", "website_pageview_id")).alias("fk"),
+        )
+        fk = F.col("fk")
+        paid = fk >= PAID_MIN_K
+        return first.select(
+            "website_session_id", "created_at", "user_id",
+            F.when(paid, F.when(fk % 2 == 0, "src_a").otherwise("src_b")).alias("utm_source"),
+            F.when(paid, F.concat(F.lit("camp_"), (fk % 4).cast("string"))).alias("utm_campaign"),
+            F.when(paid, F.concat(F.lit("ad_"), (fk % 3).cast("string"))).alias("utm_content"),
+            F.when(fk % 3 == 0, "mobile").otherwise("desktop").alias("device_type"),
+        )
+
+    def web_orders(self) -> DataFrame:
+        return self._views().where(F.col("event_type") == "purchase").select(
+            F.col("website_pageview_id").alias("order_id"),
+            "created_at", "website_session_id", "user_id",
+            F.lit(None).cast("bigint").alias("primary_product_id"),
+            F.lit(None).cast("int").alias("items_purchased"),
+            F.col("value").cast(MONEY).alias("price_usd"),
+            F.lit(None).cast(MONEY4).alias("cogs_usd"),
+        )
 
-    launches = order_items.groupBy("product_id").agg(F.min("created_at").alias("created_at"))
-    products = part.select(
-        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"),
-    ).join(launches, "product_id", "left").select(*SCHEMAS["products"])
-
-    k = F.get_json_object("props", "$.k").cast("int")
-    day = F.datediff(F.to_date("ts"), F.lit(SESSION_EPOCH).cast("date"))
-    session_id = _bounded(F.col("user_id") * SESSION_USER_FACTOR + day, day, SESSION_USER_FACTOR, "session day")
-    views = events.select(
-        F.col("event_id").alias("website_pageview_id"),
-        F.col("ts").alias("created_at"),
-        session_id.alias("website_session_id"),
-        F.concat(F.lit("/"), F.col("event_type"), F.lit("-"), (k % 4).cast("string")).alias("pageview_url"),
-        "user_id", "event_type", "value", k.alias("k"),
-    )
-    website_pageviews = views.select(*SCHEMAS["website_pageviews"])
 
-    first = views.groupBy("website_session_id").agg(
-        F.min("created_at").alias("created_at"),
-        F.min("user_id").alias("user_id"),
-        F.min_by("k", F.struct("created_at", "website_pageview_id")).alias("fk"),
-    )
-    fk = F.col("fk")
-    paid = fk >= PAID_MIN_K
-    website_sessions = first.select(
-        "website_session_id", "created_at", "user_id",
-        F.when(paid, F.when(fk % 2 == 0, "src_a").otherwise("src_b")).alias("utm_source"),
-        F.when(paid, F.concat(F.lit("camp_"), (fk % 4).cast("string"))).alias("utm_campaign"),
-        F.when(paid, F.concat(F.lit("ad_"), (fk % 3).cast("string"))).alias("utm_content"),
-        F.when(fk % 3 == 0, "mobile").otherwise("desktop").alias("device_type"),
-    )
-
-    web_orders = views.where(
-        F.col("event_type") == "purchase"
-    ).select(
-        F.col("website_pageview_id").alias("order_id"),
-        "created_at", "website_session_id", "user_id",
-        F.lit(None).cast("bigint").alias("primary_product_id"),
-        F.lit(None).cast("int").alias("items_purchased"),
-        F.col("value").cast(MONEY).alias("price_usd"),
-        F.lit(None).cast(MONEY4).alias("cogs_usd"),
-    )
-
-    return ShopTables(
-        orders=orders, order_items=order_items, order_item_refunds=refunds,
-        products=products, website_sessions=website_sessions,
-        website_pageviews=website_pageviews, web_orders=web_orders,
-    )
+def map_fixture(
+    spark: SparkSession,
+    sf_dir: str,
+    stage: Callable[[str, DataFrame], DataFrame] | None = None,
+) -> ShopTables:
+    """All tables of :class:`Mapping`, lazily derived."""
+    mapping = Mapping(spark, sf_dir, stage)
+    return ShopTables(**{name: getattr(mapping, name)() for name in SCHEMAS})
 
 
 def _bounded(key, part, factor: int, what: str):
@@ -254,42 +268,69 @@ def _app_id(spark: SparkSession) -> str:
     return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
 
 
-_PUBLISHED: dict[tuple[str, str], tuple[str, str]] = {}
 _LOCK = threading.Lock()
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> ShopTables:
-    """Shop tables for ``sf_dir``, published once per application and read back.
+class _Published:
+    """Where the tables of one mapping lie, each written when it is first read.
 
-    The mapping (two shuffles of the fact tables) runs once. The tables go to
-    the shared checkpoint folder as catalog tables bucketed on their join
-    keys (``read_catalog``); if the catalog refuses them, as plain Parquet
-    (``read_published``). Every report then scans that copy, so column
-    pruning and filter pushdown reach the files.
+    A table goes to the shared folder as a catalog table, bucketed on its join key; if the
+    catalog refuses it, as plain Parquet. The session summary is made from the written pageviews.
     """
-    from shoplens.operators.prep import publish
 
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str, prefix: str):
+        self.root, self.prefix = root, prefix
+        self.buckets = bucket_count(spark, sf_dir)
+        self.mapping = Mapping(spark, sf_dir, self._stage)
+        self.places: dict[str, str] = {}  # table -> "catalog" or "path"
+        self.lock = threading.RLock()
+
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/_stage/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.mapping.spark.read.parquet(path)
+
+    def _write(self, spark: SparkSession, name: str) -> str:
+        from shoplens.operators import prep
+        from shoplens.operators.website import session_summary
+
+        summary = name == "session_summary"
+        source = self.read(spark, "website_pageviews") if summary else getattr(self.mapping, name)()
+        try:
+            if summary:
+                prep.publish_summary(source, f"{self.root}/bucketed", self.prefix, self.buckets)
+            else:
+                prep.publish_table(name, source, f"{self.root}/bucketed", self.prefix, self.buckets)
+            return "catalog"
+        except AnalysisException as refused:  # the catalog takes no such table: plain Parquet copy
+            log.warning("catalog refused %s, publishing plain Parquet: %s", name, refused)
+            (session_summary(source) if summary else source).write.mode("overwrite").parquet(f"{self.root}/plain/{name}")
+            return "path"
+
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        with self.lock:
+            if name not in self.places:
+                self.places[name] = self._write(spark, name)
+        columns = SESSION_SUMMARY if name == "session_summary" else SCHEMAS[name]
+        if self.places[name] == "catalog":
+            return spark.table(f"{self.prefix}{name}").select(*columns)
+        return spark.read.parquet(f"{self.root}/plain/{name}").select(*columns)
+
+
+_PUBLISHED: dict[tuple[str, str], _Published] = {}
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> TablesOnDemand:
+    """Shop tables for ``sf_dir``, each written once per application, at its first use, and read back.
+
+    A report stages what it reads: the last order needs the events, not the items. Every
+    report scans the written copy, so column pruning and filter pushdown reach the files.
+    """
     key = (_app_id(spark), _fingerprint(sf_dir))
     with _LOCK:
-        loaded = _PUBLISHED.get(key)
-        if loaded is None:
+        found = _PUBLISHED.get(key)
+        if found is None:
             root = f"{shared_folder(spark)}/shop_tables/{key[0]}/{key[1]}"
-
-            def stage(name: str, df: DataFrame) -> DataFrame:
-                path = f"{root}/_stage/{name}"
-                df.write.mode("overwrite").parquet(path)
-                return spark.read.parquet(path)
-
-            mapped = map_fixture(spark, sf_dir, stage=stage)
             prefix = f"shoplens_{re.sub('[^0-9A-Za-z]', '_', key[0])}_{key[1]}_"
-            try:
-                publish(mapped, f"{root}/bucketed", catalog_prefix=prefix,
-                        buckets=bucket_count(spark, sf_dir))
-                loaded = ("catalog", prefix)
-            except AnalysisException as refused:  # the catalog takes no such tables: plain Parquet copy
-                log.warning("catalog refused the bucketed tables, publishing plain Parquet: %s", refused)
-                publish(mapped, f"{root}/plain")
-                loaded = ("path", f"{root}/plain")
-            _PUBLISHED[key] = loaded
-    kind, where = loaded
-    return read_catalog(spark, prefix=where) if kind == "catalog" else read_published(spark, where)
+            found = _PUBLISHED[key] = _Published(spark, sf_dir, root, prefix)
+    return TablesOnDemand(lambda name: found.read(spark, name))

@@ -9,6 +9,8 @@ copy (:func:`read_published`) or the fixture mapping
 from __future__ import annotations
 
 import logging
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -66,6 +68,14 @@ SESSION_SUMMARY = [
     "website_session_id", "first_pageview_id", "landing_url", "first_pageview_visited", "session_pageviews",
 ]
 
+# Columns that the reports take as keys: they count rows where the scripts count distinct values.
+# ``audits.key_audit`` measures the claim, ``prep.require_keys`` refuses tables that break it.
+CLAIMED_KEYS: dict[str, str] = {
+    "orders": "order_id", "order_items": "order_item_id", "order_item_refunds": "order_item_refund_id",
+    "products": "product_id", "website_sessions": "website_session_id",
+    "website_pageviews": "website_pageview_id", "web_orders": "order_id",
+}
+
 # Table property of a catalog's session summary: the version of the pageviews it was made from.
 SUMMARY_OF = "shoplens.summary_of"
 
@@ -94,8 +104,38 @@ class ShopTables:
 
         return session_summary(self.website_pageviews)
 
+    def with_tables(self, **changes: DataFrame | None) -> "ShopTables":
+        return replace(self, **changes)
+
     def with_summary(self, df: DataFrame) -> "ShopTables":
-        return replace(self, session_summary=df)
+        return self.with_tables(session_summary=df)
+
+
+class TablesOnDemand:
+    """Shop tables of which each is made at its first use.
+
+    ``make(name)`` is asked once for each table that a report reads (names of
+    ``SCHEMAS``, and ``session_summary``); the rest are never made. Attributes and methods are
+    those of :class:`ShopTables`.
+    """
+
+    def __init__(self, make: Callable[[str], DataFrame | None]):
+        self._make, self._made, self._lock = make, {}, threading.RLock()
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in SCHEMAS and name != "session_summary":
+            raise AttributeError(name)
+        with self._lock:
+            if name not in self._made:
+                self._made[name] = self._make(name)
+            return self._made[name]
+
+    items = ShopTables.items
+    summary = ShopTables.summary
+    with_summary = ShopTables.with_summary
+
+    def with_tables(self, **changes: DataFrame | None) -> "TablesOnDemand":
+        return TablesOnDemand(lambda name: changes[name] if name in changes else getattr(self, name))
 
 
 def table_bytes(df: DataFrame) -> int:

@@ -54,15 +54,12 @@ def test_fixture_tables_fall_back_to_plain_parquet(spark, monkeypatch):
     from shoplens.plans.reports import REPORTS
     from shoplens.sources import fixture
 
-    real = prep_mod.publish
-
-    def no_catalog(tables, root, derived=True, catalog_prefix=None, buckets=None):
-        if catalog_prefix is not None:
-            raise AnalysisException("catalog unavailable")
-        return real(tables, root, derived)
+    def no_catalog(name, df, root, catalog_prefix, buckets):
+        raise AnalysisException("catalog unavailable")
 
     bucketed = fixture_tables(spark, SF_SMOKE)
-    monkeypatch.setattr(prep_mod, "publish", no_catalog)
+    assert bucketed.summary() is bucketed.session_summary
+    monkeypatch.setattr(prep_mod, "publish_table", no_catalog)
     monkeypatch.setattr(fixture, "_PUBLISHED", {})
     monkeypatch.setattr(fixture, "MAPPING_VERSION", "fallback-test")
     plain = fixture_tables(spark, SF_SMOKE)
@@ -83,11 +80,35 @@ def test_publish_errors_surface(spark, monkeypatch):
     def full(*args, **kwargs):
         raise OSError("no space left on device")
 
-    monkeypatch.setattr(prep_mod, "publish", full)
+    monkeypatch.setattr(prep_mod, "publish_table", full)
     monkeypatch.setattr(fixture, "_PUBLISHED", {})
     monkeypatch.setattr(fixture, "MAPPING_VERSION", "error-test")
     with pytest.raises(OSError, match="no space left"):
-        fixture_tables(spark, SF_SMOKE)
+        fixture_tables(spark, SF_SMOKE).orders
+
+
+def test_tables_are_staged_when_first_read(spark, monkeypatch):
+    """A report stages the tables it reads and what those are made of, nothing else, and once."""
+    import os
+
+    from shoplens.plans.reports import REPORTS
+    from shoplens.sources import fixture
+
+    monkeypatch.setattr(fixture, "_PUBLISHED", {})
+    monkeypatch.setattr(fixture, "MAPPING_VERSION", "demand-test")
+    t = fixture_tables(spark, SF_SMOKE)
+    (published,) = fixture._PUBLISHED.values()
+    folder = published.root.removeprefix("file:")
+    assert published.places == {} and not os.path.exists(folder)
+    last = REPORTS["last_order"](t).collect()
+    assert published.places == {"web_orders": "catalog"}
+    assert os.listdir(folder) == ["bucketed"]  # no line item was numbered
+    REPORTS["landing_bounce_rate"](t).collect()
+    assert set(published.places) == {"web_orders", "website_pageviews", "session_summary"}
+    REPORTS["inflow_annual"](fixture_tables(spark, SF_SMOKE)).collect()
+    assert set(published.places) == {"web_orders", "website_pageviews", "session_summary", "orders"}
+    assert sorted(os.listdir(f"{folder}/_stage")) == ["items_ranged", "items_wide"]
+    assert REPORTS["last_order"](fixture_tables(spark, SF_SMOKE)).collect() == last
 
 
 def test_bucket_count_follows_input_size(spark):
