@@ -11,9 +11,10 @@ word before and of the one after).
 *Training*: labelled findings are given, or taken from the corpus by known
 formats: provider key shapes and values assigned to credential names are
 secrets; plain numbers (cards, identifiers), candidates within addresses and
-those without a digit or a change of case are false positives. The labels come from the format or the assignment; the
-forest judges candidates of any shape. At most ``SAMPLE`` findings of each label
-(smallest hashes) are used.
+those without a digit or a change of case are false positives. At most ``SAMPLE`` findings
+of each label (smallest hashes) are used. Each teaches several forms (``forms``): at another place, without its assignment,
+in pieces, and secrets in other alphabets, with signs and ending words; so the forest judges
+candidates of any shape by more than what settled the label.
 The forest is Spark ML's; its trees are read out into arrays, so that scanning
 is one pass over the documents, and a document is judged and redacted
 where it is read.
@@ -27,8 +28,11 @@ table gives an empty result; other columns are ignored (carried by ``redact``).
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,6 +58,12 @@ _NAME = rb"(?i)(token|passw(?:or)?d|pwd|secret|api[_-]?key|access[_-]?key|auth)[
 _ASSIGNED = re.compile(_NAME + rb"[:=]+>?\s*[\"']?$")
 #: A value assigned to a credential name: in quotes, or else up to a space.
 VALUE = re.compile(_NAME + rb"[:=]+>?\s*(?:\"([^\"\s]+)|'([^'\s]+)|([^\s\"']\S*))")
+#: Alphabets of random keys and signs of passwords that training values are made with.
+_ALPHABETS = tuple(a.encode() for a in (
+    string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_",
+    string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.hexdigits[:16],
+))
+_SIGNS = b".!@$&#%"
 _ADDRESS = re.compile(rb"(?i)(https?://|www\.|@)\S*$")
 FEATURES = ("length", "digits", "capitals", "signs", "entropy", "transitions", "dictionary", "path", "assigned", "quoted", "before", "after")
 
@@ -170,28 +180,98 @@ def learn_prose(docs: DataFrame) -> Prose:
     return Prose(np.log(pairs / pairs.sum(axis=1, keepdims=True)), [r["word"].encode() for r in words])
 
 
-def labelled_findings(docs: DataFrame, prose: Prose) -> DataFrame:
-    """(label, features, order) of the candidates that their format or context settles."""
+FINDINGS = "label int, value string, path string, before binary, after binary, there_before binary, there_after binary"
+
+
+def labelled_findings(docs: DataFrame) -> DataFrame:
+    """The candidates that their format or context settles, each different value once (FINDINGS).
+
+    ``there_before`` and ``there_after`` surround another place of the document, drawn by the value.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
-        label, rows, key = [], [], []
+        rows = []
         for path, data in zip(batch.column("source").to_pylist(), utf8_values(batch.column("text"))):
             if data is None:
                 continue
-            for _, value, before, after in candidates(data.tobytes()):
+            text = data.tobytes()
+            for _, value, before, after in candidates(text):
                 known = known_label(value, before)
                 if known is not None:
-                    label.append(known)
-                    rows.append(features(value, before, after, (path or "").encode(), prose))
-                    key.append(value.decode())
-        return {"label": pa.array(label, pa.int32()), "features": pa.array(rows, pa.list_(pa.float64())), "value": key}
+                    at = zlib.crc32(value) % len(text)
+                    rows.append((known, value.decode(), path, before, after, text[max(0, at - 40) : at], text[at : at + 24]))
+        columns = zip(*rows) if rows else [[]] * 7
+        types = (pa.int32(), pa.string(), pa.string(), *[pa.binary()] * 4)
+        return {i: pa.array(c, t) for i, (c, t) in enumerate(zip(columns, types))}
 
-    found = over_batches(docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")), run, "label int, features array<double>, value string")
+    found = over_batches(docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")), run, FINDINGS)
     # Copies of a value teach nothing more.
-    found = staged(found.groupBy("label", "value").agg(F.min("features").alias("features")), "secret_findings")
-    order = F.xxhash64("value")
-    sides = [found.where(F.col("label") == side).orderBy(order, "value").limit(SAMPLE) for side in (0, 1)]
-    return sides[0].union(sides[1]).select("label", "features")
+    context = F.struct("path", "before", "after", "there_before", "there_after")
+    found = staged(found.groupBy("label", "value").agg(F.min(context).alias("c")).select("label", "value", "c.*"), "secret_findings")
+    sides = [found.where(F.col("label") == side).orderBy(F.xxhash64("value"), "value").limit(SAMPLE) for side in (0, 1)]
+    return sides[0].union(sides[1])
+
+
+def _recoded(value: bytes, size: int) -> bytes:
+    """A random value of ``size`` characters in some key alphabet, drawn by ``value``."""
+    drawn = b"".join(hashlib.blake2b(value, digest_size=64, salt=bytes([i])).digest() for i in range(-(-size // 63)))
+    alphabet = _ALPHABETS[drawn[0] % len(_ALPHABETS)]
+    return bytes(alphabet[b % len(alphabet)] for b in drawn[1 : size + 1])
+
+
+def _digit(value: bytes) -> bool:
+    return any(48 <= b < 58 for b in value)
+
+
+def forms(label: int, value: bytes, before: bytes, after: bytes, there: tuple[bytes, bytes]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(label, value, before, after) of what one finding teaches.
+
+    The finding itself; the same value at another place of its document, without its assignment; pieces
+    of it at both. A false positive also teaches a longer number or compound word, in capitals too. A secret also teaches random values in other key alphabets, pieces with
+    signs, a word that ends in a piece, and, where a credential name stands before
+    it, that a plain word there is none. So neither one length nor the assignment decides.
+    """
+    own, n = (before, after), len(value)
+    draw = hashlib.blake2b(value, digest_size=16).digest()
+    yield label, value, *own
+    if n >= SHORTEST:
+        yield label, value, *there
+        for d in draw[:2]:
+            piece = value[: SHORTEST + d % (n - SHORTEST + 1)]
+            if not label or _digit(piece):
+                yield label, piece, *there
+    words = re.findall(rb"[A-Za-z]{3,}", there[0]) or [b"word"]
+    word = words[draw[2] % len(words)]
+    if not label:
+        longer = value + value[: 1 + draw[3] % n] if _digit(value) else value + word.lower()
+        yield 0, longer, *there
+        yield 0, longer.title(), *there
+        return
+    for d in draw[3:5]:
+        yield 1, _recoded(value + bytes([d]), SHORTEST + d % 32), *there
+    if not _ASSIGNED.search(before):
+        return
+    made = [value[: 1 + d % n] for d in draw[5:8]] + [value[-1 - d % 3 :] for d in draw[8:10]]
+    made += [_recoded(value + bytes([d]), 6 + d % 32) for d in draw[10:12]] + [word + value[-1 - draw[12] % 4 :], word.title() + b"1"]
+    made += [v[: 1 + draw[13] % len(v)] + bytes([_SIGNS[draw[14] % len(_SIGNS)]]) + v[1 + draw[13] % len(v) :] for v in (value, *made[:4])]
+    for v in made:
+        if _digit(v):
+            yield 1, v, *own
+    yield 0, word.lower(), *own
+
+
+def training_rows(findings: DataFrame, prose: Prose) -> DataFrame:
+    """(label, features) of the forms of at most 2 * ``SAMPLE`` findings."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        label, rows = [], []
+        for side, value, path, before, after, *there in zip(*(c.to_pylist() for c in batch.columns)):
+            for known, v, b, a in forms(side, value.encode(), before, after, tuple(there)):
+                label.append(known)
+                rows.append(features(v, b, a, (path or "").encode(), prose))
+        return {"label": pa.array(label, pa.int32()), "features": pa.array(rows, pa.list_(pa.float64()))}
+
+    return over_batches(findings, run, "label int, features array<double>")
 
 
 class Forest:
@@ -263,7 +343,7 @@ class Scanner:
 def scanner(docs: DataFrame, findings: DataFrame | None = None) -> Scanner:
     """Train on ``findings`` (label, features) or on the corpus's own settled candidates."""
     prose = learn_prose(docs)
-    return Scanner(train(labelled_findings(docs, prose) if findings is None else findings), prose)
+    return Scanner(train(training_rows(labelled_findings(docs), prose) if findings is None else findings), prose)
 
 
 def scan(docs: DataFrame, scan_with: Scanner | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -272,8 +352,6 @@ def scan(docs: DataFrame, scan_with: Scanner | None = None, threshold: float = T
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")]
 
     def run(batch: pa.RecordBatch) -> dict:
-        import hashlib
-
         rows = []
         for i, path, data in zip(batch.column("doc_id").to_pylist(), batch.column("source").to_pylist(), utf8_values(batch.column("text"))):
             if data is not None:

@@ -209,8 +209,33 @@ def test_every_settled_finding_can_teach(spark, full):
             want |= {(secret_scan.known_label(v, b), v) for _, v, b, _ in secret_scan.candidates((r.text or "").encode())}
         want = Counter(k for k, _ in want if k is not None)
         assert 0 < want[0] < secret_scan.SAMPLE and want[1] < secret_scan.SAMPLE
-        prose = secret_scan.learn_prose(df)
-        assert Counter(r.label for r in secret_scan.labelled_findings(df, prose).collect()) == want
+        assert Counter(r.label for r in secret_scan.labelled_findings(df).collect()) == want
+
+
+@pytest.fixture(scope="module", params=["sf0.01", "sf0.1"])
+def taught(request, spark):
+    return secret_scan.scanner(spark.read.parquet(f"/root/testdata/{request.param}/documents.parquet"))
+
+
+def test_bare_and_assigned_values_are_found_at_the_threshold(spark, taught):
+    """At least 0.9 of random bare tokens of 20 to 40 characters and of assigned values of any length, few plain words and numbers."""
+    rng = np.random.default_rng(8)
+    prose = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(100).collect()
+    letters = [b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    made = lambda n, kind: bytes(rng.choice(list(letters[kind]), n).astype(np.uint8))
+    wrapped = lambda i, body: prose[i % 100].text[:150].encode().rsplit(b" ", 1)[0] + b" " + body + b" " + prose[i % 100].text[150:300].encode().split(b" ", 1)[-1]
+    judge = lambda i, value, body: any(v == value and p >= secret_scan.THRESHOLD for _, v, p in taught.scan(wrapped(i, body), prose[i % 100].source))
+    for kind in (0, 1):
+        for size in (20, 24, 32, 40):
+            tokens = [made(size, kind) for _ in range(50)]
+            assert np.mean([judge(i, t, t) for i, t in enumerate(tokens)]) >= 0.9, (kind, size)
+    values = [b"hunter2x", b"Tr0ub4dor&3", b"p.4ss!w@rd$9", b"q1", b"7", b"abc123!" * 4 + b"x", "é9ü8ß7".encode(), *[made(n, n % 2) + b"5" for n in range(4, 30)]]
+    texts = [b'password = "%s"', b"pwd: %s ,", b"api_key='%s'", b"token=%s x", b"auth:=%s"]
+    got = [judge(i, v, t % v) for i, v in enumerate(values) for t in texts]
+    assert np.mean(got) >= 0.9, [(v, t) for (v, t), g in zip([(v, t) for v in values for t in texts], got) if not g]
+    plain = [b"internationalization", b"4000123412341234", b"uncharacteristically", b"12345678901234567890", b"Bundesverfassungsgericht"]
+    assert np.mean([judge(i, v, v) for i, v in enumerate(plain * 4)]) <= 0.1
+    assert not judge(0, b"recipes", b"the secret: recipes of")
 
 
 def test_short_and_broken_assigned_values_are_candidates(spark, full):
@@ -226,8 +251,8 @@ def test_short_and_broken_assigned_values_are_candidates(spark, full):
     prose = secret_scan.learn_prose(rows)
     known = secret_scan.redact(rows, secret_scan.Scanner(None, prose)).collect()
     assert all("[SECRET]" in r.text and not any(v in r.text.split("[SECRET]") for v in values) for r in known)
-    judged = secret_scan.scan(rows, secret_scan.scanner(full), threshold=0.0).collect()
-    assert len(judged) == len(texts)
+    judged = secret_scan.scan(rows, secret_scan.scanner(full)).collect()
+    assert len(judged) >= 0.9 * len(texts)
 
 
 def test_forest_arrays_score_like_the_model(spark):
