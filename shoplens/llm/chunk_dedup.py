@@ -4,13 +4,14 @@ The gear hash of a position covers its last 16 bytes, so cuts depend on
 content alone and fall into step again 16 bytes after an insertion. Chunks
 average about ``MEAN`` bytes; a cut closer than ``LEAST`` bytes to the candidate
 before it is skipped and chunks end at ``MOST`` bytes at the latest. Chunks with
-equal 128-bit digests are copies: the one with the smallest (doc_id, start)
+equal 128-bit digests are copies: the one with the smallest (doc_id, text digest, start)
 is kept, the others are removed. Digests are counted with partial aggregates
 and joined back, so a chunk held by a third of all documents is one row per
 task before the shuffle.
 
 Defined results: NULL and empty texts have no chunks; rows with equal doc_id and
-text are one document; a NULL doc_id sorts after all others; an empty table gives an
+text are one document, also where both ids are NULL, and different texts are different
+documents under whatever id; a NULL doc_id sorts after all others; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -51,13 +52,15 @@ def cuts(data: np.ndarray, mean: int = MEAN) -> np.ndarray:
 
 
 def _chunks(batch: pa.RecordBatch) -> dict:
-    rows, starts, sizes, digests = [], [], [], []
+    rows, starts, sizes, digests, texts = [], [], [], [], []
     for data in utf8_values(batch.column("text")):
         if data is None or not len(data):
             rows.append(0)
+            texts.append(0)
             continue
         edges = cuts(data)
         body = data.tobytes()
+        texts.append(int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True))
         digests += [hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
         starts.append(edges[:-1])
         sizes.append(np.diff(edges))
@@ -66,25 +69,26 @@ def _chunks(batch: pa.RecordBatch) -> dict:
     halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     none = np.zeros(0, np.int32)
     return {
-        "doc_id": batch.column("doc_id").take(pa.array(own)), "start": np.concatenate([none, *starts]).astype(np.int32),
+        "doc_id": batch.column("doc_id").take(pa.array(own)), "txt": np.array(texts, np.int64)[own], "start": np.concatenate([none, *starts]).astype(np.int32),
         "size": np.concatenate([none, *sizes]).astype(np.int32), "d1": halves[:, 0], "d2": halves[:, 1],
     }
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, start, size and digest (d1, d2) of every chunk."""
+    """doc_id, txt (the text's digest), start, size and digest (d1, d2) of every chunk."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return over_batches(docs, _chunks, "doc_id long, start int, size int, d1 long, d2 long")
+    return over_batches(docs, _chunks, "doc_id long, txt long, start int, size int, d1 long, d2 long")
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:
-    """The chunks whose digest occurs again: doc_id, start, size, kept_doc, removed; shared if two documents hold it."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
+    """The chunks whose digest occurs again: doc_id, txt, start, size, kept_doc, removed; shared if two documents hold it."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "txt", "start")
+    document = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "txt")
     copies = chunks.groupBy("d1", "d2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("shared")
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), (F.min(document) < F.max(document)).alias("shared")
     ).where("n > 1")
     return chunks.join(copies, ["d1", "d2"]).select(
-        "doc_id", "start", "size", F.col("first.doc_id").alias("kept_doc"), F.coalesce("shared", F.lit(False)).alias("shared"), (place != F.col("first")).alias("removed")
+        "doc_id", "txt", "start", "size", F.col("first.doc_id").alias("kept_doc"), "shared", (~place.eqNullSafe(F.col("first"))).alias("removed")
     )
 
 
@@ -96,7 +100,7 @@ def chunk_report(docs: DataFrame) -> DataFrame:
     kept_docs (the documents that keep its removed chunks; itself for its own copies).
     """
     repeated = repeated_chunks(staged(chunk_table(docs), "cdc_chunks"))
-    lists = repeated.groupBy("doc_id").agg(
+    lists = repeated.groupBy("doc_id", "txt").agg(
         F.array_sort(F.collect_set(F.struct("start", "size", "removed", "kept_doc", "shared"))).alias("chunks")
     )
     # Walk the sorted chunks: a chunk that starts where the one before ended lengthens the run.
