@@ -3,8 +3,10 @@
 Training counts byte 4-grams per language over all training documents. A
 gram belongs to a language if its rate there is at least ``SHARE`` of its
 highest rate in any language (documents quote other languages, so bare
-presence means little). Every gram sets its languages' bits in ``HASHES`` slots
-of one table of ``SLOTS`` language bitmasks: bit l of all slots is the Bloom
+presence means little), and it counts where it has at least ``LEAST`` occurrences and
+a rate of ``RAREST``, so no language has more than 1 / RAREST grams. Every gram sets its languages' bits in ``HASHES`` slots
+of one table of language bitmasks (``ROOM`` slots a gram of the largest language, a power of
+two from 2^19 to 2^23, 64 MB): bit l of all slots is the Bloom
 filter of language l, and the AND of a gram's slots answers for all languages
 at once. A document's grams are looked up, hits are popcounted per language
 and corrected for the filter's false positives, (hits/n - fp) / (1 - fp) with
@@ -24,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import crc_bucket, over_batches, utf8_values
+from shoplens.llm.common import crc_bucket, over_batches, staged, utf8_values
 from shoplens.llm.textops import mix64
 
-SLOTS = 1 << 19
+FEWEST_SLOTS, MOST_SLOTS = 1 << 19, 1 << 23
+ROOM = 16
 HASHES = 3
 SHARE = 0.15
 #: Occurrences below which a gram is noise.
 LEAST = 3
+#: Share of a language's grams below which a gram is noise, whatever the corpus's size.
+RAREST = 2e-6
 MOST_LANGUAGES = 62
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -48,9 +53,15 @@ def grams(data: np.ndarray) -> np.ndarray:
     return g[(t[1:-2] != 32) & (t[2:-1] != 32) | (t[:-3] == 32) & (t[1:-2] != 32) & (t[2:-1] == 32)]
 
 
-def _slots(g: np.ndarray) -> list[np.ndarray]:
+def slots_for(most: int) -> int:
+    """Slots of the table when the largest language has ``most`` grams (at most 1 / RAREST: a fill below 0.18)."""
+    return min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (max(1, most) * ROOM - 1).bit_length()))
+
+
+def _slots(g: np.ndarray, slots: int) -> list[np.ndarray]:
     h = mix64(g.astype(np.uint64))
-    return [((h >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+    step = h >> np.uint64(32) | np.uint64(1)
+    return [((h + step * np.uint64(i)) & np.uint64(slots - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 def _counts(batch: pa.RecordBatch) -> dict:
@@ -70,8 +81,8 @@ def _counts(batch: pa.RecordBatch) -> dict:
     return {"lang": pa.array(out["lang"], pa.string()), "gram": np.concatenate([none, *out["gram"]]), "n": np.concatenate([none, *out["n"]])}
 
 
-def _sets(batch: pa.RecordBatch) -> dict:
-    parts = _slots(batch.column("gram").to_numpy())
+def _sets(batch: pa.RecordBatch, slots: int) -> dict:
+    parts = _slots(batch.column("gram").to_numpy(), slots)
     mask = batch.column("mask").to_numpy()
     return {"slot": np.concatenate(parts), "mask": np.tile(mask, HASHES)}
 
@@ -81,11 +92,11 @@ class Model:
 
     def __init__(self, langs: list[str], table: np.ndarray):
         self.langs, self.table = langs, table
-        fill = np.array([np.count_nonzero(table >> i & 1) / SLOTS for i in range(len(langs))])
+        fill = np.array([np.count_nonzero(table >> i & 1) / len(table) for i in range(len(langs))])
         self.fp = fill**HASHES
 
     def hits(self, g: np.ndarray) -> np.ndarray:
-        mask = self.table[(s := _slots(g))[0]]
+        mask = self.table[(s := _slots(g, len(self.table)))[0]]
         for more in s[1:]:
             mask = mask & self.table[more]
         return np.array([np.count_nonzero(mask >> i & 1) for i in range(len(self.langs))])
@@ -96,7 +107,8 @@ class Model:
         g = grams(data)
         if not len(g):
             return self.langs[0], 0.0
-        share = np.maximum(0.0, (self.hits(g) / len(g) - self.fp) / (1 - self.fp))
+        # A filter that is full says nothing of its language.
+        share = np.where(self.fp < 1, np.maximum(0.0, (self.hits(g) / len(g) - self.fp) / np.maximum(1 - self.fp, 1e-12)), 0.0)
         best = int(share.argmax())
         return self.langs[best], float(min(1.0, share[best] / share.sum())) if share.sum() else 0.0
 
@@ -115,19 +127,22 @@ def train(docs: DataFrame) -> Model:
     langs = [r["lang"] for r in sizes]
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.zeros(SLOTS, np.int64)
     if not langs:
-        return Model(langs, table)
-    counts = over_batches(docs, _counts, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+        return Model(langs, np.zeros(FEWEST_SLOTS, np.int64))
+    counts = staged(over_batches(docs, _counts, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "langid_counts")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     totals = {r["lang"]: r["total"] for r in total.collect()}
     rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, 1.0 / max(1, totals.get(lang, 1)))])
     bit = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, 1 << i)])
-    rated = counts.where(F.col("n") >= LEAST).select("gram", (F.col("n") * rate[F.col("lang")]).alias("r"), bit[F.col("lang")].cast("long").alias("bit"))
+    seen = counts.where((F.col("n") >= LEAST) & (F.col("n") * rate[F.col("lang")] >= RAREST))
+    sizes = [r["n"] for r in seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    table = np.zeros(slots_for(max(sizes, default=0)), np.int64)
+    rated = seen.select("gram", (F.col("n") * rate[F.col("lang")]).alias("r"), bit[F.col("lang")].cast("long").alias("bit"))
     kept = rated.groupBy("gram").agg(F.collect_list(F.struct("r", "bit")).alias("l"), F.max("r").alias("top")).select(
         "gram", F.aggregate("l", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.when(x["r"] >= SHARE * F.col("top"), x["bit"]).otherwise(F.lit(0).cast("long")))).alias("mask")
     )
-    slots = over_batches(kept, _sets, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    size = len(table)
+    slots = over_batches(kept, lambda batch: _sets(batch, size), "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
     table[slots.column("slot").to_numpy()] = slots.column("mask").to_numpy()
     return Model(langs, table)
 
