@@ -55,7 +55,8 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ma
 
 def sizes(docs: DataFrame, *keep: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64(F.lit(SEED), F.col("doc_id"))
+    # The text's own hash spreads rows that share a doc_id, or have none, over the ranges.
+    key = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.xxhash64(text))
     return docs.select(
         *keep, "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("_key"),
         F.shiftrightunsigned(key, 64 - RANGES.bit_length() + 1).cast("int").alias("_range"),
