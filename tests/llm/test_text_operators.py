@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -192,7 +193,61 @@ def test_repeats(request, monkeypatch, table, hot):
     assert by_row(repeats.strip_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def brute_groups(texts, width):
+    """Maximal repeats by walking the tree of the texts' suffixes: (doc, start, length) of every occurrence, with n and parent."""
+    classes = {}
+    for d, (_, t) in enumerate(texts):
+        for p in range(len(t) - width + 1):
+            classes.setdefault(t[p : p + width], []).append((d, p))
+    out = Counter()
+
+    def after(d, p, n):
+        t = texts[d][1]
+        return t[p + n] if p + n < len(t) else (d, p)  # a text's edge is like nothing else
+
+    for places in classes.values():
+        walk = [(places, width, None)]
+        while walk:
+            members, n, parent = walk.pop()
+            if len(members) < 2 or len({texts[d][1][p - 1] if p else (d, p) for d, p in members}) < 2:
+                continue
+            while len(kinds := {after(d, p, n) for d, p in members}) == 1:
+                n += 1
+            d, p = members[0]
+            group = texts[d][1][p : p + n]
+            for d, p in members:
+                out[texts[d][0], p, n, len(members), len(parent) if parent else None] += 1
+            parts = {}
+            for d, p in members:
+                parts.setdefault(after(d, p, n), []).append((d, p))
+            walk += [(m, n + 1, group) for m in parts.values()]
+    return out
+
+
+@pytest.mark.parametrize("hot", [1024, 0])
+@pytest.mark.parametrize("table", ["docs", "sample"])
+def test_repeat_groups_are_all_maximal_repeats(request, spark, monkeypatch, table, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    df = request.getfixturevalue(table)
+    # Rows 6 and 8 are long periodic texts; their occurrences are too many for brute force, so a short one stands for each.
+    rows = [(r.doc_id, r.text[:1200] if table == "docs" and r.doc_id in (6, 8) else r.text) for r in df.collect()]
+    rng = random.Random(3)
+    piece = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long, own = piece(3000), piece(500)
+    rows += [
+        (1001, "word " * 160), (1002, "word " * 120 + "end"), (1003, piece(90) + long), (1004, piece(40) + long + piece(30)),
+        (1005, long[:1500] + piece(9)), (1006, own + piece(60) + own + "é" + own[:450]), (1007, long[700:2000]), (1008, piece(399)), (1009, own[:400]),
+        (1009, own[:399]), (1010, "only copy " * 3 + long[::-1]), (1011, "only copy " * 3 + long[::-1]),
+    ]
+    got = repeats.repeat_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    parents = {r.grp: r.length for r in got.select("grp", "length").distinct().collect()}
+    got = Counter((r.doc_id, r.start, r.length, r.n, parents[r.parent] if r.parent else None) for r in got.collect())
+    want = brute_groups([(i, (t or "").encode()) for i, t in rows], 400)
+    assert got == want and any(n[2] > 2000 for n in want)
+
+
 def test_repeats_of_nothing(empty):
+    assert repeats.repeat_groups(empty).count() == 0
     assert repeats.strip_repeats(empty).count() == 0
 
 
