@@ -3,8 +3,9 @@
 ``write_archives`` writes one record per row with Spark's text writer: a record
 ends with two CRLFs, which is the writer's line separator, so executors write
 the shared folder through Spark's committer, gzip-compressed, at most
-``RECORDS`` records to a file. ``read_archives`` reads the files whole (they
-are bounded) and parses them by Content-Length, so payloads may hold anything.
+``RECORDS`` records to a file. ``read_archives`` streams the files through Spark's text
+reader with the same separator and joins the pieces by Content-Length, so payloads may hold
+anything and a worker holds some records, never a file.
 
 ``resolve`` shuffles headers only: records are grouped by payload digest with
 a partial minimum, and every record of at least ``LEAST`` payload bytes refers to
@@ -24,19 +25,21 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import new_folder, staged
+from shoplens.llm.common import new_folder, staged, utf8_values
 
 LEAST = 100
 #: Most records in one archive file.
 RECORDS = 1000
+#: Payload bytes that a reading task hands on at once.
+HELD = 1 << 24
 END = "\r\n\r\n"
+MARK = END.encode()
 #: Fixed value: the date of every record (payloads carry none).
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,19 +71,33 @@ def write_archives(rows: DataFrame, path: str) -> None:
      .option("maxRecordsPerFile", RECORDS).text(path))
 
 
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n(.*?)\r\n\r\n", re.S)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and payload of each record of an archive file."""
-    at = 0
-    while m := _HEAD.match(data, at):
-        headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in m[1].decode().split("\r\n"))
-        size = int(headers["Content-Length"])
-        yield headers, data[m.end() : m.end() + size]
-        at = m.end() + size + len(END)
-    if at < len(data):
-        raise ValueError(f"no record at byte {at}")
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and payload of each record, from an archive's pieces between its ``END`` marks.
+
+    A head is one piece. A payload may hold marks itself, so pieces are joined
+    until its Content-Length is reached; one that ends with a line break moves the
+    mark after it, and the next head then follows some line breaks.
+    """
+    headers: dict[str, str] | None = None
+    body, have, size = [], 0, 0
+    for piece in pieces:
+        if headers is None:
+            head = piece.lstrip(b"\r\n")
+            if not head:
+                continue
+            if not head.startswith(b"WARC/1."):
+                raise ValueError(f"no record at {head[:40]!r}")
+            lines = head.decode().split("\r\n")[1:]
+            headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
+            body, have, size = [], 0, int(headers["Content-Length"])
+        else:
+            body += [piece, MARK]
+            have += len(piece) + len(MARK)
+        if have >= size:
+            yield headers, b"".join(body)[:size]
+            headers = None
+    if headers is not None:
+        raise ValueError(f"the archive ends within record {headers.get('WARC-Record-ID')}")
 
 
 RECORD = "record_id string, record_type string, page_id long, url string, payload_digest string, refers_to_id string, payload_bytes long"
@@ -97,20 +114,23 @@ def read_archives(spark: SparkSession, path: str, payload: bool = False) -> Data
     types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                rows = []
-                for h, body in parse(zlib.decompress(content.as_py(), 31)):
-                    row = (
-                        _clean(h["WARC-Record-ID"]), h["WARC-Type"], int(h["X-Page-Id"]) if h.get("X-Page-Id") else None,
-                        h.get("WARC-Target-URI") or None, _clean(h["WARC-Payload-Digest"]), _clean(h.get("WARC-Refers-To")), len(body),
-                    )
-                    rows.append((*row, body.decode()) if payload else row)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    # One file to a batch: a file is bounded, a batch of many is not.
+        rows, held = [], 0
+        pieces = (v.tobytes() for batch in batches for v in utf8_values(batch.column("value")))
+        for h, body in parse(pieces):
+            row = (
+                _clean(h["WARC-Record-ID"]), h["WARC-Type"], int(h["X-Page-Id"]) if h.get("X-Page-Id") else None,
+                h.get("WARC-Target-URI") or None, _clean(h["WARC-Payload-Digest"]), _clean(h.get("WARC-Refers-To")), len(body),
+            )
+            rows.append((*row, body.decode()) if payload else row)
+            held += len(body) if payload else 0
+            if len(rows) >= RECORDS or held >= HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    # gzip files are never split, so a task reads its archives' pieces from their first to their last.
+    files = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").schema("value string").text(path)
     return files.mapInArrow(run, schema)
 
 

@@ -275,3 +275,27 @@ def test_forest_arrays_score_like_the_model(spark):
 def test_queries_are_registered():
     assert [int(q[2:].split("_")[0]) for q in queries()] == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_archives_keep_payloads_that_hold_marks(spark, tmp_path):
+    """Line breaks at every edge, marks and heads inside, files of one record and of many; column names of the result in the input."""
+    edges = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\n\r\n\r\n", "\r\r\n\r\n"]
+    inner = ["", "é" * 60, "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "a\r\n\r\nb" * 40, "x" * 3_000_000]
+    bodies = [a + b + c for a in edges for b in inner for c in edges]
+    bodies = list(dict.fromkeys(bodies[:-81])) + ["x" * 3_000_000 + "\r\n", "\r\n" + "x" * 3_000_000, "x" * 3_000_000 + "\r\n"]
+    rows = [(i, f"u{i}", b, "none", -1, "r") for i, b in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string, refers_to long, payload string")
+    for parts in (1, 7, 400):
+        got = {r.page_id: r for r in warc.archive_pages(pages.repartition(parts)).collect()}
+        first = {}
+        for i, b in enumerate(bodies):
+            data = b.encode()
+            whole = first.setdefault(data, i) if len(data) >= 100 else i
+            assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha256(data).hexdigest())
+            assert (got[i].record_type, got[i].refers_to) == (("response", None) if whole == i else ("revisit", whole))
+        assert len(got) == len(bodies)
+    pieces = [b"WARC/1.1\r\nContent-Length: 9", b"abc"]
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.parse(pieces))
+    with pytest.raises(ValueError, match="no record"):
+        list(warc.parse([b"abc"]))
