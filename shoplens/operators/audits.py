@@ -131,7 +131,7 @@ def key_audit(tables: ShopTables) -> DataFrame:
     Each table is reduced to a row per key by partial aggregates, reading the key column only.
     """
     def measured(name: str, key: str) -> DataFrame:
-        n = getattr(tables, name).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        n = tables.key_column(name, key).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
         return n.agg(
             F.lit(name).alias("table_name"), F.lit(key).alias("key_name"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),

@@ -104,6 +104,10 @@ class ShopTables:
 
         return session_summary(self.website_pageviews)
 
+    def key_column(self, name: str, key: str) -> DataFrame:
+        """The key column of a table."""
+        return getattr(self, name).select(key)
+
     def with_tables(self, **changes: DataFrame | None) -> "ShopTables":
         return replace(self, **changes)
 
@@ -116,11 +120,11 @@ class TablesOnDemand:
 
     ``make(name)`` is asked once for each table that a report reads (names of
     ``SCHEMAS``, and ``session_summary``); the rest are never made. Attributes and methods are
-    those of :class:`ShopTables`.
+    those of :class:`ShopTables`. ``make_key(name, key)`` makes a key column alone, where that takes less than its table.
     """
 
-    def __init__(self, make: Callable[[str], DataFrame | None]):
-        self._make, self._made, self._lock = make, {}, threading.RLock()
+    def __init__(self, make: Callable[[str], DataFrame | None], make_key: Callable[[str, str], DataFrame] | None = None):
+        self._make, self._make_key, self._made, self._lock = make, make_key, {}, threading.RLock()
 
     def __getattr__(self, name: str) -> DataFrame | None:
         if name not in SCHEMAS and name != "session_summary":
@@ -134,8 +138,15 @@ class TablesOnDemand:
     summary = ShopTables.summary
     with_summary = ShopTables.with_summary
 
+    def key_column(self, name: str, key: str) -> DataFrame:
+        if self._make_key is None or name in self._made:
+            return getattr(self, name).select(key)
+        return self._make_key(name, key)
+
     def with_tables(self, **changes: DataFrame | None) -> "TablesOnDemand":
-        return TablesOnDemand(lambda name: changes[name] if name in changes else getattr(self, name))
+        return TablesOnDemand(
+            lambda name: changes[name] if name in changes else getattr(self, name),
+            lambda name, key: changes[name].select(key) if name in changes else self.key_column(name, key))
 
 
 def table_bytes(df: DataFrame) -> int:
