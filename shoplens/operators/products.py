@@ -80,9 +80,9 @@ def product_financials_by_grains(
 ) -> DataFrame:
     """P1, P3 and P5 in one report: a ``grain`` column and a row per product and period of each.
 
-    The items meet their refunds once and are summed to product and month; the
-    grains are grouping sets over those sums, so what is multiplied by the
-    number of grains is a row per product and month, not the items. Period
+    The items meet their refunds once; the grains are grouping sets over the items, summed
+    within each task before the one shuffle. A task that joins one bucket
+    thus holds at most a row per item and grain. Period
     columns a grain does not have are NULL; undated items have a NULL period in every grain.
     """
     periods = ["year", "quarter", "month"]
@@ -92,8 +92,7 @@ def product_financials_by_grains(
     dated = _item_facts(items, refunds).select(
         "*", F.year("created_at").alias("year"), F.quarter("created_at").alias("quarter"), F.month("created_at").alias("month"))
     sums = ["price_w", "cogs_w", "refund_amount"]
-    months = dated.groupBy("product_id", *periods).agg(*[F.sum(c).alias(c) for c in sums])
-    rolled = months.groupingSets(
+    rolled = dated.groupingSets(
         [[F.col("product_id"), *map(F.col, GRAIN_SETS[g])] for g in dict.fromkeys(grains)],
         F.col("product_id"), *map(F.col, periods),
     ).agg(*[F.sum(c).alias(c) for c in sums], F.grouping_id().alias("_left_out"))
