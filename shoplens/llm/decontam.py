@@ -3,9 +3,8 @@
 1. *TF-IDF.* Documents are cut into passages. Terms are word hashes in ``DIM``
    dimensions; document frequencies count every document.
 2. *Latent space.* A randomised SVD of the TF-IDF passages (``PASSAGE`` words, every
-   ``STRIDE``): two distributed passes of subspace iteration over a bounded sample (one text of each of the
-   ``SAMPLE_DOCS`` ids with the smallest hashes, all its passages) and the
-   benchmark's own passages (``FIT_ITEMS`` items at most, smallest hashes). Tasks sum A'AX; the driver sees DIM x RANK numbers.
+   ``STRIDE``): two distributed passes of subspace iteration over every passage of every document and of the
+   benchmark. Tasks sum A'AX, a shuffle adds the tasks' sums up; the driver sees DIM x RANK numbers.
 3. *Candidates.* An item is sought with passages of its own measure: the largest power
    of two up to its length, at most ``PASSAGE``, every quarter of that. A passage's cosine to one of
    the item's in the latent space must be at least ``COSINE``. Only places are projected that can
@@ -43,7 +42,10 @@ from shoplens.llm.textops import batch_words, word_hashes
 
 PASSAGE, STRIDE = 32, 8
 DIM, RANK = 1 << 13, 128
-SAMPLE_DOCS, FIT_ITEMS = 1_000, 2_000
+#: Bounds of a former fit on a sample. Tests still set them; nothing reads them: the fit takes every row.
+SAMPLE_DOCS = FIT_ITEMS = None
+#: Passages that a task projects at once, and slices in which the tasks' sums meet.
+RUN, SLICES = 4096, 64
 COSINE = 0.45
 COPY, PARAPHRASE = 0.8, 0.6
 HEAVY = 0.7
@@ -59,6 +61,13 @@ def passage_starts(n: int, width: int = PASSAGE) -> np.ndarray:
     return np.unique(np.append(np.arange(0, last + 1, max(1, width // 4)), last)) if n else np.zeros(0, np.int64)
 
 
+def _passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the passages of texts whose words begin at ``first`` (one more: their end)."""
+    starts = [passage_starts(int(b - a)) + a for a, b in zip(first[:-1], first[1:])]
+    ends = [np.minimum(s + PASSAGE, b) for s, b in zip(starts, first[1:])]
+    return np.concatenate(starts), np.concatenate(ends)
+
+
 def _terms(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(7)).astype(np.int64) & (DIM - 1)
 
@@ -114,38 +123,71 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
     return df[:DIM], df[DIM + 1 :], int(df[DIM])
 
 
-def _latent(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
+def _add_gram(total: np.ndarray, terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, x: np.ndarray) -> None:
+    """Add A'AX of some passages to ``total``; they are spans of the words, in order, and leave none out.
+
+    Words between two neighbouring starts or ends stand in the same passages, so they are summed first and share what comes back.
+    """
+    cuts = np.union1d(starts, ends)
+    size = np.diff(cuts)
+    parts = np.zeros((len(size), x.shape[1]), np.float32)
+    for i in range(int(size.max())):
+        on = np.flatnonzero(size > i)
+        at = cuts[on] + i
+        parts[on] += x[terms[at]] * weights[at, None]
+    first, last = np.searchsorted(cuts, starts), np.searchsorted(cuts, ends)
+    sums, mass = np.zeros((len(cuts), x.shape[1])), np.zeros(len(weights) + 1)
+    np.cumsum(parts, axis=0, out=sums[1:])
+    np.cumsum(weights.astype(np.float64) ** 2, out=mass[1:])
+    y = (sums[last] - sums[first]) / np.maximum(mass[ends] - mass[starts], 1e-9)[:, None]
+    cover = np.zeros_like(sums)
+    cover[first] += y
+    cover[last] -= y
+    cover = np.cumsum(cover[:-1], axis=0).astype(np.float32)
+    order = np.argsort(terms, kind="stable")
+    share = cover[np.repeat(np.arange(len(size)), size)[order]] * weights[order, None]
+    begin = np.flatnonzero(np.diff(terms[order], prepend=-1))
+    total[terms[order][begin]] += np.add.reduceat(share, begin, axis=0)
+
+
+def _latent(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
     """Leading right singular vectors (DIM x RANK) of the TF-IDF passages of the texts, over their singular values."""
+    weigh = idf.astype(np.float32)
+    rows = DIM // SLICES
 
     def step(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float32)
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(x.shape, np.float32)
+            total = np.zeros(x.shape)
             for batch in batches:
-                for data in utf8_values(batch.column("text")):
-                    words = word_hashes(data) if data is not None else np.zeros(0, np.uint64)
+                for _, data, at in utf8_pieces(batch.column("text")):
+                    words, first = batch_words(data, at)
                     if not len(words):
                         continue
                     terms = _terms(words)
-                    starts = passage_starts(len(words))
-                    weights = idf[terms].astype(np.float32)
-                    ends = np.minimum(starts + PASSAGE, len(terms))
-                    mass = np.concatenate([[0.0], np.cumsum(weights.astype(np.float64) ** 2)])
-                    y = _vectors(terms, weights, starts, x) / np.maximum(mass[ends] - mass[starts], 1e-9)[:, None]
-                    # Each word's share: the sum over the passages that hold it.
-                    cover = np.zeros((len(terms) + 1, x.shape[1]))
-                    np.add.at(cover, starts, y)
-                    np.add.at(cover, ends, -y)
-                    share = weights[:, None] * np.cumsum(cover[:-1], axis=0)
-                    order = np.argsort(terms, kind="stable")
-                    first = np.flatnonzero(np.diff(terms[order], prepend=-1))
-                    total[terms[order][first]] += np.add.reduceat(share[order], first, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+                    starts, ends = _passages(first)
+                    for run in range(0, len(starts), RUN):
+                        s, e = starts[run : run + RUN], ends[run : run + RUN]
+                        lo, hi = s[0], e[-1]
+                        _add_gram(total, terms[lo:hi], weigh[terms[lo:hi]], s - lo, e - lo, x)
+            found = [i for i in range(SLICES) if total[i * rows : (i + 1) * rows].any()]
+            sums = [total[i * rows : (i + 1) * rows].astype(np.float32).tobytes() for i in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(sums, pa.binary())], names=["slice", "sums"])
+
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, sums in zip(batch.column("slice").to_pylist(), batch.column("sums")):
+                    total[i] = total.get(i, 0) + np.frombuffer(sums.as_buffer(), np.float32).astype(np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "sums"])
 
+        parts = texts.mapInArrow(partial, "slice int, sums binary").withColumn("task", F.spark_partition_id())
+        parts = parts.repartition(SLICES, "slice").sortWithinPartitions("slice", "task").select("slice", "sums")
         sums = np.zeros(x.shape)
-        for row in passages.mapInArrow(partial, "sums binary").toLocalIterator():
-            sums += np.frombuffer(row["sums"], np.float32).reshape(x.shape)
+        for row in parts.mapInArrow(added, "slice int, sums binary").toLocalIterator():  # SLICES rows
+            sums[row["slice"] * rows : (row["slice"] + 1) * rows] = np.frombuffer(row["sums"], np.float64).reshape(rows, -1)
         return sums
 
     start = np.random.Generator(np.random.PCG64(3)).standard_normal((DIM, RANK + 8))
@@ -291,14 +333,8 @@ def lcs_weight(item: np.ndarray, weights: np.ndarray, words: np.ndarray) -> floa
 
 
 def _fit_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The texts that the latent space is fitted on; ids are chosen before any text moves."""
-    ids = docs.where("text is not null and doc_id is not null").select("doc_id").distinct()
-    ids = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id")
-    chosen = docs.where("text is not null").join(F.broadcast(staged(ids, "decontam_ids")), "doc_id")  # SAMPLE_DOCS ids
-    sample = chosen.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("one.text")
-    fit = items.orderBy(F.xxhash64("item_id", "text"), "item_id").limit(FIT_ITEMS).select("text")
-    parts = max(1, min(16, docs.sparkSession.sparkContext.defaultParallelism))
-    return staged(sample.union(fit).repartition(parts), "decontam_fit")
+    """The texts that the latent space is fitted on: all of the documents and of the benchmark."""
+    return docs.select("text").union(items.select("text")).where("text is not null")
 
 
 def searches(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Search, bool]]:

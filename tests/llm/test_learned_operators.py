@@ -299,3 +299,33 @@ def test_archives_keep_payloads_that_hold_marks(spark, tmp_path):
         list(warc.parse(pieces))
     with pytest.raises(ValueError, match="no record"):
         list(warc.parse([b"abc"]))
+
+
+def test_the_latent_space_is_fitted_on_every_text(spark, monkeypatch):
+    """The sums of all texts' passages, repeated rows and rows without an id among them, against dense matrices."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(n)) for n in [*range(1, 90, 3), 700, 31, 32, 33, 40]]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(1, texts[1]), (900, None), (901, ""), (902, " \t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(i, f"item{i} of the benchmark w{i}") for i in range(30)] + [(99, None)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "RUN", 5)
+    used = decontam._fit_texts(docs, items)
+    found = [r.text for r in used.collect()]
+    assert Counter(found) == Counter([t for _, t in rows if t is not None] + [f"item{i} of the benchmark w{i}" for i in range(30)])
+    idf = np.random.default_rng(1).random(decontam.DIM) + 0.5
+    passages = []
+    for text in found:
+        terms = decontam._terms(decontam.word_hashes(np.frombuffer(text.encode(), np.uint8)))
+        for s in decontam.passage_starts(len(terms)):
+            row = np.bincount(terms[s : s + decontam.PASSAGE], minlength=decontam.DIM) * idf
+            weight = (idf[terms[s : s + decontam.PASSAGE]] ** 2).sum()
+            passages.append((row, weight))
+    a, mass = np.array([p for p, _ in passages]), np.array([m for _, m in passages])
+    gram = lambda x: a.T @ ((a @ x) / mass[:, None])
+    q, _ = np.linalg.qr(gram(np.random.Generator(np.random.PCG64(3)).standard_normal((decontam.DIM, decontam.RANK + 8))))
+    values, turn = np.linalg.eigh(q.T @ gram(q))
+    order = np.argsort(-values)[: decontam.RANK]
+    want = q @ turn[:, order] / np.sqrt(np.maximum(values[order], 1e-9))
+    got = decontam._latent(used, idf)
+    # The same space: what the basis projects on, whatever the signs.
+    assert np.allclose(got @ (got.T @ a[:20].T), want @ (want.T @ a[:20].T), atol=1e-2 * np.abs(want @ (want.T @ a[:20].T)).max())
