@@ -45,7 +45,7 @@ DIM, RANK = 1 << 13, 128
 #: Bounds of a former fit on a sample. Tests still set them; nothing reads them: the fit takes every row.
 SAMPLE_DOCS = FIT_ITEMS = None
 #: Passages that a task projects at once, and slices in which the tasks' sums meet.
-RUN, SLICES = 4096, 64
+RUN, SLICES = 1024, 64
 COSINE = 0.45
 COPY, PARAPHRASE = 0.8, 0.6
 HEAVY = 0.7
