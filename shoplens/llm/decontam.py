@@ -45,7 +45,9 @@ DIM, RANK = 1 << 13, 128
 #: Bounds of a former fit on a sample. Tests still set them; nothing reads them: the fit takes every row.
 SAMPLE_DOCS = FIT_ITEMS = None
 #: Passages that a task projects at once, and slices in which the tasks' sums meet.
-RUN, SLICES = 1024, 64
+RUN, SLICES = 1 << 14, 64
+#: Rows that are summed at once, and sums that stay in the cache.
+GROUP, GROUPS = 64, 512
 COSINE = 0.45
 COPY, PARAPHRASE = 0.8, 0.6
 HEAVY = 0.7
@@ -63,9 +65,13 @@ def passage_starts(n: int, width: int = PASSAGE) -> np.ndarray:
 
 def _passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the passages of texts whose words begin at ``first`` (one more: their end)."""
-    starts = [passage_starts(int(b - a)) + a for a, b in zip(first[:-1], first[1:])]
-    ends = [np.minimum(s + PASSAGE, b) for s, b in zip(starts, first[1:])]
-    return np.concatenate(starts), np.concatenate(ends)
+    begin, end = first[:-1], first[1:]
+    begin, end = begin[end > begin], end[end > begin]
+    last = np.maximum(0, end - begin - PASSAGE)
+    count = 1 + -(-last // STRIDE)
+    rank = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    starts = np.repeat(begin, count) + np.minimum(rank * STRIDE, np.repeat(last, count))
+    return starts, np.minimum(starts + PASSAGE, np.repeat(end, count))
 
 
 def _terms(words: np.ndarray) -> np.ndarray:
@@ -123,31 +129,58 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
     return df[:DIM], df[DIM + 1 :], int(df[DIM])
 
 
+def _sums(rows: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the rows (float32) at ``at`` over consecutive groups of some sizes, each at least 1.
+
+    Groups go by size and in blocks, so that a step adds one row to each group of a block and the block's sums stay
+    in the processor's cache; a group of more than ``GROUP`` rows is summed in parts of that many first.
+    """
+    parts = -(-size // GROUP)
+    many = bool((parts > 1).any())
+    whole = size
+    if many:
+        whole = np.full(int(parts.sum()), GROUP)
+        whole[np.cumsum(parts) - 1] = size - (parts - 1) * GROUP
+    order = np.argsort(-whole, kind="stable")
+    first, sizes = (np.cumsum(whole) - whole)[order], whole[order]
+    out = np.empty((len(whole), rows.shape[1]), np.float32)
+    total, one = (np.empty((min(len(whole), GROUPS), rows.shape[1]), np.float32) for _ in range(2))
+    for block in range(0, len(whole), GROUPS):
+        f, n = first[block : block + GROUPS], sizes[block : block + GROUPS]
+        np.take(rows, at[f], axis=0, out=total[: len(f)], mode="clip")
+        for i, k in enumerate(np.searchsorted(-n, -np.arange(1, n[0])).tolist(), 1):
+            np.take(rows, at[f[:k] + i], axis=0, out=one[:k], mode="clip")
+            total[:k] += one[:k]
+        out[order[block : block + GROUPS]] = total[: len(f)]
+    return _sums(out, np.arange(len(out)), parts) if many else out
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ranges that begin at ``first``, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 def _add_gram(total: np.ndarray, terms: np.ndarray, weights: np.ndarray, starts: np.ndarray, ends: np.ndarray, x: np.ndarray) -> None:
     """Add A'AX of some passages to ``total``; they are spans of the words, in order, and leave none out.
 
+    ``x`` holds the rows of X times their term's weight, and what is added to a term's row lacks that factor.
     Words between two neighbouring starts or ends stand in the same passages, so they are summed first and share what comes back.
     """
     cuts = np.union1d(starts, ends)
     size = np.diff(cuts)
-    parts = np.zeros((len(size), x.shape[1]), np.float32)
-    for i in range(int(size.max())):
-        on = np.flatnonzero(size > i)
-        at = cuts[on] + i
-        parts[on] += x[terms[at]] * weights[at, None]
-    first, last = np.searchsorted(cuts, starts), np.searchsorted(cuts, ends)
-    sums, mass = np.zeros((len(cuts), x.shape[1])), np.zeros(len(weights) + 1)
-    np.cumsum(parts, axis=0, out=sums[1:])
+    first = np.searchsorted(cuts, starts)
+    count = np.searchsorted(cuts, ends) - first
+    mass = np.zeros(len(weights) + 1)
     np.cumsum(weights.astype(np.float64) ** 2, out=mass[1:])
-    y = (sums[last] - sums[first]) / np.maximum(mass[ends] - mass[starts], 1e-9)[:, None]
-    cover = np.zeros_like(sums)
-    cover[first] += y
-    cover[last] -= y
-    cover = np.cumsum(cover[:-1], axis=0).astype(np.float32)
-    order = np.argsort(terms, kind="stable")
-    share = cover[np.repeat(np.arange(len(size)), size)[order]] * weights[order, None]
+    y = _sums(_sums(x, terms, size), _ranges(first, count), count)
+    y *= (1 / np.maximum(mass[ends] - mass[starts], 1e-9)).astype(np.float32)[:, None]
+    first = np.searchsorted(ends, cuts[:-1], "right")
+    count = np.searchsorted(starts, cuts[:-1], "right") - first
+    cover = _sums(y, _ranges(first, count), count)
+    order = np.argsort(terms.astype(np.uint16), kind="stable")  # DIM terms: a radix sort
     begin = np.flatnonzero(np.diff(terms[order], prepend=-1))
-    total[terms[order][begin]] += np.add.reduceat(share, begin, axis=0)
+    own = np.repeat(np.arange(len(size)), size)[order]
+    total[terms[order][begin]] += _sums(cover, own, np.diff(begin, append=len(order)))
 
 
 def _latent(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -156,7 +189,7 @@ def _latent(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
     rows = DIM // SLICES
 
     def step(x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float32)
+        x = x.astype(np.float32) * weigh[:, None]
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(x.shape)
@@ -171,6 +204,7 @@ def _latent(texts: DataFrame, idf: np.ndarray) -> np.ndarray:
                         s, e = starts[run : run + RUN], ends[run : run + RUN]
                         lo, hi = s[0], e[-1]
                         _add_gram(total, terms[lo:hi], weigh[terms[lo:hi]], s - lo, e - lo, x)
+            total *= weigh[:, None]
             found = [i for i in range(SLICES) if total[i * rows : (i + 1) * rows].any()]
             sums = [total[i * rows : (i + 1) * rows].astype(np.float32).tobytes() for i in found]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(sums, pa.binary())], names=["slice", "sums"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 
 from shoplens.llm import decontam, secret_scan, toxicity, warc
 from shoplens.llm.queries import oracle_sql, queries
+from shoplens.llm.textops import batch_words
 
 SF = "/root/testdata/sf0.01"
 
@@ -329,3 +331,49 @@ def test_the_latent_space_is_fitted_on_every_text(spark, monkeypatch):
     got = decontam._latent(used, idf)
     # The same space: what the basis projects on, whatever the signs.
     assert np.allclose(got @ (got.T @ a[:20].T), want @ (want.T @ a[:20].T), atol=1e-2 * np.abs(want @ (want.T @ a[:20].T)).max())
+
+
+def test_sums_of_groups_of_any_size(monkeypatch):
+    """Groups below and far beyond what is summed at once, against plain sums."""
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((50, 3)).astype(np.float32)
+    monkeypatch.setattr(decontam, "GROUPS", 4)
+    for most in (2, 5, 64):
+        monkeypatch.setattr(decontam, "GROUP", most)
+        for sizes in ([1], [1, 1, 1], [7, 1, 64, 2, 3, 1, 200, 5, 65, 9], [4096, 1, 4097]):
+            at = rng.integers(0, 50, sum(sizes))
+            want = [rows[part].sum(axis=0, dtype=np.float64) for part in np.split(at, np.cumsum(sizes)[:-1])]
+            assert np.allclose(decontam._sums(rows, at, np.array(sizes)), want, atol=1e-3)
+    first = np.cumsum([0, 0, 1, 31, 32, 33, 40, 0, 41, 700, 0])
+    spans = [(a + s, min(a + s + decontam.PASSAGE, b)) for a, b in zip(first[:-1], first[1:]) for s in decontam.passage_starts(int(b - a))]
+    starts, ends = decontam._passages(first)
+    assert list(zip(starts.tolist(), ends.tolist())) == spans
+
+
+def test_the_fit_takes_little_more_time_than_the_words_themselves():
+    """A step over all passages costs a bounded multiple of hashing the words (18 times before, about 5 now)."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(20_000)]
+    texts = [" ".join(vocabulary[int(20_000 * rng.random() ** 4)] for _ in range(500)) for _ in range(150)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0] + [len(t) for t in texts])
+    x = np.random.default_rng(1).standard_normal((decontam.DIM, decontam.RANK + 8)).astype(np.float32)
+    total, weights = np.zeros(x.shape), np.ones(decontam.DIM, np.float32)
+
+    def seconds(run):
+        took = []
+        for _ in range(5):
+            begin = time.process_time()
+            run()
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    def step():
+        terms = decontam._terms(words)
+        starts, ends = decontam._passages(first)
+        for i in range(0, len(starts), decontam.RUN):
+            s, e = starts[i : i + decontam.RUN], ends[i : i + decontam.RUN]
+            decontam._add_gram(total, terms[s[0] : e[-1]], weights[terms[s[0] : e[-1]]], s - s[0], e - s[0], x)
+
+    words, first = batch_words(data, at)
+    assert seconds(step) < 10 * seconds(lambda: batch_words(data, at))
