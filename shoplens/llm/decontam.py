@@ -115,7 +115,7 @@ def _frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, n
                 part = slice(first[block], first[min(len(at) - 1, block + 64)])
                 seen = np.zeros((64, DIM), bool)
                 seen[doc[part] - block, _terms(words[part])] = True
-                total[:DIM] += seen.sum(axis=0)
+                total[:DIM] += seen.view(np.uint8).sum(axis=0, dtype=np.uint8)  # 64 at most
             where, place = _placed(words, vocabulary, look)
             once = np.unique(doc[where] * len(vocabulary) + place) % max(1, len(vocabulary))
             total[DIM + 1 :] += np.bincount(once, minlength=len(vocabulary))

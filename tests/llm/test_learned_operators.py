@@ -13,7 +13,7 @@ import pytest
 
 from shoplens.llm import decontam, secret_scan, toxicity, warc
 from shoplens.llm.queries import oracle_sql, queries
-from shoplens.llm.textops import batch_words
+from shoplens.llm.textops import batch_words, word_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -377,3 +377,13 @@ def test_the_fit_takes_little_more_time_than_the_words_themselves():
 
     words, first = batch_words(data, at)
     assert seconds(step) < 10 * seconds(lambda: batch_words(data, at))
+
+
+def test_words_of_a_batch_are_those_of_its_texts():
+    """Every byte value, texts without words and empty ones, against the texts taken one by one."""
+    rng = np.random.default_rng(7)
+    data = np.concatenate([np.arange(256), rng.integers(0, 256, 3000), rng.integers(0, 48, 3000)]).astype(np.uint8)
+    at = np.sort(np.concatenate([[0, 0, len(data), len(data)], rng.integers(0, len(data), 200)]))
+    found, first = batch_words(data, at)
+    for i, (a, b) in enumerate(zip(at[:-1], at[1:])):
+        assert np.array_equal(found[first[i] : first[i + 1]], word_hashes(data[a:b]))
