@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.measures import count_when, grain_keys, money, pct, with_grain
@@ -80,32 +80,41 @@ def product_financials_by_grains(
 ) -> DataFrame:
     """P1, P3 and P5 in one report: a ``grain`` column and a row per product and period of each.
 
-    The items meet their refunds once; the grains are grouping sets over the items, summed
-    within each task before the one shuffle. A task that joins one bucket
-    thus holds at most a row per item and grain. Period
+    The items meet their refunds once and are summed to product and shortest period, within
+    each task first; those sums go to their product's task and meet its name there. Windows
+    of that task add them up to the longer periods, so rows are multiplied by the number of
+    grains after the last shuffle, and one sort serves the windows and the join. Period
     columns a grain does not have are NULL; undated items have a NULL period in every grain.
     """
-    periods = ["year", "quarter", "month"]
     unknown = set(grains) - set(GRAIN_SETS)
     if unknown or not grains:
         raise ValueError(f"grains must be some of {list(GRAIN_SETS)}, got {list(grains)}")
-    dated = _item_facts(items, refunds).select(
-        "*", F.year("created_at").alias("year"), F.quarter("created_at").alias("quarter"), F.month("created_at").alias("month"))
+    grains = list(dict.fromkeys(grains))
+    parts = {"year": F.year, "quarter": F.quarter, "month": F.month}
+    periods = [c for c in parts if any(c in GRAIN_SETS[g] for g in grains)]
     sums = ["price_w", "cogs_w", "refund_amount"]
-    rolled = dated.groupingSets(
-        [[F.col("product_id"), *map(F.col, GRAIN_SETS[g])] for g in dict.fromkeys(grains)],
-        F.col("product_id"), *map(F.col, periods),
-    ).agg(*[F.sum(c).alias(c) for c in sums], F.grouping_id().alias("_left_out"))
-    label = F.lit(None).cast("string")
-    for grain in grains:
-        left_out = sum(4 >> i for i, c in enumerate(periods) if c not in GRAIN_SETS[grain])
-        label = F.when(F.col("_left_out") == left_out, grain).otherwise(label)
-    return rolled.join(_names(products), "product_id", "left").select(
-        label.alias("grain"), "product_name", "product_id", *periods,
-        money("price_w").alias("revenue"),
-        money(F.col("price_w") - F.col("cogs_w")).alias("margin"),
-        money("refund_amount").alias("refund_volume"),
-    )
+    # The first day of the shortest period: one date is dealt out instead of a column a period.
+    facts = _item_facts(items, refunds).withColumns({"year_month": F.trunc(F.to_date("created_at"), c) for c in periods[-1:]})
+    found = facts.groupBy("product_id", *["year_month" for _ in periods[-1:]]).agg(*[F.sum(c).alias(c) for c in sums])
+    found = found.repartition("product_id").select(
+        "product_id", *[parts[c]("year_month").alias(c) for c in periods], *sums).sortWithinPartitions("product_id", *periods)
+
+    def rolled(grain: str):
+        """The period's sums on the first of its rows, NULL on the others."""
+        # A month lies in one quarter, so the sort by quarter in between holds for months too.
+        keys = [c for c in periods if c in GRAIN_SETS[grain] or (c == "quarter" and grain == "month")]
+        rest = [c for c in periods if c not in keys]
+        within = Window.partitionBy("product_id", *keys).orderBy(*rest)
+        whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        price, cogs, refund = [F.sum(c).over(whole) if rest else F.col(c) for c in sums]
+        row = F.struct(
+            *[(F.col(c) if c in GRAIN_SETS[grain] else F.lit(None).cast("int")).alias(c) for c in parts],
+            money(price).alias("revenue"), money(price - cogs).alias("margin"), money(refund).alias("refund_volume"))
+        return (F.when(F.row_number().over(within) == 1, row) if rest else row).alias(grain)
+
+    named = found.select("product_id", *[rolled(g) for g in grains]).join(_names(products), "product_id", "left")
+    return named.unpivot(["product_id", "product_name"], grains, "grain", "sums").where("sums IS NOT NULL").select(
+        "grain", "product_name", "product_id", "sums.*")
 
 
 def first_standalone_order(orders: DataFrame, products: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import logging
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -154,6 +155,32 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+_HELD: dict[tuple[SparkSession, str], tuple[int, str | None]] = {}  # session and setting -> (blocks within, the value before)
+_HELD_LOCK = threading.Lock()
+
+
+@contextmanager
+def held(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """The session with these settings; the values before come back when the last block that holds them ends."""
+    with _HELD_LOCK:
+        for key, value in settings.items():
+            depth, before = _HELD.get((spark, key)) or (0, spark.conf.get(key, None))
+            _HELD[spark, key] = (depth + 1, before)
+            spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        with _HELD_LOCK:
+            for key in settings:
+                depth, before = _HELD.pop((spark, key))
+                if depth > 1:
+                    _HELD[spark, key] = (depth - 1, before)
+                elif before is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, before)
+
+
 def read_catalog(spark: SparkSession, database: str | None = None, prefix: str = "") -> ShopTables:
     """Shop tables from catalog tables or temp views named ``[database.]<prefix><name>``.
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import os
 import re
+import time
 
 import pytest
 from plan_audit import plan_text
-from shop_rows import item, refund, tables
+from shop_rows import d, item, refund, tables
 
 from shoplens.operators import products
 from shoplens.plans.reports import REPORTS
 from shoplens.sources import fixture
+from shoplens.sources import tables as sources
 
 DAY = dt.datetime(2000, 1, 1)
 LINEITEM = ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -97,3 +99,62 @@ def test_all_grains_shuffle_once(spark):
     t = tables(spark, order_items=[item(1, "2013-01-05", 1, 1, 10, 4)], order_item_refunds=[refund(1, "2013-02-01", 1, 1, 3)])
     text = plan_text(products.product_financials_by_grains(t.order_items, t.order_item_refunds, t.products))
     assert len(re.findall(r"hashpartitioning\(product_id#\d+L?, year", text)) == 1
+
+
+def test_all_grains_are_multiplied_after_the_last_shuffle(spark):
+    """What is shuffled is a row per product and month, not one per grain too; names meet it before the rows are multiplied."""
+    t = tables(spark, order_items=[item(1, "2013-01-05", 1, 1, 10, 4)], order_item_refunds=[refund(1, "2013-02-01", 1, 1, 3)])
+    text = plan_text(products.product_financials_by_grains(t.order_items, t.order_item_refunds, t.products))
+    assert 0 < text.index("Expand") < text.index("Exchange")
+    assert text.index("Expand") < text.index("Join")
+
+
+@pytest.mark.parametrize("grains", [("lifetime",), ("year",), ("quarter",), ("month",), ("quarter", "year"), ("month", "year", "month"), tuple(products.GRAIN_SETS)])
+def test_grains_add_up_with_repeated_names_and_missing_keys(spark, grains):
+    """Several months, quarters and years of products that are known, unknown, missing or named twice; undated items."""
+    days = ["2012-12-31", "2013-01-05", "2013-01-06", "2013-03-01", "2013-04-01", "2013-12-31", "2014-01-01"]
+    items = [item(10 * p + i, day, 1, p, 10 * p + i, i) for p in (1, 2, 3) for i, day in enumerate(days)]
+    items += [(i, day, 1, p, 1, d(i), d(3)) for i, day, p in ((91, None, 1), (92, DAY, None), (93, None, None), (94, None, 1))]
+    refunds = [refund(i, "2014-02-01", iid, 1, i) for i, iid in enumerate((10, 10, 13, 25, 91, 93), 1)]
+    t = tables(spark, order_items=items, order_item_refunds=refunds, products=[(1, DAY, "a"), (1, DAY, "b"), (2, DAY, None), (None, DAY, "none")])
+    args = (t.order_items, t.order_item_refunds, t.products)
+    every = products.product_financials_by_grains(*args, grains=grains)
+    for grain in dict.fromkeys(grains):
+        columns = ["product_name", "product_id", *products.GRAIN_SETS[grain], "revenue", "margin", "refund_volume"]
+        one = products.product_financials(*args, None if grain == "lifetime" else grain)
+        _same(every.where(every.grain == grain).select(*columns), one.select(*columns))
+    assert {r.grain for r in every.select("grain").collect()} == set(grains)
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {os.path.basename(f) for f in files.splitlines() if "/shuffle_" in f}
+
+
+def test_written_copies_leave_no_shuffle_files(spark, shop):
+    before, settings = _shuffle_files(spark), {key: spark.conf.get(key, None) for key in fixture.ITEM_SETTINGS}
+    t = fixture.fixture_tables(spark, shop)
+    t.order_items, t.order_item_refunds, t.products  # each is written
+    until = time.monotonic() + 20
+    while _shuffle_files(spark) - before and time.monotonic() < until:  # files are removed in the background
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert settings == {key: spark.conf.get(key, None) for key in fixture.ITEM_SETTINGS} and not sources._HELD
+
+
+def test_item_copies_are_compact(spark, shop):
+    fixture.fixture_tables(spark, shop).order_items
+    root = _published(spark, shop).root.removeprefix("file:")
+    files = [f"{d}/{f}" for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
+def test_settings_come_back_after_the_last_block(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), sources.held(spark, {key: "3"}):
+        with sources.held(spark, {key: "3"}):
+            pass
+        assert spark.conf.get(key) == "3"
+        1 / 0
+    assert spark.conf.get(key) == before
